@@ -614,3 +614,36 @@ def variant_summary(spark, d):
 
 FLAGSHIP = "agreement_by_trait"
 SENTENCE_BATCH_SIZE = SENTENCE_BATCH
+
+
+# ================================================================== E1 / F1 / F2 (no SQL twin)
+
+ENCODER_DIM = 256
+
+
+@register("embed_sentences")
+def embed_sentences(spark, d):
+    """Built-in encoder (hashing TF-IDF, IDF fitted on train) on every sentence."""
+    from kappaflow.plans.pipelines import sentence_vectors
+    return sentence_vectors(_essays(spark, d), "none", ENCODER_DIM)
+
+
+def _fit(spark, d):
+    from kappaflow.plans.pipelines import sentence_vectors, train_and_predict
+    from kappaflow.operators.scorer import ScorerConfig
+    e = _essays(spark, d)
+    return train_and_predict(e, sentence_vectors(e, "none", ENCODER_DIM), ScorerConfig(), "kobert", 0)
+
+
+@register("fit_scorer")
+def fit_scorer(spark, d):
+    """fitted weights per trait (fit on train, early stop on valid)."""
+    scorer, _, _ = _fit(spark, d)
+    return scorer.to_frame(spark)
+
+
+@register("score_essays")
+def score_essays(spark, d):
+    """F2: 0..1 predictions of the fitted scorer for every essay and trait."""
+    _, _, preds = _fit(spark, d)
+    return preds.select("essay_id", "split", "variant", "exp", "trait", "pred01", "r1", "r2")
