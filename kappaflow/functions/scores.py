@@ -38,3 +38,48 @@ def truncate_int(x) -> Column:
 def display_round(x, digits: int = 4) -> Column:
     """Half-even rounding for reports (``np.round``)."""
     return F.bround(_col(x), digits)
+
+
+RESULT_DIGITS = 9
+
+
+def stable_round(x, digits: int = RESULT_DIGITS) -> Column:
+    """Round half up to ``digits`` places with plain IEEE arithmetic,
+    ``floor(x * 10^d + 0.5) / 10^d``.  Unlike ``round`` (which rounds the
+    decimal text of a double) every engine gets the same bits for the same
+    input, so means whose summation order differs by engine compare equal.
+    NaN and very large values pass through unchanged."""
+    c = _col(x)
+    s = float(10 ** digits)
+    r = F.floor(c * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s)
+    return F.when(F.isnan(c) | (F.abs(c) >= F.lit(1e9)), c).otherwise(r)
+
+
+def stable_round_sql(expr: str, digits: int = RESULT_DIGITS) -> str:
+    """SQL twin of ``stable_round``."""
+    s = f"CAST({10 ** digits} AS DOUBLE)"
+    return (f"(CASE WHEN isnan({expr}) OR abs({expr}) >= CAST(1e9 AS DOUBLE) THEN {expr} "
+            f"ELSE CAST(floor(({expr}) * {s} + CAST(0.5 AS DOUBLE)) AS DOUBLE) / {s} END)")
+
+
+EXACT_DIGITS = 12
+
+
+def exact_units(x, digits: int = EXACT_DIGITS) -> Column:
+    """``x`` as an integer number of 10^-digits units (decimal(38,0))."""
+    return F.floor(_col(x) * F.lit(float(10 ** digits)) + F.lit(0.5)).cast("decimal(38,0)")
+
+
+def exact_avg(x, digits: int = EXACT_DIGITS) -> Column:
+    """Mean of a double column whose result does not depend on summation
+    order: every value is fixed to 10^-digits units, the units are summed
+    exactly (decimal), and one division follows.  Non-NULL values count."""
+    total = F.sum(exact_units(x, digits)).cast("double") / F.lit(float(10 ** digits))
+    return total / F.count(_col(x)).cast("double")
+
+
+def exact_avg_sql(expr: str, digits: int = EXACT_DIGITS) -> str:
+    """SQL twin of ``exact_avg``."""
+    s = f"CAST({10 ** digits} AS DOUBLE)"
+    return (f"(CAST(sum(CAST(floor(({expr}) * {s} + CAST(0.5 AS DOUBLE)) AS HUGEINT)) AS DOUBLE) / {s} "
+            f"/ CAST(count({expr}) AS DOUBLE))")

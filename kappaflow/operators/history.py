@@ -13,11 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kappaflow.functions.scores import label01
+from kappaflow.functions.scores import EXACT_DIGITS, exact_avg, exact_units, label01
 from kappaflow.operators.ordering import row_index
 from kappaflow.schema import BASE_SEED, PATIENCE
 
-ROUND_DIGITS = 9
 
 
 def _sq_err(pred="pred01"):
@@ -28,7 +27,7 @@ def _sq_err(pred="pred01"):
 def mse_loss(preds: DataFrame, keys) -> DataFrame:
     """plain MSE over every (essay, trait) value of a run."""
     return preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    F.round(F.avg(_sq_err()), ROUND_DIGITS).alias("mse"))
+                                    exact_avg(_sq_err()).alias("mse"))
 
 
 def eval_batch_ids(essays: DataFrame, batch_size: int, by=("split",)) -> DataFrame:
@@ -55,18 +54,18 @@ def mse_batch_mean(preds: DataFrame, batches: DataFrame, keys) -> DataFrame:
     """F3 as the loop reports it: mean over batches of each batch's MSE (a
     short last batch weighs as much as a full one)."""
     j = preds.join(batches.select("essay_id", "split", "batch"), ["essay_id", "split"])
-    per_batch = j.groupBy(*keys, "batch").agg(F.avg(_sq_err()).alias("_bm"))
+    per_batch = j.groupBy(*keys, "batch").agg(exact_avg(_sq_err()).alias("_bm"))
     return per_batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_batches"),
-                                        F.round(F.avg("_bm"), ROUND_DIGITS).alias("loss"))
+                                        exact_avg("_bm").alias("loss"))
 
 
 def running_loss(batch_losses: DataFrame, every: int = 10, by=("epoch",)) -> DataFrame:
     """running mean of the batch loss within an epoch, reported after
     every ``every``-th batch."""
     w = Window.partitionBy(*by).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    r = batch_losses.select(*by, "batch", F.avg("loss").over(w).alias("running_loss"))
-    return r.where(F.pmod(F.col("batch") + 1, F.lit(every)) == 0) \
-            .withColumn("running_loss", F.round("running_loss", ROUND_DIGITS))
+    units = F.sum(exact_units("loss")).over(w).cast("double") / F.lit(float(10 ** EXACT_DIGITS))
+    r = batch_losses.select(*by, "batch", (units / F.count("loss").over(w).cast("double")).alias("running_loss"))
+    return r.where(F.pmod(F.col("batch") + 1, F.lit(every)) == 0)
 
 
 def early_stopping(history: DataFrame, patience: int = PATIENCE, run_keys=("run_id",),
@@ -103,4 +102,4 @@ def experiment_mean(per_exp: DataFrame, keys, cols=("accuracy", "qwk")) -> DataF
     """F8: average per-experiment metrics over repeated experiments."""
     return per_exp.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_exp"),
-        *[F.round(F.avg(c), ROUND_DIGITS).alias(f"{c}_mean") for c in cols])
+        *[exact_avg(c).alias(f"{c}_mean") for c in cols])

@@ -12,7 +12,6 @@ from kappaflow.functions.scores import label01, score_int
 from kappaflow.operators import metrics as M
 from kappaflow.schema import MAX_SCORE
 
-ROUND_DIGITS = 9
 
 
 def score_distribution(preds: DataFrame, keys: Sequence[str], max_score: int = MAX_SCORE) -> DataFrame:
@@ -64,7 +63,7 @@ def regression_delta(long_metrics: DataFrame, keys: Sequence[str], run_col: str,
     b = long_metrics.where(F.col(run_col) == F.lit(baseline)).select(*keys, "metric", F.col("value").alias("baseline"))
     c = long_metrics.where(F.col(run_col) == F.lit(candidate)).select(*keys, "metric", F.col("value").alias("candidate"))
     d = b.join(c, [*keys, "metric"], "full_outer")
-    delta = F.round(F.col("candidate") - F.col("baseline"), ROUND_DIGITS)
+    delta = F.col("candidate") - F.col("baseline")
     return d.select(*keys, "metric", "baseline", "candidate", delta.alias("delta"),
                     (F.abs(delta) > F.lit(tolerance)).alias("flagged"))
 

@@ -12,9 +12,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kappaflow.functions.scores import stable_round
 from kappaflow.operators.ordering import running_offset
 
-ROUND_DIGITS = 9
 
 
 def _as_double_array(c):
@@ -81,7 +81,7 @@ def pool_sequences(vectors: DataFrame, keys=("essay_id", "split")) -> DataFrame:
         Summarizer.metrics("mean", "max").summary(F.col("_v")).alias("_s"),
         F.min_by("embedding", "pos").alias("_first"),
         F.max_by("embedding", "pos").alias("_last"))
-    rnd = lambda c: F.transform(c, lambda x: F.round(x, ROUND_DIGITS))
+    rnd = lambda c: F.transform(c, lambda x: stable_round(x))
     return g.select(*keys, "n",
                     rnd(vector_to_array(F.col("_s.mean"))).alias("mean"),
                     vector_to_array(F.col("_s.max")).alias("max"),

@@ -23,12 +23,15 @@ from kappaflow.operators import text as X
 from kappaflow.plans import oracle as O
 from kappaflow.schema import (MAX_SENTENCES, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL,
                               SENTENCE_BATCH, TEXT_COL, TRAITS, q)
+from kappaflow.functions.scores import exact_avg_sql as EA
+from kappaflow.functions.scores import stable_round_sql as SR
 from kappaflow.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 RUN = ["split", "variant", "exp"]
+UNITS = "CAST(1000000000000 AS DOUBLE)"
 RUN_T = RUN + ["trait"]
 EVAL_BATCH = 128       # essays per evaluation batch (end_to_end / fine_tune loaders)
 TOP_K = 10
@@ -364,7 +367,7 @@ def pad_sequences(spark, d):
 @register("pool_sequences", O.with_(*O.sentence_vector_ctes(), (
         "dv", "SELECT essay_id, split, unnest(range(len(embedding))) AS dim, "
               "CAST(unnest(embedding) AS DOUBLE) AS v FROM sv"),
-        ("pd", f"SELECT essay_id, split, list(round(m, {S.ROUND_DIGITS}) ORDER BY dim) AS mean, "
+        ("pd", f"SELECT essay_id, split, list({SR('m')} ORDER BY dim) AS mean, "
                "list(x ORDER BY dim) AS max FROM (SELECT essay_id, split, dim, avg(v) AS m, max(v) AS x "
                "FROM dv GROUP BY essay_id, split, dim) g GROUP BY essay_id, split"),
         ("fl", "SELECT essay_id, split, count(*) AS n, CAST(arg_min(embedding, pos) AS DOUBLE[]) AS first, "
@@ -381,7 +384,7 @@ _LABEL = "(CAST(r1 + r2 AS DOUBLE) / CAST(2 AS DOUBLE)) / CAST(5 AS DOUBLE)"
 
 
 @register("mse_loss", O.with_(*P, select=(
-        f"SELECT split, variant, exp, count(*) AS n, round(avg(e * e), {H.ROUND_DIGITS}) AS mse "
+        f"SELECT split, variant, exp, count(*) AS n, {EA('e * e')} AS mse "
         f"FROM (SELECT *, pred01 - {_LABEL} AS e FROM predictions) t GROUP BY split, variant, exp")))
 def mse_loss(spark, d):
     """MSE of 0..1 predictions against the rater-mean label."""
@@ -405,9 +408,9 @@ def train_batch_ids(spark, d):
 
 
 MSE_BATCH_SQL = [BATCH_SQL, (
-    "pb", f"SELECT split, variant, exp, batch, avg(e * e) AS bm FROM (SELECT p.*, b.batch, p.pred01 - {_LABEL} AS e "
+    "pb", f"SELECT split, variant, exp, batch, {EA('e * e')} AS bm FROM (SELECT p.*, b.batch, p.pred01 - {_LABEL} AS e "
           f"FROM predictions p JOIN bt b USING (essay_id, split)) t GROUP BY split, variant, exp, batch"), (
-    "mb", f"SELECT split, variant, exp, count(*) AS n_batches, round(avg(bm), {H.ROUND_DIGITS}) AS loss "
+    "mb", f"SELECT split, variant, exp, count(*) AS n_batches, {EA('bm')} AS loss "
           f"FROM pb GROUP BY split, variant, exp")]
 
 
@@ -419,9 +422,10 @@ def mse_batch_mean(spark, d):
 
 
 @register("running_loss", O.with_(O.batch_losses_cte(), select=(
-        f"SELECT epoch, batch, round(running_loss, {H.ROUND_DIGITS}) AS running_loss FROM (SELECT epoch, batch, "
-        f"avg(loss) OVER (PARTITION BY epoch ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
-        f"AS running_loss FROM batch_losses) t WHERE (batch + 1) % 10 = 0")))
+        f"SELECT epoch, batch, CAST(sum(CAST(floor(loss * {UNITS} + CAST(0.5 AS DOUBLE)) AS HUGEINT)) OVER w AS DOUBLE) "
+        f"/ {UNITS} / CAST(count(loss) OVER w AS DOUBLE) AS running_loss FROM batch_losses "
+        f"WINDOW w AS (PARTITION BY epoch ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+        f"QUALIFY (batch + 1) % 10 = 0")))
 def running_loss(spark, d):
     """running train loss printed every 10 batches."""
     return H.running_loss(FX.batch_losses(spark, d))
@@ -453,8 +457,8 @@ def best_epoch(spark, d):
 
 
 @register("experiment_mean", O.with_(*EV, *_agreement_ctes(RUN_T + ["rater"], "a"), select=(
-        f"SELECT split, variant, trait, rater, count(*) AS n_exp, round(avg(accuracy), {M.ROUND_DIGITS}) AS accuracy_mean, "
-        f"round(avg(qwk), {M.ROUND_DIGITS}) AS qwk_mean FROM a_agr GROUP BY split, variant, trait, rater")))
+        f"SELECT split, variant, trait, rater, count(*) AS n_exp, {EA('accuracy')} AS accuracy_mean, "
+        f"{EA('qwk')} AS qwk_mean FROM a_agr GROUP BY split, variant, trait, rater")))
 def experiment_mean(spark, d):
     """F8: metrics averaged over repeated experiments."""
     per = M.agreement(_ev(spark, d), RUN_T + ["rater"])
@@ -503,8 +507,8 @@ def overall_metrics(spark, d):
 
 
 @register("trait_mean_metrics", O.with_(*EV, *_agreement_ctes(RUN_T + ["rater"], "a"), select=(
-        f"SELECT split, variant, exp, rater, round(avg(accuracy), {M.ROUND_DIGITS}) AS accuracy_mean, "
-        f"round(avg(qwk), {M.ROUND_DIGITS}) AS qwk_mean, count(*) AS n_traits, "
+        f"SELECT split, variant, exp, rater, {EA('accuracy')} AS accuracy_mean, "
+        f"{EA('qwk')} AS qwk_mean, count(*) AS n_traits, "
         f"CAST(sum(CASE WHEN qwk IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null_qwk FROM a_agr "
         f"GROUP BY split, variant, exp, rater")))
 def trait_mean_metrics(spark, d):
@@ -581,8 +585,8 @@ def high_error(spark, d):
                                    f"CAST({m} AS DOUBLE) AS value FROM rep" for m in ("accuracy", "qwk", "mae", "rmse"))),
         ("bs", "SELECT split, variant, rater, level, trait, metric, value AS baseline FROM ml WHERE exp = 0"),
         ("cd", "SELECT split, variant, rater, level, trait, metric, value AS candidate FROM ml WHERE exp = 1"),
-        select=(f"SELECT *, round(candidate - baseline, {R.ROUND_DIGITS}) AS delta, "
-                f"abs(round(candidate - baseline, {R.ROUND_DIGITS})) > {DELTA_TOLERANCE} AS flagged "
+        select=(f"SELECT *, candidate - baseline AS delta, "
+                f"abs(candidate - baseline) > {DELTA_TOLERANCE} AS flagged "
                 f"FROM bs FULL OUTER JOIN cd USING (split, variant, rater, level, trait, metric)")))
 def regression_delta(spark, d):
     """Candidate (exp 1) minus baseline (exp 0) for every metric row."""
@@ -594,8 +598,8 @@ def regression_delta(spark, d):
 
 @register("variant_summary", O.with_(*EV, *_agreement_ctes(RUN_T + ["rater"], "a"), O.history_cte(), *STOP_SQL,
                                      *MSE_BATCH_SQL, (
-        "tm", f"SELECT split, variant, exp, rater, round(avg(accuracy), {M.ROUND_DIGITS}) AS acc, "
-              f"round(avg(qwk), {M.ROUND_DIGITS}) AS qwk FROM a_agr GROUP BY split, variant, exp, rater"),
+        "tm", f"SELECT split, variant, exp, rater, {EA('accuracy')} AS acc, "
+              f"{EA('qwk')} AS qwk FROM a_agr GROUP BY split, variant, exp, rater"),
         ("wd", "SELECT split, variant, exp, max(CASE WHEN rater = 'r1' THEN acc END) AS r1_acc_mean, "
                "max(CASE WHEN rater = 'r1' THEN qwk END) AS r1_qwk_mean, max(CASE WHEN rater = 'r2' THEN acc END) "
                "AS r2_acc_mean, max(CASE WHEN rater = 'r2' THEN qwk END) AS r2_qwk_mean FROM tm GROUP BY split, variant, exp"),

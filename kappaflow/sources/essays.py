@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaflow.operators.checks import require_columns
+from kappaflow.sources.fixtures import spread
 from kappaflow.schema import REQUIRED_COLUMNS, SPLITS, essay_csv_schema
 
 
@@ -37,8 +38,11 @@ def read_essay_splits(spark: SparkSession, paths: Mapping[str, str], schema: T.S
     for p in parts[1:]:
         df = df.unionByName(p)
     if id_col:
-        return df.withColumnRenamed(id_col, "essay_id")
-    return df.withColumn("essay_id", F.monotonically_increasing_id())
+        df = df.withColumnRenamed(id_col, "essay_id")
+    else:
+        df = df.withColumn("essay_id", F.monotonically_increasing_id())
+    # multi-line CSV files cannot be split: one task per file unless rebalanced
+    return spread(df, "essay_id")
 
 
 def split_paths(data_dir: str, splits=SPLITS) -> dict[str, str]:

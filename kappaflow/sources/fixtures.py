@@ -58,8 +58,19 @@ def essays_from_documents(documents: DataFrame) -> DataFrame:
     return d.select(*cols, *r1, *r2)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-rebalance on ``keys`` only when the source yields fewer input
+    partitions than the cluster has cores (one unsplittable file, e.g. a
+    multi-line CSV or a single-row-group parquet).  Large sources already
+    arrive in many splits and are left alone: no extra shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, *keys)
+    return df
+
+
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return essays_from_documents(table(spark, sf_dir, "documents"))
+    return essays_from_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
 def predictions_from_scores(scores_long: DataFrame) -> DataFrame:
