@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kappaflow.functions.scores import stable_round
 from kappaflow.operators.ordering import running_offset
+from kappaflow.schema import MAX_SENTENCES
 
 
 
@@ -57,12 +58,13 @@ def essay_sequences(vectors: DataFrame, keys=("essay_id", "split")) -> DataFrame
                     F.transform("_s", lambda x: x["embedding"].cast("array<double>")).alias("sequence"))
 
 
-def pad_sequences(seqs: DataFrame, length: int | None = None, keys=("essay_id", "split")) -> DataFrame:
-    """Right-pad every sequence with zero vectors to one fixed length
-    (default: the longest sequence) and keep the true length.  A row's
-    padding never depends on which other rows share its batch."""
-    if length is None:
-        length = seqs.agg(F.max("seq_len")).first()[0] or 0
+def pad_sequences(seqs: DataFrame, length: int = MAX_SENTENCES, keys=("essay_id", "split")) -> DataFrame:
+    """Right-pad every sequence with zero vectors to a fixed length and
+    keep the true length; longer sequences stay whole (never truncated).
+
+    The length is a bound chosen up front (default: the 128-sentence cap),
+    not the longest essay in the data: one outlier essay must not inflate
+    every row.  A row's padding never depends on which rows share its batch."""
     dim = F.size(F.element_at("sequence", 1))
     zero = F.array_repeat(F.lit(0.0), dim)
     pad = F.array_repeat(zero, F.greatest(F.lit(0), F.lit(int(length)) - F.size("sequence")))

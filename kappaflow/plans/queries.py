@@ -355,12 +355,10 @@ def essay_sequences(spark, d):
 @register("pad_sequences", O.with_(*O.sentence_vector_ctes(), (
         "sq", "SELECT essay_id, split, CAST(count(*) AS INTEGER) AS seq_len, "
               "list(CAST(embedding AS DOUBLE[]) ORDER BY pos) AS sequence FROM sv GROUP BY essay_id, split"),
-        ("mx", "SELECT max(seq_len) AS l FROM sq"),
-        select=("SELECT essay_id, split, seq_len, list_resize(sequence, greatest(mx.l, seq_len), "
-                "list_transform(range(len(sequence[1])), lambda x: CAST(0 AS DOUBLE))) AS padded "
-                "FROM sq CROSS JOIN mx")))
+        select=(f"SELECT essay_id, split, seq_len, list_resize(sequence, greatest({MAX_SENTENCES}, seq_len), "
+                "list_transform(range(len(sequence[1])), lambda x: CAST(0 AS DOUBLE))) AS padded FROM sq")))
 def pad_sequences(spark, d):
-    """Zero-vector padding to the longest sequence, true length kept."""
+    """Zero-vector padding to 128 vectors (longer essays kept whole), true length kept."""
     return S.pad_sequences(S.essay_sequences(_sentence_vectors(spark, d)))
 
 

@@ -42,7 +42,7 @@ def test_sequences_pad_and_pool(spark):
         exp = [v for ee, _, p, v in sorted(rows, key=lambda x: (x[0], x[2])) if ee == e]
         assert by_id[e].seq_len == n
         assert np.allclose(by_id[e].sequence, exp)
-    padded = {r.essay_id: r for r in S.pad_sequences(seqs).collect()}
+    padded = {r.essay_id: r for r in S.pad_sequences(seqs, length=5).collect()}
     assert all(len(r.padded) == 5 for r in padded.values())
     assert padded[1].padded[1:] == [[0.0] * 3] * 4 and padded[1].seq_len == 1
     pooled = {r.essay_id: r for r in S.pool_sequences(vec).collect()}
