@@ -40,16 +40,30 @@ def _valid(ev: DataFrame) -> DataFrame:
 
 
 def confusion(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts per (keys, truth, prediction)."""
+    """Counts per (keys, truth, prediction).  This is the only pass over
+    the evaluation rows; every other metric below is derived from it."""
     return _valid(ev).groupBy(*keys, "yt", "yp").agg(F.count(F.lit(1)).alias("n"))
 
 
-def accuracy(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """I1 (keys include trait) / I3 (pooled over traits)."""
-    return _valid(ev).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(F.when(F.col("yt") == F.col("yp"), 1).otherwise(0)).cast("double")
-         / F.count(F.lit(1)).cast("double")).alias("accuracy"))
+def rollup(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Confusion counts summed to coarser keys (e.g. all traits pooled)."""
+    return conf.groupBy(*keys, "yt", "yp").agg(F.sum("n").alias("n"))
+
+
+def accuracy_from(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return conf.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.when(F.col("yt") == F.col("yp"), F.col("n")).otherwise(0)).cast("double")
+         / F.sum("n").cast("double")).alias("accuracy"))
+
+
+def mae_rmse_from(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
+    d = (F.col("yt") - F.col("yp")).cast("bigint")
+    n = F.sum("n").cast("double")
+    return conf.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        (F.sum(F.col("n") * F.abs(d)).cast("double") / n).alias("mae"),
+        F.sqrt(F.sum(F.col("n") * d * d).cast("double") / n).alias("rmse"))
 
 
 def _class_index(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,13 +73,11 @@ def _class_index(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
     return classes.select(*keys, "c", (F.dense_rank().over(w) - 1).alias("ix"))
 
 
-def qwk(ev: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
-    """Quadratic weighted kappa per group (see module doc)."""
+def qwk_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
+    """Kappa per group from confusion counts (see module doc)."""
     keys = list(keys)
-    conf = confusion(ev, keys)
     if labels == "present":
-        # confusion has at most (#classes)^2 rows per group, so these joins
-        # are between small aggregated tables
+        # at most (#classes)^2 rows per group: joins between small aggregated tables
         ix = _class_index(conf, keys)
         conf = (conf.join(ix.select(*keys, F.col("c").alias("yt"), F.col("ix").alias("i")), [*keys, "yt"])
                     .join(ix.select(*keys, F.col("c").alias("yp"), F.col("ix").alias("j")), [*keys, "yp"]))
@@ -88,18 +100,29 @@ def qwk(ev: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFram
     return s.select(*keys, kappa.alias("qwk"))
 
 
+def agreement_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
+    return accuracy_from(conf, keys).join(qwk_from(conf, keys, labels), list(keys))
+
+
+def accuracy(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """I1 (keys include trait) / I3 (pooled over traits)."""
+    return accuracy_from(confusion(ev, keys), keys)
+
+
+def qwk(ev: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
+    """Quadratic weighted kappa per group."""
+    return qwk_from(confusion(ev, keys), keys, labels)
+
+
 def agreement(ev: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
-    """I1 + I2 (+ I6 when ``rater`` is a key): n, accuracy and kappa per group."""
-    return accuracy(ev, keys).join(qwk(ev, keys, labels), list(keys))
+    """I1 + I2 (+ I6 when ``rater`` is a key): n, accuracy and kappa per
+    group, both from one confusion table."""
+    return agreement_from(confusion(ev, keys), keys, labels)
 
 
 def mae_rmse(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
     """I7 + I8 on integer scores; sums are exact integers until the division."""
-    d = F.col("yt") - F.col("yp")
-    return _valid(ev).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.sum(F.abs(d)).cast("double") / F.count(F.lit(1)).cast("double")).alias("mae"),
-        F.sqrt(F.sum(d * d).cast("double") / F.count(F.lit(1)).cast("double")).alias("rmse"))
+    return mae_rmse_from(confusion(ev, keys), keys)
 
 
 def trait_mean(per_trait: DataFrame, keys: Sequence[str], cols=("accuracy", "qwk")) -> DataFrame:
@@ -115,24 +138,20 @@ def trait_mean(per_trait: DataFrame, keys: Sequence[str], cols=("accuracy", "qwk
 def rubric_report(ev: DataFrame, run_keys: Sequence[str], labels: str = "present") -> DataFrame:
     """Per-rubric rows and one overall row per run in one table.
 
-    Additive metrics (n, accuracy, MAE, RMSE) come from one grouping-sets
-    aggregation; kappa is not additive, so per-trait and pooled kappa are
-    computed separately and joined on (run keys, level, trait)."""
+    One pass over the evaluation rows builds the per-trait confusion counts;
+    the overall rows use the same counts summed over traits (kappa is not
+    additive, but its confusion counts are)."""
     run_keys = list(run_keys)
-    d = F.col("yt") - F.col("yp")
-    v = _valid(ev)
-    cnt = F.count(F.lit(1))
-    add = (v.groupingSets([[*run_keys, "trait"], run_keys], *run_keys, "trait")
-           .agg(F.grouping("trait").alias("g"),
-                cnt.alias("n"),
-                (F.sum(F.when(F.col("yt") == F.col("yp"), 1).otherwise(0)).cast("double") / cnt.cast("double")).alias("accuracy"),
-                (F.sum(F.abs(d)).cast("double") / cnt.cast("double")).alias("mae"),
-                F.sqrt(F.sum(d * d).cast("double") / cnt.cast("double")).alias("rmse")))
-    add = add.select(*run_keys, F.when(F.col("g") == 1, "overall").otherwise("trait").alias("level"),
-                     F.when(F.col("g") == 1, F.lit("*")).otherwise(F.col("trait")).alias("trait"),
-                     "n", "accuracy", "mae", "rmse")
-    k_trait = qwk(ev, [*run_keys, "trait"], labels).withColumn("level", F.lit("trait"))
-    k_all = (qwk(ev, run_keys, labels).withColumn("level", F.lit("overall"))
-             .withColumn("trait", F.lit("*")))
-    kap = k_trait.unionByName(k_all)
-    return add.join(kap, [*run_keys, "level", "trait"], "left")
+    conf_t = confusion(ev, [*run_keys, "trait"])
+    conf_all = rollup(conf_t, run_keys)
+
+    def level(conf, keys, name):
+        m = (accuracy_from(conf, keys)
+             .join(mae_rmse_from(conf, keys).drop("n"), keys)
+             .join(qwk_from(conf, keys, labels), keys))
+        m = m.withColumn("level", F.lit(name))
+        return m if "trait" in keys else m.withColumn("trait", F.lit("*"))
+
+    cols = [*run_keys, "level", "trait", "n", "accuracy", "mae", "rmse", "qwk"]
+    return (level(conf_t, [*run_keys, "trait"], "trait").select(*cols)
+            .unionByName(level(conf_all, run_keys, "overall").select(*cols)))
