@@ -41,9 +41,14 @@ def fit_hashing_encoder(train_rows: DataFrame, dim: int = 256, text_col: str = "
     return pipe.fit(train_rows.select(text_col))
 
 
-def encode_hashing(model: PipelineModel, rows: DataFrame, keys=KEYS) -> DataFrame:
-    """E1 with the built-in encoder: (keys, embedding array<float>)."""
+def encode_hashing(model: PipelineModel, rows: DataFrame, keys=KEYS, as_vector: bool = False) -> DataFrame:
+    """E1 with the built-in encoder: (keys, embedding array<float>).
+
+    ``as_vector`` keeps the (sparse) ML vector instead, for jobs that pool
+    right away: no densify / convert round trip."""
     out = model.transform(rows.select(*keys, "sentence"))
+    if as_vector:
+        return out.select(*keys, F.col("_vec").alias("embedding"))
     return out.select(*keys, vector_to_array("_vec", "float32").alias("embedding"))
 
 
@@ -69,7 +74,7 @@ def encode_with_model(rows: DataFrame, make_predict_fn, max_len: int = MAX_TOKEN
 
 
 def token_average_encoder(vocab_size: int = 8192, dim: int = 64, seed: int = 42):
-    """A small reference model for the hook: a seeded token-embedding table,
+    """A small stand-in model for the hook: a seeded token-embedding table,
     averaged over the attention mask.  Stands in for a real encoder."""
     def make():
         table = np.random.default_rng(seed).standard_normal((vocab_size + 16, dim)).astype(np.float32)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaflow.functions.scores import label01
+from kappaflow.session import ensure_checkpoint_dir
 from kappaflow.schema import BASE_SEED, N_EPOCHS, PATIENCE, TRAITS, q, rater_col
 
 
@@ -142,9 +143,13 @@ def fit_scorer(frame: DataFrame, cfg: ScorerConfig | None = None, run_id: str =
     ready for ``history.early_stopping``."""
     cfg = cfg or ScorerConfig()
     spark = frame.sparkSession
+    # read once per epoch: cut the lineage with a reliable checkpoint in the
+    # shared spark.checkpoint.dir, so a lost executor re-reads these rows
+    # instead of re-running encoding and pooling
+    ensure_checkpoint_dir(spark)
     data = (frame.where(F.col("split").isin(cfg.train_split, cfg.valid_split))
             .select("split", vector_to_array(features_col).alias("_x"), "labels")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+            .checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK))
     first = data.select(F.size("_x").alias("d"), F.size("labels").alias("t")).first()
     if first is None:
         raise ValueError("no training rows")

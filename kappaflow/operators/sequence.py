@@ -8,6 +8,7 @@ legacy embedding file (rows in essay order, no key) is handled by E4 / E5.
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +93,12 @@ def pool_sequences(vectors: DataFrame, keys=("essay_id", "split")) -> DataFrame:
 
 
 def pooled_features(vectors: DataFrame, how: str = "mean", keys=("essay_id", "split")) -> DataFrame:
-    """E8 for the scorer: one pooling into an ML ``features`` vector."""
-    v = vectors.select(*keys, array_to_vector(_as_double_array("embedding")).alias("_v"))
+    """E8 for the scorer: one pooling into an ML ``features`` vector.
+    ``embedding`` may be an array or an ML vector (sparse vectors stay sparse)."""
     if how not in ("mean", "max"):
         raise ValueError("how must be mean or max")
+    emb = vectors.schema["embedding"].dataType
+    vec = F.col("embedding") if isinstance(emb, VectorUDT) else array_to_vector(_as_double_array("embedding"))
+    v = vectors.select(*keys, vec.alias("_v"))
     return v.groupBy(*keys).agg(Summarizer.metrics(how).summary(F.col("_v")).alias("_s")) \
             .select(*keys, F.col(f"_s.{how}").alias("features"))

@@ -36,13 +36,15 @@ RUN = ["split", "variant", "exp"]
 
 
 def sentence_vectors(essays: DataFrame, mode: str = "none", dim: int = 256, encoder=None,
-                     max_sentences: int | None = None, compat_cap: bool = False) -> DataFrame:
+                     max_sentences: int | None = None, compat_cap: bool = False,
+                     as_vector: bool = False) -> DataFrame:
     """E1 over every sentence of every essay: keyed (essay_id, split, pos, embedding).
-    The built-in encoder fits its IDF on training sentences only."""
+    The built-in encoder fits its IDF on training sentences only; with
+    ``as_vector`` it returns sparse ML vectors for immediate pooling."""
     rows = X.sentence_rows(X.sentences(essays, mode, max_sentences=max_sentences, compat_cap=compat_cap))
     if encoder is None:
         model = fit_hashing_encoder(rows.where(F.col("split") == "train"), dim)
-        return encode_hashing(model, rows)
+        return encode_hashing(model, rows, as_vector=as_vector)
     max_len = MAX_TOKENS_RAW if mode == "none" else MAX_TOKENS_LABELED
     return encode_with_model(rows, encoder, max_len)
 
@@ -123,7 +125,7 @@ def end_to_end(spark: SparkSession, essays: DataFrame, out: str | None = None, d
                encoder=None, cfg: ScorerConfig | None = None) -> dict[str, DataFrame]:
     """Essays on the first training prompt, ``prompt:<p>`` as first sentence."""
     e = X.filter_by_prompts(essays, X.first_prompt(essays, 1))
-    vec = sentence_vectors(e, "prompt_first", dim, encoder)
+    vec = sentence_vectors(e, "prompt_first", dim, encoder, as_vector=True)
     return training_job(spark, e, vec, out, variants=[("kobert", False)], cfg=cfg)
 
 
@@ -135,6 +137,6 @@ def fine_tune(spark: SparkSession, essays: DataFrame, out: str | None = None, di
     vecs = None
     for tag, with_prompt in VARIANTS:
         v = sentence_vectors(e, "fine_tune" if with_prompt else "none", dim, encoder,
-                             max_sentences=MAX_SENTENCES).withColumn("variant", F.lit(tag))
+                             max_sentences=MAX_SENTENCES, as_vector=True).withColumn("variant", F.lit(tag))
         vecs = v if vecs is None else vecs.unionByName(v)
     return training_job(spark, e, vecs, out, variants=VARIANTS, cfg=cfg)

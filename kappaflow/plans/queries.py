@@ -634,7 +634,7 @@ def _fit(spark, d):
     from kappaflow.plans.pipelines import sentence_vectors, train_and_predict
     from kappaflow.operators.scorer import ScorerConfig
     e = _essays(spark, d)
-    return train_and_predict(e, sentence_vectors(e, "none", ENCODER_DIM), ScorerConfig(), "kobert", 0)
+    return train_and_predict(e, sentence_vectors(e, "none", ENCODER_DIM, as_vector=True), ScorerConfig(), "kobert", 0)
 
 
 @register("fit_scorer")

@@ -6,7 +6,7 @@ import pytest
 from kappaflow.operators import history as H
 
 
-def loop_reference(vals, patience):
+def loop_rule(vals, patience):
     """The training loop's own rule, as plain Python."""
     best, p, best_epoch = float("inf"), patience, None
     for ep, v in enumerate(vals):
@@ -34,7 +34,7 @@ def test_early_stopping_matches_loop(spark):
     hist = spark.createDataFrame(rows, "run_id long, epoch long, val_loss double")
     got = {r.run_id: r for r in H.early_stopping(hist, patience=4).collect()}
     for r, vals in runs.items():
-        stop, best, n_run = loop_reference(vals, 4)
+        stop, best, n_run = loop_rule(vals, 4)
         assert got[r].stop_epoch == stop, r
         assert got[r].best_epoch == best, r
         assert got[r].epochs_run == n_run, r
