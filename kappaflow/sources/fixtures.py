@@ -63,8 +63,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     partitions than the cluster has cores (one unsplittable file, e.g. a
     multi-line CSV or a single-row-group parquet).  Large sources already
     arrive in many splits and are left alone: no extra shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        n_in = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave the plan as is
+        return df
+    if n_in < target:
         return df.repartition(target, *keys)
     return df
 
