@@ -67,41 +67,66 @@ def mae_rmse_from(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _class_index(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    classes = (conf.select(*keys, F.col("yt").alias("c"))
-               .union(conf.select(*keys, F.col("yp").alias("c"))).distinct())
-    w = Window.partitionBy(*keys).orderBy("c")
-    return classes.select(*keys, "c", (F.dense_rank().over(w) - 1).alias("ix"))
+    """(keys, class, index) for the sorted classes present in either column.
+    One aggregate per group whose state is the set of classes (bounded by the
+    score scale, not by the rows), then a positional explode."""
+    classes = conf.groupBy(*keys).agg(
+        F.array_sort(F.array_union(F.collect_set("yt"), F.collect_set("yp"))).alias("_cls"))
+    return classes.select(*keys, F.posexplode("_cls").alias("ix", "c"))
 
 
-def qwk_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
-    """Kappa per group from confusion counts (see module doc)."""
+def _indexed(conf: DataFrame, keys: Sequence[str], labels: str) -> DataFrame:
+    """Confusion cells with class indices ``i`` (truth) and ``j`` (prediction)."""
     keys = list(keys)
     if labels == "present":
-        # at most (#classes)^2 rows per group: joins between small aggregated tables
+        # small aggregated tables on both sides: AQE broadcasts them at runtime
         ix = _class_index(conf, keys)
-        conf = (conf.join(ix.select(*keys, F.col("c").alias("yt"), F.col("ix").alias("i")), [*keys, "yt"])
+        return (conf.join(ix.select(*keys, F.col("c").alias("yt"), F.col("ix").alias("i")), [*keys, "yt"])
                     .join(ix.select(*keys, F.col("c").alias("yp"), F.col("ix").alias("j")), [*keys, "yp"]))
-    elif labels == "fixed":
-        conf = conf.withColumn("i", F.col("yt")).withColumn("j", F.col("yp"))
-    else:
-        raise ValueError("labels must be 'present' or 'fixed'")
+    if labels == "fixed":
+        return conf.withColumn("i", F.col("yt")).withColumn("j", F.col("yp"))
+    raise ValueError("labels must be 'present' or 'fixed'")
+
+
+def _kappa(n, d2, i2, j2, si, sj) -> Column:
+    num = _dec(n) * _dec(d2)
+    den = _dec(n) * (_dec(i2) + _dec(j2)) - _dec(si) * _dec(sj) * 2
+    return F.when(den == 0, F.lit(None).cast("double")).otherwise(
+        F.lit(1.0) - num.cast("double") / den.cast("double"))
+
+
+def metrics_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
+    """n, accuracy, MAE, RMSE and kappa per group in one aggregation over the
+    indexed confusion cells."""
+    keys = list(keys)
+    x = _indexed(conf, keys, labels)
     n, i, j = F.col("n").cast("bigint"), F.col("i").cast("bigint"), F.col("j").cast("bigint")
-    s = conf.groupBy(*keys).agg(
+    d = (F.col("yt") - F.col("yp")).cast("bigint")
+    s = x.groupBy(*keys).agg(
         F.sum(n).alias("n"),
-        F.sum(n * (i - j) * (i - j)).alias("s_d2"),
-        F.sum(n * i * i).alias("s_i2"),
-        F.sum(n * j * j).alias("s_j2"),
-        F.sum(n * i).alias("s_i"),
-        F.sum(n * j).alias("s_j"))
-    num = _dec("n") * _dec("s_d2")
-    den = _dec("n") * (_dec("s_i2") + _dec("s_j2")) - _dec("s_i") * _dec("s_j") * 2
-    kappa = F.when(den == 0, F.lit(None).cast("double")).otherwise(
-        F.lit(1.0) - num.cast("double") / den.cast("double"))
-    return s.select(*keys, kappa.alias("qwk"))
+        F.sum(F.when(d == 0, n).otherwise(0)).alias("_hit"),
+        F.sum(n * F.abs(d)).alias("_abs"),
+        F.sum(n * d * d).alias("_sq"),
+        F.sum(n * (i - j) * (i - j)).alias("_d2"),
+        F.sum(n * i * i).alias("_i2"),
+        F.sum(n * j * j).alias("_j2"),
+        F.sum(n * i).alias("_si"),
+        F.sum(n * j).alias("_sj"))
+    nd = F.col("n").cast("double")
+    return s.select(*keys, "n",
+                    (F.col("_hit").cast("double") / nd).alias("accuracy"),
+                    (F.col("_abs").cast("double") / nd).alias("mae"),
+                    F.sqrt(F.col("_sq").cast("double") / nd).alias("rmse"),
+                    _kappa("n", "_d2", "_i2", "_j2", "_si", "_sj").alias("qwk"))
+
+
+def qwk_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
+    """Kappa per group from confusion counts (see module doc)."""
+    return metrics_from(conf, keys, labels).select(*keys, "qwk")
 
 
 def agreement_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
-    return accuracy_from(conf, keys).join(qwk_from(conf, keys, labels), list(keys))
+    return metrics_from(conf, keys, labels).select(*keys, "n", "accuracy", "qwk")
 
 
 def accuracy(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,15 +168,8 @@ def rubric_report(ev: DataFrame, run_keys: Sequence[str], labels: str = "present
     additive, but its confusion counts are)."""
     run_keys = list(run_keys)
     conf_t = confusion(ev, [*run_keys, "trait"])
-    conf_all = rollup(conf_t, run_keys)
-
-    def level(conf, keys, name):
-        m = (accuracy_from(conf, keys)
-             .join(mae_rmse_from(conf, keys).drop("n"), keys)
-             .join(qwk_from(conf, keys, labels), keys))
-        m = m.withColumn("level", F.lit(name))
-        return m if "trait" in keys else m.withColumn("trait", F.lit("*"))
-
     cols = [*run_keys, "level", "trait", "n", "accuracy", "mae", "rmse", "qwk"]
-    return (level(conf_t, [*run_keys, "trait"], "trait").select(*cols)
-            .unionByName(level(conf_all, run_keys, "overall").select(*cols)))
+    per_trait = metrics_from(conf_t, [*run_keys, "trait"], labels).withColumn("level", F.lit("trait"))
+    overall = (metrics_from(rollup(conf_t, run_keys), run_keys, labels)
+               .withColumn("level", F.lit("overall")).withColumn("trait", F.lit("*")))
+    return per_trait.select(*cols).unionByName(overall.select(*cols))
