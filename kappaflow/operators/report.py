@@ -41,13 +41,18 @@ def top_errors(preds: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
 
 def high_error(preds: DataFrame, keys: Sequence[str], run_col: str, previous, current, k: int = 10) -> DataFrame:
     """Top-k high-error examples of the previous and the current run side
-    by side (full outer join: an essay may be in one list only)."""
+    by side (an essay may be in one list only).  One top-k window over both
+    runs, then one conditional aggregation per (keys, essay) - the same rows
+    as a full outer join of the two lists, from a single branch."""
     keys = list(keys)
-    prev = top_errors(preds.where(F.col(run_col) == F.lit(previous)), keys, k)
-    cur = top_errors(preds.where(F.col(run_col) == F.lit(current)), keys, k)
-    prev = prev.select(*keys, "essay_id", F.col("rank").alias("prev_rank"), F.col("err").alias("prev_err"))
-    cur = cur.select(*keys, "essay_id", F.col("rank").alias("cur_rank"), F.col("err").alias("cur_err"))
-    return prev.join(cur, [*keys, "essay_id"], "full_outer")
+    both = preds.where(F.col(run_col).isin(previous, current))
+    top = top_errors(both, [*keys, run_col], k)
+    is_prev, is_cur = F.col(run_col) == F.lit(previous), F.col(run_col) == F.lit(current)
+    return top.groupBy(*keys, "essay_id").agg(
+        F.max(F.when(is_prev, F.col("rank"))).alias("prev_rank"),
+        F.max(F.when(is_prev, F.col("err"))).alias("prev_err"),
+        F.max(F.when(is_cur, F.col("rank"))).alias("cur_rank"),
+        F.max(F.when(is_cur, F.col("err"))).alias("cur_err"))
 
 
 def metrics_long(report: DataFrame, keys: Sequence[str], metrics=("accuracy", "qwk", "mae", "rmse")) -> DataFrame:
@@ -58,11 +63,14 @@ def metrics_long(report: DataFrame, keys: Sequence[str], metrics=("accuracy", "q
 
 def regression_delta(long_metrics: DataFrame, keys: Sequence[str], run_col: str, baseline, candidate,
                      tolerance: float = 0.01) -> DataFrame:
-    """Candidate - baseline per metric, flagged past ``tolerance``."""
+    """Candidate - baseline per metric, flagged past ``tolerance``.
+    Both runs are read in one pass and paired by a conditional aggregation
+    (rows present in one run only keep a NULL on the other side)."""
     keys = list(keys)
-    b = long_metrics.where(F.col(run_col) == F.lit(baseline)).select(*keys, "metric", F.col("value").alias("baseline"))
-    c = long_metrics.where(F.col(run_col) == F.lit(candidate)).select(*keys, "metric", F.col("value").alias("candidate"))
-    d = b.join(c, [*keys, "metric"], "full_outer")
+    m = long_metrics.where(F.col(run_col).isin(baseline, candidate))
+    d = m.groupBy(*keys, "metric").agg(
+        F.max(F.when(F.col(run_col) == F.lit(baseline), F.col("value"))).alias("baseline"),
+        F.max(F.when(F.col(run_col) == F.lit(candidate), F.col("value"))).alias("candidate"))
     delta = F.col("candidate") - F.col("baseline")
     return d.select(*keys, "metric", "baseline", "candidate", delta.alias("delta"),
                     (F.abs(delta) > F.lit(tolerance)).alias("flagged"))
