@@ -1,4 +1,4 @@
-from kappaflow.functions.scores import display_round, label01, score_int, truncate_int
+from kappaflow.functions.scores import display_round, exact_avg, label01, score_int, stable_round, to_unit, truncate_int
 
 
 def test_half_even_and_clip(spark):
@@ -12,3 +12,14 @@ def test_label_and_truncation(spark):
     assert [x.l for x in r] == [0.7, 0.5]
     assert [x.t for x in r] == [4, -1]
     assert [x.d for x in r] == [5.0, -2.0]
+
+
+def test_to_unit_and_order_free_means(spark):
+    df = spark.createDataFrame([(5, 0.1), (2, 0.2), (0, 0.3)], "s int, x double")
+    assert [r.u for r in df.select(to_unit("s").alias("u")).collect()] == [1.0, 0.4, 0.0]
+    a = df.agg(exact_avg("x").alias("m")).first().m
+    b = df.repartition(3).agg(exact_avg("x").alias("m")).first().m
+    assert a == b and abs(a - 0.2) < 1e-12
+    r = spark.createDataFrame([(0.0082890625,), (-0.0000000015,), (float("nan"),)], "x double")
+    got = [row.r for row in r.select(stable_round("x").alias("r")).collect()]
+    assert got[0] == 0.008289063 and got[1] == -0.000000001 and got[2] != got[2]
