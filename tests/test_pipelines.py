@@ -47,3 +47,23 @@ def test_embedding_job_writes_each_variant_once(spark, scratch):
     assert vec.where("variant = 'kobert'").count() == n_sent
     assert vec.where("variant = 'labeled_kobert'").count() == n_sent
     assert vec.select(F.size("embedding").alias("d")).distinct().first().d == 8
+
+
+def test_cli_on_csv_splits(spark, scratch):
+    from kappaflow.__main__ import parse, run
+    from kappaflow.schema import REQUIRED_COLUMNS
+    essays = FX.essays(spark, SF_SMALL)
+    data = os.path.join(scratch, "data")
+    os.makedirs(data)
+    for split in ("train", "valid", "test"):
+        pdf = essays.where(F.col("split") == split).orderBy("essay_id").select(*[f"`{c}`" for c in REQUIRED_COLUMNS]) \
+                    .toPandas()
+        pdf.to_csv(os.path.join(data, f"{split}.csv"), index=False, encoding="utf-8-sig")
+    out = os.path.join(scratch, "out")
+    run(spark, parse(["train", "--data-dir", data, "--out", out, "--dim", "8", "--epochs", "3", "--patience", "2"]))
+    ingested = spark.read.parquet(f"{out}/essays")
+    assert ingested.count() == essays.count()
+    assert ingested.select("essay_id").distinct().count() == essays.count()
+    assert spark.read.option("header", True).csv(f"{out}/summary").count() == 2
+    runs = spark.read.parquet(f"{out}/runs").collect()
+    assert len(runs) == 1 and runs[0].entry_point == "train" and "train" in runs[0].data_revision
