@@ -30,18 +30,30 @@ def sentence_offsets(counts: DataFrame, by=("split",), order=("essay_id",), n_co
     return running_offset(counts, list(order), list(by), weight=n_col, out="start")
 
 
+ROW_CHUNK = 4096
+
+
 def assign_by_offset(positional: DataFrame, offsets: DataFrame, by=("split",), row_col: str = "row",
-                     n_col: str = "n_sentences") -> DataFrame:
+                     n_col: str = "n_sentences", chunk: int = ROW_CHUNK) -> DataFrame:
     """E5: give each row of a positional table its (essay_id, pos).
 
     The range condition ``start <= row < start + len`` is rewritten as an
     equi-join: every essay expands to its own row numbers (exactly one row
     per sentence), then joins on (split, row) - a plain shuffle join, not a
-    nested-loop range join."""
-    expanded = offsets.select(*by, "essay_id", "start",
-                              F.posexplode(F.array_repeat(F.lit(0), F.col(n_col).cast("int"))).alias("pos", "_z"))
-    expanded = expanded.select(*by, "essay_id", F.col("pos").cast("int").alias("pos"),
-                               (F.col("start") + F.col("pos")).alias(row_col))
+    nested-loop range join.  The expansion goes through fixed-size chunks
+    that are spread over tasks first, so one huge essay does not generate
+    all of its rows inside a single task."""
+    n = F.col(n_col).cast("bigint")
+    n_chunks = F.floor((n + F.lit(chunk - 1)) / F.lit(chunk)).cast("int")
+    chunks = offsets.select(*by, "essay_id", "start", n.alias("_n"),
+                            F.explode(F.when(n_chunks > 0, F.sequence(F.lit(0), n_chunks - 1))
+                                      .otherwise(F.array().cast("array<int>"))).alias("_c"))
+    chunks = chunks.repartition("essay_id", "_c")
+    size = F.least(F.lit(chunk), F.col("_n") - F.col("_c") * F.lit(chunk)).cast("int")
+    expanded = chunks.select(*by, "essay_id", "start", "_c",
+                             F.posexplode(F.array_repeat(F.lit(0), size)).alias("_p", "_z"))
+    pos = F.col("_c").cast("bigint") * F.lit(chunk) + F.col("_p")
+    expanded = expanded.select(*by, "essay_id", pos.cast("int").alias("pos"), (F.col("start") + pos).alias(row_col))
     return positional.join(expanded, [*by, row_col])
 
 
