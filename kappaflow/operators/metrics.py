@@ -1,11 +1,12 @@
 """Agreement metrics between integer predictions and raters.
 
 Input is the long evaluation table of ``labels.evaluation_rows``: one row per
-(group keys, essay, rater) with integer ``yt`` / ``yp``.  Every metric is one
-grouped aggregation with map-side partial aggregation, so a hot group (one
-trait holding a third of all rows) never lands whole in one task: what
-crosses the shuffle is one partial row per (task, group), or per (task,
-group, yt, yp) cell for kappa.
+(group keys, essay, rater) with integer ``yt`` / ``yp``.  The only pass over
+those rows builds confusion counts per (group, yt, yp) with map-side partial
+aggregation, so a hot group (one trait holding a third of all rows) never
+lands whole in one task: one partial row per (task, cell) crosses the
+shuffle.  Every metric - accuracy, MAE, RMSE, kappa, per trait or pooled -
+is then computed from those counts (at most classes^2 rows per group).
 
 Quadratic weighted kappa follows scikit-learn's ``cohen_kappa_score(...,
 weights="quadratic")``: weights are squared differences of class *indices*
@@ -66,28 +67,6 @@ def mae_rmse_from(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sqrt(F.sum(F.col("n") * d * d).cast("double") / n).alias("rmse"))
 
 
-def _class_index(conf: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, class, index) for the sorted classes present in either column.
-    One aggregate per group whose state is the set of classes (bounded by the
-    score scale, not by the rows), then a positional explode."""
-    classes = conf.groupBy(*keys).agg(
-        F.array_sort(F.array_union(F.collect_set("yt"), F.collect_set("yp"))).alias("_cls"))
-    return classes.select(*keys, F.posexplode("_cls").alias("ix", "c"))
-
-
-def _indexed(conf: DataFrame, keys: Sequence[str], labels: str) -> DataFrame:
-    """Confusion cells with class indices ``i`` (truth) and ``j`` (prediction)."""
-    keys = list(keys)
-    if labels == "present":
-        # small aggregated tables on both sides: AQE broadcasts them at runtime
-        ix = _class_index(conf, keys)
-        return (conf.join(ix.select(*keys, F.col("c").alias("yt"), F.col("ix").alias("i")), [*keys, "yt"])
-                    .join(ix.select(*keys, F.col("c").alias("yp"), F.col("ix").alias("j")), [*keys, "yp"]))
-    if labels == "fixed":
-        return conf.withColumn("i", F.col("yt")).withColumn("j", F.col("yp"))
-    raise ValueError("labels must be 'present' or 'fixed'")
-
-
 def _kappa(n, d2, i2, j2, si, sj) -> Column:
     num = _dec(n) * _dec(d2)
     den = _dec(n) * (_dec(i2) + _dec(j2)) - _dec(si) * _dec(sj) * 2
@@ -96,28 +75,50 @@ def _kappa(n, d2, i2, j2, si, sj) -> Column:
 
 
 def metrics_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
-    """n, accuracy, MAE, RMSE and kappa per group in one aggregation over the
-    indexed confusion cells."""
+    """n, accuracy, MAE, RMSE and kappa per group from confusion counts.
+
+    A group's cells are gathered in one aggregate - at most (#classes)^2
+    structs, bounded by the score scale, never by the rows - and the class
+    indices and all sums come from array functions over that short list: one
+    shuffle after the confusion pass, no joins."""
+    if labels not in ("present", "fixed"):
+        raise ValueError("labels must be 'present' or 'fixed'")
     keys = list(keys)
-    x = _indexed(conf, keys, labels)
-    n, i, j = F.col("n").cast("bigint"), F.col("i").cast("bigint"), F.col("j").cast("bigint")
-    d = (F.col("yt") - F.col("yp")).cast("bigint")
-    s = x.groupBy(*keys).agg(
-        F.sum(n).alias("n"),
-        F.sum(F.when(d == 0, n).otherwise(0)).alias("_hit"),
-        F.sum(n * F.abs(d)).alias("_abs"),
-        F.sum(n * d * d).alias("_sq"),
-        F.sum(n * (i - j) * (i - j)).alias("_d2"),
-        F.sum(n * i * i).alias("_i2"),
-        F.sum(n * j * j).alias("_j2"),
-        F.sum(n * i).alias("_si"),
-        F.sum(n * j).alias("_sj"))
-    nd = F.col("n").cast("double")
-    return s.select(*keys, "n",
-                    (F.col("_hit").cast("double") / nd).alias("accuracy"),
-                    (F.col("_abs").cast("double") / nd).alias("mae"),
-                    F.sqrt(F.col("_sq").cast("double") / nd).alias("rmse"),
-                    _kappa("n", "_d2", "_i2", "_j2", "_si", "_sj").alias("qwk"))
+    g = conf.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("yt").cast("bigint").alias("t"), F.col("yp").cast("bigint").alias("p"),
+        F.col("n").cast("bigint").alias("n"))).alias("_cells"))
+    cells = F.col("_cells")
+    if labels == "present":
+        classes = F.array_sort(F.array_distinct(F.concat(F.transform(cells, lambda c: c["t"]),
+                                                         F.transform(cells, lambda c: c["p"]))))
+        g = g.withColumn("_cls", classes)
+        idx = lambda v: (F.array_position(F.col("_cls"), v) - 1).cast("bigint")
+    else:
+        idx = lambda v: v
+    zero = F.lit(0).cast("bigint")
+    init = F.struct(*[zero.alias(f) for f in ("n", "hit", "ab", "sq", "d2", "i2", "j2", "si", "sj")])
+
+    def step(acc, c):
+        i, j, n, d = idx(c["t"]), idx(c["p"]), c["n"], c["t"] - c["p"]
+        return F.struct(
+            (acc["n"] + n).alias("n"),
+            (acc["hit"] + F.when(d == 0, n).otherwise(zero)).alias("hit"),
+            (acc["ab"] + n * F.abs(d)).alias("ab"),
+            (acc["sq"] + n * d * d).alias("sq"),
+            (acc["d2"] + n * (i - j) * (i - j)).alias("d2"),
+            (acc["i2"] + n * i * i).alias("i2"),
+            (acc["j2"] + n * j * j).alias("j2"),
+            (acc["si"] + n * i).alias("si"),
+            (acc["sj"] + n * j).alias("sj"))
+
+    s = g.select(*keys, F.aggregate(cells, init, step).alias("_s"))
+    x = lambda f: F.col(f"_s.{f}")
+    nd = x("n").cast("double")
+    return s.select(*keys, x("n").alias("n"),
+                    (x("hit").cast("double") / nd).alias("accuracy"),
+                    (x("ab").cast("double") / nd).alias("mae"),
+                    F.sqrt(x("sq").cast("double") / nd).alias("rmse"),
+                    _kappa(x("n"), x("d2"), x("i2"), x("j2"), x("si"), x("sj")).alias("qwk"))
 
 
 def qwk_from(conf: DataFrame, keys: Sequence[str], labels: str = "present") -> DataFrame:
