@@ -57,8 +57,12 @@ def running_offset(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] =
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    ranged = (df.withColumn("_w", w)
-              .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
+    # range partitioning samples its input in a separate job before the
+    # shuffle; the narrow keyed input is persisted so the upstream (e.g. a
+    # scan of all essay text for sentence counts) runs once, not twice
+    src = df.select(*keys, w.alias("_w"), *[c for c in df.columns if c not in keys]) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
               .sortWithinPartitions(*keys))
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_pid", T.IntegerType(), False), T.StructField("_before", T.LongType(), False)])
@@ -69,7 +73,7 @@ def running_offset(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] =
     if totals.count() <= MAX_BROADCAST_OFFSET_ROWS:
         offsets = F.broadcast(offsets)
     res = local.join(offsets, ["_pid", *by]).withColumn(out, F.col("_off") + F.col("_before"))
-    return res.drop("_w", "_pid", "_before", "_off")
+    return res.select(*df.columns, out)
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (), out: str = "row_index",
