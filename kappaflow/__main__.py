@@ -17,7 +17,7 @@ import json
 import os
 import uuid
 
-from kappaflow.operators.checks import split_fingerprint
+from kappaflow.operators.checks import quarantine, split_fingerprint
 from kappaflow.operators.scorer import ScorerConfig
 from kappaflow.plans import pipelines as PL
 from kappaflow.session import build_session
@@ -52,7 +52,9 @@ def parse(argv=None) -> argparse.Namespace:
 
 
 def run(spark, args: argparse.Namespace) -> None:
-    essays = _essays(spark, args)
+    essays, bad = quarantine(_essays(spark, args))
+    # rows that cannot be scored are kept, with a reason, next to the results
+    bad.write.mode("overwrite").parquet(os.path.join(args.out, "quarantine"))
     cfg = ScorerConfig(lr=args.lr, epochs=args.epochs, patience=args.patience)
     emb_path = os.path.join(args.out, "emb")
     if args.command == "embed":

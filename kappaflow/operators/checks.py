@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.schema import MAX_SCORE, RATER1_COLS, RATER2_COLS, REQUIRED_COLUMNS, q
+from kappaflow.schema import MAX_SCORE, PROMPT_COL, RATER1_COLS, RATER2_COLS, REQUIRED_COLUMNS, TEXT_COL, q
 
 
 class MissingColumnsError(ValueError):
@@ -85,3 +85,40 @@ def score_domain(essays: DataFrame, cols: Sequence[str] = tuple(RATER1_COLS + RA
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).cast("bigint").alias("n_null"),
         F.sum(F.when(bad_range, 1).otherwise(0)).cast("bigint").alias("n_out_of_domain"))
+
+
+def quarantine(essays: DataFrame, score_cols: Sequence[str] = tuple(RATER1_COLS + RATER2_COLS),
+               max_score: int = MAX_SCORE) -> tuple[DataFrame, DataFrame]:
+    """Split essays into (usable, quarantined).  Quarantined rows keep every
+    column plus ``reason`` (``;``-joined: null_text, null_prompt, null_score,
+    score_out_of_domain), so nothing is dropped silently.  One narrow filter
+    each, no shuffle."""
+    tagged = essays.withColumn("_reasons", _reasons(score_cols, max_score))
+    good = tagged.where(F.size("_reasons") == 0).drop("_reasons")
+    bad = tagged.where(F.size("_reasons") > 0).withColumn("reason", F.array_join("_reasons", ";")).drop("_reasons")
+    return good, bad
+
+
+def _reasons(score_cols: Sequence[str], max_score: int):
+    null_score = None
+    bad_score = None
+    for c in score_cols:
+        v = F.col(q(c))
+        nn = v.isNull()
+        bb = v.isNotNull() & (~v.between(0, max_score) | (v.cast("double") != F.floor(v.cast("double"))))
+        null_score = nn if null_score is None else (null_score | nn)
+        bad_score = bb if bad_score is None else (bad_score | bb)
+    reasons = F.array_compact(F.array(
+        F.when(F.col(q(TEXT_COL)).isNull(), F.lit("null_text")),
+        F.when(F.col(q(PROMPT_COL)).isNull(), F.lit("null_prompt")),
+        F.when(null_score, F.lit("null_score")),
+        F.when(bad_score, F.lit("score_out_of_domain"))))
+    return reasons
+
+
+def quarantine_counts(essays: DataFrame, by=("split",), score_cols: Sequence[str] = tuple(RATER1_COLS + RATER2_COLS),
+                      max_score: int = MAX_SCORE) -> DataFrame:
+    """Rows per split and how many of them are quarantined (one aggregation)."""
+    bad = F.size(_reasons(score_cols, max_score)) > 0
+    return essays.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"),
+                                   F.sum(F.when(bad, 1).otherwise(0)).cast("bigint").alias("n_quarantined"))

@@ -182,6 +182,20 @@ def embedding_alignment(spark, d):
     return C.embedding_alignment(rows, _sentence_vectors(spark, d))
 
 
+def _quarantine_sql():
+    scores = [O.qi(f"rater{r}@{t}") for r in (1, 2) for t in TRAITS]
+    bad = " OR ".join(f"{c} IS NULL OR {c} < 0 OR {c} > 5" for c in scores)
+    return O.with_(O.essays_cte(), select=(
+        "SELECT split, count(*) AS n_rows, CAST(sum(CASE WHEN \"answer@text\" IS NULL OR \"question@prompt\" IS NULL "
+        f"OR {bad} THEN 1 ELSE 0 END) AS BIGINT) AS n_quarantined FROM essays GROUP BY split"))
+
+
+@register("quarantine_counts", _quarantine_sql())
+def quarantine_counts(spark, d):
+    """Rows per split and how many go to quarantine (NULL text / prompt / score, score outside 0..5)."""
+    return C.quarantine_counts(_essays(spark, d))
+
+
 # ================================================================== C: projections / filters
 
 @register("scores_long", O.with_(O.essays_cte(), O.scores_cte(), select="SELECT * FROM scores"))

@@ -81,3 +81,19 @@ def test_variant_fanout(spark):
     e = _essays(spark, [(1, "train", "P", f"a{SENTENCE_SEP}b")])
     got = {r.variant: (r.with_prompt, r.sentences) for r in X.variant_fanout(e).collect()}
     assert got == {"kobert": (False, ["a", "b"]), "labeled_kobert": (True, ["P###a", "P###b"])}
+
+
+def test_quarantine_keeps_bad_rows_with_reason(spark):
+    from kappaflow.operators.checks import quarantine, quarantine_counts
+    from kappaflow.schema import RATER1_COLS, RATER2_COLS
+    cols = ", ".join(f"`{c}` int" for c in RATER1_COLS + RATER2_COLS)
+    ok = [3] * 16
+    rows = [(1, "train", "P", "a", *ok), (2, "train", "P", None, *ok),
+            (3, "test", "P", "b", *([7] + ok[1:])), (4, "test", None, None, *([None] + ok[1:]))]
+    e = spark.createDataFrame(rows, f"essay_id long, split string, `{PROMPT_COL}` string, `{TEXT_COL}` string, {cols}")
+    good, bad = quarantine(e)
+    assert [r.essay_id for r in good.collect()] == [1]
+    reasons = {r.essay_id: r.reason for r in bad.collect()}
+    assert reasons == {2: "null_text", 3: "score_out_of_domain", 4: "null_text;null_prompt;null_score"}
+    counts = {r.split: (r.n_rows, r.n_quarantined) for r in quarantine_counts(e).collect()}
+    assert counts == {"train": (2, 1), "test": (2, 2)}
