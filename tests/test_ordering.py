@@ -21,3 +21,13 @@ def test_row_index_without_groups(spark):
     df = spark.range(0, 3000).selectExpr("id * 7 % 3001 as k")
     got = row_index(df, ["k"], [], num_partitions=5).toPandas().sort_values("k")
     assert list(got["row_index"]) == list(range(3000))
+
+
+def test_spread_only_rebalances_too_few_splits(spark):
+    from kappaflow.sources.fixtures import spread
+    target = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 1000, numPartitions=1)
+    many = spark.range(0, 1000, numPartitions=target * 2)
+    assert spread(one, "id").rdd.getNumPartitions() == target
+    assert spread(many, "id") is many
+    assert sorted(r.id for r in spread(one, "id").collect()) == list(range(1000))
