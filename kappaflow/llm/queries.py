@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.llm import packing, token_cache
+from kappaflow.llm import line_dedup, odd_minhash, packing, token_cache
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,46 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                         capacity=2048, keep_ids=False)
+
+
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines and which of them go (numbers from 0)."""
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.removed_lines(docs)
+    rows = docs.selectExpr("doc_id", f"coalesce(doc_id, {line_dedup.NO_ID}L) as doc", "xxhash64(coalesce(text, '')) as tk",
+                           "size(split(coalesce(text, ''), '\\n')) as n_lines")
+    return rows.join(gone, ["doc", "tk"], "left").selectExpr(
+        "doc_id", "n_lines", "coalesce(size(removed), 0) as n_removed",
+        "coalesce(array_join(removed, ','), '') as removed")
+
+
+ORACLE["op1_line_dedup"] = r"""
+with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from d),
+s as (select doc_id, line_no, list_sort(list_distinct(list_filter(
+        string_split_regex(line, '[ \t\v\f\r]'), lambda w: w <> ''))) as ws from l),
+c as (select ws, len(ws) as n, min((coalesce(doc_id, 9223372036854775807), line_no)) as first
+      from s where len(ws) > 0 group by ws),
+t as (select ws, n, first, unnest(ws) as w from c),
+f as (select w, count(*) as k from t group by w),
+o as (select t.ws, t.n, t.first, t.w, row_number() over (partition by t.ws order by f.k, t.w) as p from t join f on t.w = f.w),
+h as (select * from o where p <= n - ceil(0.8 * n - 1e-9) + 1),
+e as (select distinct a.ws as ws, b.ws as other from h a join h b
+      on a.w = b.w and b.first < a.first and b.n <= a.n / 0.8 + 1e-9 and b.n >= 0.8 * a.n - 1e-9),
+m as (select ws, len(ws) + len(other) as total, len(list_intersect(ws, other)) as common from e),
+g as (select distinct ws from m where common >= 0.8 * (total - common) - 1e-9),
+r as (select s.doc_id, s.line_no from s join c on s.ws = c.ws left join g on s.ws = g.ws
+      where g.ws is not null or (coalesce(s.doc_id, 9223372036854775807), s.line_no) <> c.first),
+p as (select doc_id, count(*) as n_removed, string_agg(line_no, ',' order by line_no) as removed from r group by doc_id)
+select d.doc_id, cast(len(ls) as int) as n_lines, cast(coalesce(n_removed, 0) as int) as n_removed,
+  coalesce(removed, '') as removed
+from d left join p on d.doc_id = p.doc_id
+"""
+
+
+@query
+def op8_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of whole documents."""
+    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "kept")
