@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.llm import line_dedup, odd_minhash, packing, token_cache
+from kappaflow.llm import dimension_scan, line_dedup, odd_minhash, packing, perspectives, token_cache, url_filters
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,84 @@ def op8_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of whole documents."""
     return odd_minhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op2_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from every participant's side, as segments."""
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op2_perspectives"] = """
+with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
+p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
+h as (select t.*, p.perspective, case when speaker = 'system' then '<|system|>'
+        when speaker = perspective then '<|assistant|>' else '<|user:' || speaker || '|>' end || chr(10) as header
+      from t join p on t.conv_id is not distinct from p.conv_id),
+s as (select *, header || text || '<|end|>' || chr(10) as segment from h),
+o as (select *, length(segment) as chars,
+        row_number() over (partition by conv_id, perspective order by turn nulls last, speaker, text) - 1 as seq,
+        sum(length(segment)) over (partition by conv_id, perspective order by turn nulls last, speaker, text
+          rows between unbounded preceding and current row) as e
+      from s)
+select conv_id, perspective, seq, turn, speaker, segment, cast(e - chars as bigint) as start, cast(e as bigint) as "end",
+  cast(case when speaker = perspective then e - chars + length(header) end as bigint) as mask_start,
+  cast(case when speaker = perspective then e end as bigint) as mask_end
+from o
+"""
+
+
+@query
+def op4_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth vector."""
+    return dimension_scan.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5, dim=64)
+
+
+# Fetch times and the dated list are derived from `pages` (which has neither)
+# with the same md5 arithmetic in both engines.
+_DAY = "cast(conv(substr(md5({x}), 1, 7), 16, 10) as bigint) % {m}"
+
+
+@query
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page capture against a dated list: each host has three entries,
+    each domain two, each URL whose digest starts with 0 one."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda x, m: F.expr(f"date_add(date'2024-01-01', cast({_DAY.format(x=x, m=m)} as int))")
+    captures = pages.withColumn("fetched", day("concat('fetch', cast(page_id as string))", 366))
+    made = []
+    for kind, n in (("host", 3), ("domain", 2), ("url", 1)):
+        names = pages.select(url_filters.entity(kind, F.col("url")).alias("entity")).dropna().distinct()
+        if kind == "url":
+            names = names.filter("substr(md5(entity), 1, 1) = '0'")
+        made.append(names.selectExpr(f"'{kind}' as kind", "entity", f"explode(sequence(1, {n})) as j"))
+    rows = made[0].unionByName(made[1]).unionByName(made[2])
+    entries = rows.select(
+        "kind", "entity", day("concat(kind, entity, cast(j as string))", 366).alias("listed_on"),
+        F.expr("case " + _DAY.format(x="concat('act', kind, entity, cast(j as string))", m=3)
+               + " when 0 then 'block' when 1 then 'allow' else 'drop' end").alias("action"))
+    return url_filters.evaluate(captures, entries)
+
+
+ORACLE["op10_url_filters"] = r"""
+with n as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host,
+    regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#]*', ''), '#.*$', '') as rest from pages),
+c as (select page_id, url, host, host || rest as u, nullif(regexp_extract(host, '([^.]+\.[^.]+)$', 1), '') as dom,
+    date '2024-01-01' + cast(('0x' || substr(md5('fetch' || page_id), 1, 7))::bigint % 366 as int) as fetched from n where host <> ''),
+x as (select distinct 'host' as kind, host as entity, unnest([1, 2, 3]) as j from c
+  union all select distinct 'domain', dom, unnest([1, 2]) from c where dom is not null
+  union all select distinct 'url', u, 1 from c where substr(md5(u), 1, 1) = '0'),
+e as (select kind, entity, date '2024-01-01' + cast(('0x' || substr(md5(kind || entity || j), 1, 7))::bigint % 366 as int) as d,
+    ('0x' || substr(md5('act' || kind || entity || j), 1, 7))::bigint % 3 as r from x),
+g as (select kind, entity, d, min(r) as r from e group by all),
+i as (select *, lead(d) over (partition by kind, entity order by d) as until from g),
+v as (select kind, entity, case r when 0 then 'block' else 'allow' end as decision, d, until from i where r < 2),
+m as (select c.*, coalesce(a.kind, b.kind, f.kind) as kind,
+    case when a.kind is not null then a.decision when b.kind is not null then b.decision else coalesce(f.decision, 'none') end as decision,
+    case when a.kind is not null then a.d when b.kind is not null then b.d else f.d end as valid_from,
+    case when a.kind is not null then a.until when b.kind is not null then b.until else f.until end as valid_to
+  from c left join v a on a.kind = 'url' and a.entity = c.u and a.d <= fetched and (a.until is null or fetched < a.until)
+  left join v b on b.kind = 'host' and b.entity = c.host and b.d <= fetched and (b.until is null or fetched < b.until)
+  left join v f on f.kind = 'domain' and f.entity = c.dom and f.d <= fetched and (f.until is null or fetched < f.until))
+select page_id, url, fetched, decision, kind, valid_from, valid_to from m
+"""

@@ -138,3 +138,32 @@ def test_queries(spark):
     for r in QUERIES["op7_token_cache"](spark, SF).collect():
         n = len(tok.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 2048)
+
+
+def test_nearest_vectors(spark):
+    rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=8)], "c") for i in range(300)]
+    rows += [(300, rows[0][1], "copy"), (301, None, ""), (302, [0.0] * 8, ""), (303, [float("nan")] * 8, ""),
+             (304, [1.0], ""), (305, [None] * 8, ""), (306, [1e200] * 8, ""), (None, [1.0] * 8, "")]
+    from kappaflow.llm import dimension_scan
+
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string")
+    got = {}
+    for r in dimension_scan.nearest(df, "vec_id % 20 = 0", k=5, dim=8).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    ids = np.array([r[0] for r in rows if r[0] is not None and r[0] not in (301, 302, 303, 304, 305)])
+    v = np.array([r[1] for r in rows if r[0] in set(ids.tolist())])
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    u = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    hits = 0
+    queries = [i for i in ids if i % 20 == 0]
+    assert set(got) == set(queries)
+    for q in queries:
+        s = u @ u[ids == q][0]
+        s[ids == q] = -9
+        want = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
+        assert [x[2] for x in found] == sorted((x[2] for x in found), reverse=True)
+        hits += len(want & {x for _, x, _ in found})
+    assert hits >= 0.9 * 5 * len(queries)
+    assert dimension_scan.nearest(df.limit(0), "vec_id % 20 = 0", dim=8).count() == 0
