@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.llm import dimension_scan, line_dedup, odd_minhash, packing, perspectives, token_cache, url_filters
+from kappaflow.llm import decontamination, dimension_scan, line_dedup, odd_minhash, packing, perspectives, token_cache, url_filters
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,26 @@ m as (select c.*, coalesce(a.kind, b.kind, f.kind) as kind,
   left join v f on f.kind = 'domain' and f.entity = c.dom and f.d <= fetched and (f.until is null or fetched < f.until))
 select page_id, url, fetched, decision, kind, valid_from, valid_to from m
 """
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item, with the exact containment."""
+    found = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shared", "n_item", F.round("containment", 9).alias("containment"))
+
+
+ORACLE["op6_decontamination"] = r"""
+with d as (select doc_id as id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\v\f\r]'), lambda w: w <> '') as ws
+  from documents),
+b as (select item_id as id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n\v\f\r]'), lambda w: w <> '') as ws
+  from benchmark),
+q as (select distinct id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3),
+    lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from b),
+s as (select distinct id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3),
+    lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from d),
+n as (select id, count(*) as n from q group by id),
+m as (select s.id as doc_id, q.id as item_id, count(*) as k from s join q on s.g = q.g group by all)
+select doc_id, item_id, cast(k as int) as n_shared, cast(n.n as int) as n_item, round(k / n.n, 9) as containment
+from m join n on m.item_id = n.id where k >= n.n - floor(0.25 * n.n + 1e-9)
+"""
