@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.llm import decontamination, dimension_scan, line_dedup, odd_minhash, packing, perspectives, token_cache, url_filters
+from kappaflow.llm import decontamination, dimension_scan, importance, line_dedup, odd_minhash, packing, perspectives, token_cache, toxicity_crf, url_filters
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,25 @@ m as (select s.id as doc_id, q.id as item_id, count(*) as k from s join q on s.g
 select doc_id, item_id, cast(k as int) as n_shared, cast(n.n as int) as n_item, round(k / n.n, 9) as containment
 from m join n on m.item_id = n.id where k >= n.n - floor(0.25 * n.n + 1e-9)
 """
+
+
+@query
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents and the Gumbel top-k sample; the
+    target model is counted over the documents labelled good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return importance.resample(table(spark, sf_dir, "documents"), good).select(
+        "doc_id", "log_weight", "gumbel_key", "kept")
+
+
+@query
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole documents; labels with crc32(doc_id) mod 5 = 0 are
+    held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    model = toxicity_crf.fit(docs, labels.filter(~held_out).select("doc_id", "toxic"))
+    return toxicity_crf.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic",
+        F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))),
+                     ";").alias("spans"))
