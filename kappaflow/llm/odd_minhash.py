@@ -287,11 +287,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                .select("set_key", "first_row", F.coalesce("label", "n").alias("label")))
     first = classes.groupBy("label").agg(F.min("first_row").alias("f"))
     classes = classes.join(first, "label").select("set_key", F.col("f.doc_id").alias("c_id"), F.col("f.uid").alias("c_uid"))
-    return (sig.select("doc_id", "n_shingles", "set_key", "uid").join(classes, "set_key", "left")
+    return (sig.select("doc_id", "text_key", "n_shingles", "set_key", "uid").join(classes, "set_key", "left")
             .withColumn("component_id", F.when(F.col("c_uid").isNull(), F.col("doc_id")).otherwise(F.col("c_id")))
             .select("doc_id", "n_shingles", "component_id",
                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-                    (F.coalesce("c_uid", "uid") == F.col("uid")).alias("keeper"), "uid"))
+                    (F.coalesce("c_uid", "uid") == F.col("uid")).alias("keeper"), "text_key"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of every component: the one of the smallest
+    doc_id.  Rows equal in doc_id and text count as one."""
+    keep = (near_duplicates(docs).filter("keeper").select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_text"))
+            .distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    rows = rows.select("d", F.col("d.doc_id").cast("bigint").alias("id"),
+                       F.unhex(F.md5(F.coalesce("d.text", F.lit("")))).alias("key"))
+    rows = rows.join(keep, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("key") == F.col("k_text")), "left_semi")
+    return rows.dropDuplicates(["id", "key"]).select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
