@@ -13,7 +13,6 @@ import re
 from collections.abc import Callable, Iterable
 
 GAP = re.compile(r"(?<=\S) (?=\S)")
-ODD_GAP = re.compile(r" \s|\s |^ | $")
 SUB_BATCH_CHARS = 2_000_000
 
 
@@ -25,11 +24,10 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def cut_at_spaces(text: str) -> list[str]:
-    """Cut at every single space between two characters that are not white
-    space; the space is dropped.  The first chunk has no space in front, all
-    others have one, so ``" ".join(chunks) == text``."""
-    return GAP.split(text) if ODD_GAP.search(text) else text.split(" ")
+def odd(chunk: str) -> bool:
+    """Whether a piece between two spaces lies next to more white space, so
+    that the spaces are no places to cut."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 def sub_batches(texts: Iterable[str], size: int = SUB_BATCH_CHARS) -> Iterable[list[str]]:
@@ -50,13 +48,14 @@ def sub_batches(texts: Iterable[str], size: int = SUB_BATCH_CHARS) -> Iterable[l
 class ChunkMemo:
     """chunk -> value, for values made in batches by ``make``."""
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 300_000):
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 300_000,
+                 skip: Callable[[str], bool] = lambda c: False):
+        self.make, self.limit, self.skip = make, limit, skip
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
     def values(self, chunks: set[str]) -> dict[str, object]:
-        """A dict that holds at least ``chunks``."""
+        """A dict that holds at least those ``chunks`` that ``skip`` allows."""
         if len(self.young) > self.limit:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
@@ -65,7 +64,8 @@ class ChunkMemo:
             if c not in young:
                 v = old.get(c)
                 if v is None:
-                    missing.append(c)
+                    if not self.skip(c):
+                        missing.append(c)
                 else:
                     young[c] = v
         if missing:

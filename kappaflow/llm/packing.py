@@ -31,35 +31,66 @@ END_ID = b"\0\0\0\0"
 PIECE_FIELDS = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
                 T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
 RANK_BUCKET_ROWS = 20_000
-_MEMOS: dict[str, tuple[bpe.ChunkMemo, bpe.ChunkMemo]] = {}
+MEMO_CHUNKS = 800_000
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
 # ---- tokens ---------------------------------------------------------------
 
-def _memos(path: str) -> tuple[bpe.ChunkMemo, bpe.ChunkMemo]:
-    """Memos for chunks at the start of a text and for chunks after a space."""
-    if path not in _MEMOS:
-        tok = bpe.load(path)
-
-        def ids(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes()
-                    for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
-
-        _MEMOS[path] = (bpe.ChunkMemo(ids, 50_000),
-                        bpe.ChunkMemo(lambda chunks: ids([" " + c for c in chunks])))
-    return _MEMOS[path]
+class Encoder:
+    """Ids of whole texts as a byte-level tokenizer of the library gives them
+    without added special tokens, as little-endian unsigned 32-bit bytes.
+
+    A single space between two characters that are not white space starts a
+    token, so texts are cut there.  Unknown words are encoded many at a time,
+    joined by such spaces: a token begins with the byte of the space exactly
+    where a word begins."""
+
+    def __init__(self, path: str):
+        self.tok = bpe.load(path)
+        vocab = self.tok.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # byte 0x20
+        self.first = bpe.ChunkMemo(self.each, 50_000, bpe.odd)
+        self.later = bpe.ChunkMemo(self.joined, MEMO_CHUNKS, bpe.odd)
+
+    def each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes()
+                for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def joined(self, words: list[str], together: int = 50) -> list[bytes]:
+        """Ids of each word with a space in front."""
+        texts = [" " + " ".join(words[i:i + together]) for i in range(0, len(words), together)]
+        raw = b"".join(self.each(texts))
+        cuts = np.flatnonzero(self.starts[np.frombuffer(raw, dtype="<u4")])
+        if len(cuts) != len(words):
+            return self.each([" " + w for w in words])
+        ends = [*(cuts * 4).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def by_gaps(self, text: str) -> bytes:
+        """A text with other white space next to its spaces."""
+        head, *rest = bpe.GAP.split(text)
+        plain = self.later.values({c for c in rest if " " not in c})
+        return b"".join([*self.each([head]), *(plain[c] if c in plain else self.each([" " + c])[0] for c in rest)])
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        for part in bpe.sub_batches(texts):
+            words = [t.split(" ") for t in part]
+            heads = self.first.values({w[0] for w in words})
+            known = self.later.values(set().union(*(w[1:] for w in words))).__getitem__
+            for t, w in zip(part, words):
+                try:
+                    ids = heads[w[0]] + b"".join(map(known, w[1:]))
+                except KeyError:
+                    ids = self.by_gaps(t)
+                yield ids
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, as the library gives
-    them for the whole text without added special tokens."""
-    first, later = _memos(path)
-    for part in bpe.sub_batches(texts):
-        chunks = [bpe.cut_at_spaces(t) for t in part]
-        heads = first.values({c[0] for c in chunks})
-        known = later.values(set().union(*(c[1:] for c in chunks))).__getitem__
-        for c in chunks:
-            yield heads[c[0]] + b"".join(map(known, c[1:]))
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path].texts(texts)
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
