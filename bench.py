@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from kappaflow.plans.queries import FLAGSHIP, QUERIES  # noqa: E402
-from kappaflow.session import build_session  # noqa: E402
+from kappaflow.session import local_session  # noqa: E402
 
 
 def run(df) -> None:
@@ -28,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
+    spark = local_session(cpus)
     run(QUERIES[FLAGSHIP](spark, sf_dir))  # warm-up (JIT, Python workers)
     times: dict[str, float] = {}
     failed: dict[str, str] = {}

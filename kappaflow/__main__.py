@@ -28,7 +28,7 @@ from kappaflow.sources import sinks
 def _essays(spark, args):
     if args.essays:
         return spark.read.parquet(args.essays)
-    return ES.ingest_essays(spark, ES.split_paths(args.data_dir), os.path.join(args.out, "essays"))
+    return ES.ingest_essays(spark, ES.split_paths(args.data_dir), os.path.join(args.out, "essays"), args.id_col)
 
 
 def _revision(essays) -> str:
@@ -41,12 +41,14 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("command", choices=["embed", "train", "end_to_end", "fine_tune"])
     p.add_argument("--data-dir", default="./data")
     p.add_argument("--essays", default=None, help="parquet essay table instead of the CSV splits")
+    p.add_argument("--id-col", default=None, help="column of the CSV splits that identifies an essay")
     p.add_argument("--out", required=True)
     p.add_argument("--dim", type=int, default=256)
     p.add_argument("--epochs", type=int, default=ScorerConfig.epochs)
     p.add_argument("--patience", type=int, default=ScorerConfig.patience)
     p.add_argument("--lr", type=float, default=ScorerConfig.lr)
     p.add_argument("--n-exp", type=int, default=1)
+    p.add_argument("--max-sentences", type=int, default=None, help="fine_tune: keep the first n sentences of every essay")
     p.add_argument("--master", default=None)
     return p.parse_args(argv)
 
@@ -65,7 +67,7 @@ def run(spark, args: argparse.Namespace) -> None:
     elif args.command == "end_to_end":
         PL.end_to_end(spark, essays, args.out, dim=args.dim, cfg=cfg)
     else:
-        PL.fine_tune(spark, essays, args.out, dim=args.dim, cfg=cfg)
+        PL.fine_tune(spark, essays, args.out, dim=args.dim, cfg=cfg, max_sentences=args.max_sentences)
     sinks.append_run_record(
         spark, os.path.join(args.out, "runs"), run_id=str(uuid.uuid4()), entry_point=args.command,
         commit=os.environ.get("GIT_COMMIT"), data_revision=_revision(essays), seed=cfg.seed,

@@ -23,11 +23,13 @@ def to_unit(score, max_score: int = MAX_SCORE) -> Column:
 
 
 def score_int(pred01, max_score: int = MAX_SCORE, clip: bool = True) -> Column:
-    """0..1 prediction -> integer 0..max, rounding half to even (2.5 -> 2)."""
-    x = F.rint(_col(pred01) * F.lit(float(max_score)))
+    """0..1 prediction -> integer 0..max, rounding half to even (2.5 -> 2);
+    NaN has no score (NULL), infinities are clipped."""
+    p = _col(pred01)
+    x = F.rint(p * F.lit(float(max_score)))
     if clip:
         x = F.least(F.lit(float(max_score)), F.greatest(F.lit(0.0), x))
-    return x.cast("int")
+    return F.when(p.isNotNull() & ~F.isnan(p), x).cast("int")
 
 
 def truncate_int(x) -> Column:
@@ -51,35 +53,37 @@ def stable_round(x, digits: int = RESULT_DIGITS) -> Column:
     NaN and very large values pass through unchanged."""
     c = _col(x)
     s = float(10 ** digits)
-    r = F.floor(c * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s)
-    return F.when(F.isnan(c) | (F.abs(c) >= F.lit(1e9)), c).otherwise(r)
+    small = F.when(~F.isnan(c) & (F.abs(c) < F.lit(1e9)), c)
+    r = F.floor(small * F.lit(s) + F.lit(0.5)).cast("double") / F.lit(s)
+    return F.coalesce(r, c)
 
 
-def stable_round_sql(expr: str, digits: int = RESULT_DIGITS) -> str:
-    """SQL twin of ``stable_round``."""
-    s = f"CAST({10 ** digits} AS DOUBLE)"
-    return (f"(CASE WHEN isnan({expr}) OR abs({expr}) >= CAST(1e9 AS DOUBLE) THEN {expr} "
-            f"ELSE CAST(floor(({expr}) * {s} + CAST(0.5 AS DOUBLE)) AS DOUBLE) / {s} END)")
+def loss_kind(x) -> Column:
+    """"nan", "inf" or "finite": what a loss is, next to its rounded value."""
+    c = _col(x)
+    return F.when(F.isnan(c), "nan").when(F.abs(c) == F.lit(float("inf")), "inf").when(c.isNotNull(), "finite")
 
 
-EXACT_DIGITS = 12
+def loss_value(x) -> Column:
+    """A finite loss, rounded for comparison: ``stable_round`` below 1e9,
+    whole millions above; NULL otherwise (see ``loss_kind``)."""
+    c = _col(x)
+    big = F.floor(c / F.lit(1e6) + F.lit(0.5)).cast("double") * F.lit(1e6)
+    return F.when(loss_kind(c) == "finite", F.when(F.abs(c) >= F.lit(1e9), big).otherwise(stable_round(c)))
 
 
-def exact_units(x, digits: int = EXACT_DIGITS) -> Column:
-    """``x`` as an integer number of 10^-digits units (decimal(38,0))."""
-    return F.floor(_col(x) * F.lit(float(10 ** digits)) + F.lit(0.5)).cast("decimal(38,0)")
+def loss_kind_sql(expr: str) -> str:
+    return f"(CASE WHEN isnan({expr}) THEN 'nan' WHEN isinf({expr}) THEN 'inf' WHEN {expr} IS NOT NULL THEN 'finite' END)"
 
 
-def exact_avg(x, digits: int = EXACT_DIGITS) -> Column:
-    """Mean of a double column whose result does not depend on summation
-    order: every value is fixed to 10^-digits units, the units are summed
-    exactly (decimal), and one division follows.  Non-NULL values count."""
-    total = F.sum(exact_units(x, digits)).cast("double") / F.lit(float(10 ** digits))
-    return total / F.count(_col(x)).cast("double")
+def loss_value_sql(expr: str) -> str:
+    return (f"(CASE WHEN isnan({expr}) OR isinf({expr}) THEN NULL WHEN abs({expr}) >= CAST(1e9 AS DOUBLE) "
+            f"THEN floor({expr} / CAST(1e6 AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST(1e6 AS DOUBLE) "
+            f"ELSE {stable_round_sql(expr)} END)")
 
 
-def exact_avg_sql(expr: str, digits: int = EXACT_DIGITS) -> str:
-    """SQL twin of ``exact_avg``."""
+def stable_round_sql(expr: str, digits: int = RESULT_DIGITS) -> str:
+    """SQL twin of ``stable_round``."""
     s = f"CAST({10 ** digits} AS DOUBLE)"
-    return (f"(CAST(sum(CAST(floor(({expr}) * {s} + CAST(0.5 AS DOUBLE)) AS HUGEINT)) AS DOUBLE) / {s} "
-            f"/ CAST(count({expr}) AS DOUBLE))")
+    return (f"(CASE WHEN isnan({expr}) OR abs({expr}) >= CAST(1e9 AS DOUBLE) THEN {expr} "
+            f"ELSE CAST(floor(({expr}) * {s} + CAST(0.5 AS DOUBLE)) AS DOUBLE) / {s} END)")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from kappaflow.schema import FINE_TUNE_SEP, LABEL_SEP, PROMPT_FIRST_PREFIX, SENTENCE_SEP
 
@@ -64,7 +68,7 @@ def hash_token_ids(sentence, vocab_size: int = 8000, first_id: int = 5) -> Colum
     """Word-level hashing tokenizer: id = first_id + (md5 bucket of the word).
 
     md5 is used (not xxhash64) so the ids are reproducible in any SQL engine;
-    a real word-piece tokenizer plugs in through ``operators.encode``.
+    a real word-piece tokenizer plugs in through ``model_tokenizer``.
     """
     return F.transform(
         words(sentence),
@@ -72,6 +76,24 @@ def hash_token_ids(sentence, vocab_size: int = 8000, first_id: int = 5) -> Colum
                    + F.lit(first_id)).cast("int"))
 
 
+SPECIAL_IDS = (1, 2, 3)  # pad, CLS, SEP of the built-in ids
+
+
+def model_tokenizer(make_encode):
+    """A tokenizer for ``operators.text.tokenize`` from a library.
+
+    ``make_encode()`` runs once per Python worker and returns
+    ``encode(list[str]) -> list[list[int]]``; sentences come in Arrow batches,
+    a NULL sentence as an empty one."""
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = make_encode()
+        for s in batches:
+            yield pd.Series(encode(s.fillna("").tolist()), dtype=object)
+    # types are named here: the module's annotations are strings
+    ids.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(ids, "array<int>")
+
+
 def pad_token_ids(ids, max_len: int, pad_id: int = 1, cls_id: int = 2, sep_id: int = 3) -> Column:
     """``[CLS] ids [SEP]`` truncated to ``max_len`` (special tokens included)
     and right-padded with ``pad_id`` to exactly ``max_len``."""

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kappaflow.functions.text import SPECIAL_IDS, hash_token_ids
 from kappaflow.operators.text import tokenize
 from kappaflow.schema import MAX_TOKENS_RAW, SENTENCE_BATCH
 
@@ -58,30 +59,18 @@ def cls_vectors(hidden: np.ndarray) -> np.ndarray:
 
 
 def encode_with_model(rows: DataFrame, make_predict_fn, max_len: int = MAX_TOKENS_RAW,
-                      batch_size: int = SENTENCE_BATCH, keys=KEYS, rebalance: int | None = None) -> DataFrame:
+                      batch_size: int = SENTENCE_BATCH, keys=KEYS, rebalance: bool = True,
+                      tokenizer=hash_token_ids, special: tuple[int, int, int] = SPECIAL_IDS) -> DataFrame:
     """E1 + E2 with a supplied model.
 
     ``make_predict_fn()`` runs once per Python worker and returns
-    ``predict(input_ids, attention_mask) -> (n, dim) float array``.
-    ``rebalance`` hash-repartitions sentences first so one very long essay
-    does not leave its sentences in a single task."""
-    toks = tokenize(rows, max_len, keys)
+    ``predict(input_ids, attention_mask) -> (n, dim) float array``; ids come
+    from ``tokenizer`` (see ``operators.text.tokenize``).  Sentences are dealt
+    out by their key first (``rebalance``), so one very long essay does not
+    leave its sentences in a single task."""
     if rebalance:
-        toks = toks.repartition(rebalance, *keys)
+        rows = rows.repartition(*keys)
+    toks = tokenize(rows, max_len, keys, tokenizer, special)
     enc = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
                             input_tensor_shapes=[[max_len], [max_len]])
     return toks.select(*keys, enc(F.col("input_ids"), F.col("attention_mask")).alias("embedding"))
-
-
-def token_average_encoder(vocab_size: int = 8192, dim: int = 64, seed: int = 42):
-    """A small stand-in model for the hook: a seeded token-embedding table,
-    averaged over the attention mask.  Stands in for a real encoder."""
-    def make():
-        table = np.random.default_rng(seed).standard_normal((vocab_size + 16, dim)).astype(np.float32)
-
-        def predict(ids, mask):
-            ids = ids.astype(np.int64) % table.shape[0]
-            m = mask.astype(np.float32)[..., None]
-            return ((table[ids] * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1.0)).astype(np.float32)
-        return predict
-    return make

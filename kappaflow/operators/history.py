@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kappaflow.functions.scores import EXACT_DIGITS, exact_avg, exact_units, label01
+from kappaflow.functions.scores import label01
 from kappaflow.operators.ordering import row_index
 from kappaflow.schema import BASE_SEED, PATIENCE
 
@@ -25,9 +25,10 @@ def _sq_err(pred="pred01"):
 
 
 def mse_loss(preds: DataFrame, keys) -> DataFrame:
-    """plain MSE over every (essay, trait) value of a run."""
-    return preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    exact_avg(_sq_err()).alias("mse"))
+    """plain MSE over every (essay, trait) value of a run that has a
+    prediction and both ratings (``n`` counts them); a NaN or infinite
+    prediction shows in the loss."""
+    return preds.groupBy(*keys).agg(F.count(_sq_err()).alias("n"), F.avg(_sq_err()).alias("mse"))
 
 
 def eval_batch_ids(essays: DataFrame, batch_size: int, by=("split",)) -> DataFrame:
@@ -54,18 +55,35 @@ def mse_batch_mean(preds: DataFrame, batches: DataFrame, keys) -> DataFrame:
     """F3 as the loop reports it: mean over batches of each batch's MSE (a
     short last batch weighs as much as a full one)."""
     j = preds.join(batches.select("essay_id", "split", "batch"), ["essay_id", "split"])
-    per_batch = j.groupBy(*keys, "batch").agg(exact_avg(_sq_err()).alias("_bm"))
+    per_batch = j.groupBy(*keys, "batch").agg(F.avg(_sq_err()).alias("_bm"))
     return per_batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_batches"),
-                                        exact_avg("_bm").alias("loss"))
+                                        F.avg("_bm").alias("loss"))
 
 
-def running_loss(batch_losses: DataFrame, every: int = 10, by=("epoch",)) -> DataFrame:
-    """running mean of the batch loss within an epoch, reported after
-    every ``every``-th batch."""
-    w = Window.partitionBy(*by).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    units = F.sum(exact_units("loss")).over(w).cast("double") / F.lit(float(10 ** EXACT_DIGITS))
-    r = batch_losses.select(*by, "batch", (units / F.count("loss").over(w).cast("double")).alias("running_loss"))
-    return r.where(F.pmod(F.col("batch") + 1, F.lit(every)) == 0)
+REPORTS_PER_BLOCK = 1_000
+
+
+def running_loss(batch_losses: DataFrame, every: int = 10, by=("run_id", "epoch")) -> DataFrame:
+    """running mean of the batch loss within a run's epoch, reported after
+    every ``every``-th batch.
+
+    Batches are first summed per report, reports run within blocks of
+    ``REPORTS_PER_BLOCK`` and blocks add what earlier blocks hold, so no task
+    sees all batches of an epoch."""
+    by = list(by)
+    report = F.floor(F.col("batch") / F.lit(every)).cast("bigint")
+    r = (batch_losses.groupBy(*by, report.alias("_r"))
+         .agg(F.sum("loss").alias("_s"), F.count("loss").alias("_n"), F.max("batch").alias("batch"))
+         .withColumn("_b", F.floor(F.col("_r") / F.lit(REPORTS_PER_BLOCK)).cast("bigint")))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (r.groupBy(*by, "_b").agg(F.sum("_s").alias("_bs"), F.sum("_n").alias("_bn"))
+              .select(*by, "_b", F.coalesce(F.sum("_bs").over(before), F.lit(0.0)).alias("_s0"),
+                      F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_n0")))
+    w = Window.partitionBy(*by, "_b").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_s", F.coalesce(F.sum("_s").over(w), F.lit(0.0))).withColumn("_n", F.sum("_n").over(w)).join(blocks, [*by, "_b"])
+    n = F.col("_n") + F.col("_n0")
+    return (r.where(F.pmod(F.col("batch") + 1, F.lit(every)) == 0)
+            .select(*by, "batch", F.when(n > 0, (F.col("_s") + F.col("_s0")) / n).alias("running_loss")))
 
 
 def early_stopping(history: DataFrame, patience: int = PATIENCE, run_keys=("run_id",),
@@ -102,4 +120,4 @@ def experiment_mean(per_exp: DataFrame, keys, cols=("accuracy", "qwk")) -> DataF
     """F8: average per-experiment metrics over repeated experiments."""
     return per_exp.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_exp"),
-        *[exact_avg(c).alias(f"{c}_mean") for c in cols])
+        *[F.avg(c).alias(f"{c}_mean") for c in cols])

@@ -27,7 +27,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.functions.scores import exact_avg
 
 
 
@@ -154,7 +153,7 @@ def mae_rmse(ev: DataFrame, keys: Sequence[str]) -> DataFrame:
 def trait_mean(per_trait: DataFrame, keys: Sequence[str], cols=("accuracy", "qwk")) -> DataFrame:
     """I4: plain mean over traits of per-trait metrics (not the pooled I3).
     NULL kappas are skipped and counted in ``n_null_qwk``."""
-    aggs = [exact_avg(c).alias(f"{c}_mean") for c in cols]
+    aggs = [F.avg(c).alias(f"{c}_mean") for c in cols]
     aggs.append(F.count(F.lit(1)).alias("n_traits"))
     if "qwk" in cols:
         aggs.append(F.sum(F.when(F.col("qwk").isNull(), 1).otherwise(0)).alias("n_null_qwk"))

@@ -15,7 +15,9 @@ adds those vectors with map-side partial aggregation.  Only the model
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+import uuid
+import warnings
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaflow.functions.scores import label01
-from kappaflow.session import ensure_checkpoint_dir
+from kappaflow.session import drop_path, shared_dir
 from kappaflow.schema import BASE_SEED, N_EPOCHS, PATIENCE, TRAITS, q, rater_col
 
 
@@ -143,14 +145,24 @@ def fit_scorer(frame: DataFrame, cfg: ScorerConfig | None = None, run_id: str =
     ready for ``history.early_stopping``."""
     cfg = cfg or ScorerConfig()
     spark = frame.sparkSession
-    # read once per epoch: cut the lineage with a reliable checkpoint in the
-    # shared spark.checkpoint.dir, so a lost executor re-reads these rows
-    # instead of re-running encoding and pooling
-    ensure_checkpoint_dir(spark)
-    data = (frame.where(F.col("split").isin(cfg.train_split, cfg.valid_split))
-            .select("split", vector_to_array(features_col).alias("_x"), "labels")
-            .checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK))
-    first = data.select(F.size("_x").alias("d"), F.size("labels").alias("t")).first()
+    # read once per epoch: the narrow training rows are written to shared
+    # storage, so a lost executor re-reads them instead of re-running encoding
+    # and pooling, and removed when the fit ends
+    rows = (frame.where(F.col("split").isin(cfg.train_split, cfg.valid_split))
+            .select("split", vector_to_array(features_col).alias("_x"), "labels"))
+    path = f"{shared_dir(spark)}/scorer-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    data = spark.read.schema(rows.schema).parquet(path).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(data, cfg, run_id)
+    finally:
+        data.unpersist()
+        drop_path(spark, path)
+
+
+def _fit(data: DataFrame, cfg: ScorerConfig, run_id: str) -> tuple[TraitScorer, DataFrame]:
+    first = (data.where(F.col("split") == cfg.train_split)
+             .select(F.size("_x").alias("d"), F.size("labels").alias("t")).first())
     if first is None:
         raise ValueError("no training rows")
     dim, n_t = int(first["d"]), int(first["t"])
@@ -158,8 +170,8 @@ def fit_scorer(frame: DataFrame, cfg: ScorerConfig | None = None, run_id: str =
     W = rng.standard_normal((n_t, dim)) * cfg.init_scale
     b = np.zeros(n_t)
     mW, vW, mb, vb = np.zeros_like(W), np.zeros_like(W), np.zeros_like(b), np.zeros_like(b)
-    best = (float("inf"), W.copy(), b.copy(), -1)
-    patience, history = cfg.patience, []
+    best = None  # (validation loss, weights, bias, epoch)
+    history = []
     G, gb, sse_tr, n_tr, _, _ = _epoch_sums(data, W, b, cfg.train_split)
     for epoch in range(cfg.epochs):
         denom = max(n_tr, 1.0) * n_t
@@ -175,16 +187,16 @@ def fit_scorer(frame: DataFrame, cfg: ScorerConfig | None = None, run_id: str =
         G, gb, sse_tr, n_tr, sse_va, n_va = _epoch_sums(data, W, b, cfg.train_split)
         val_loss = sse_va / max(n_va * n_t, 1.0) if n_va else float("nan")
         history.append((run_id, epoch, float(train_loss), float(val_loss)))
-        if val_loss < best[0]:
-            best, patience = (val_loss, W.copy(), b.copy(), epoch), cfg.patience
-        else:
-            patience -= 1
-            if patience == 0:
-                break
-    data.unpersist()
+        if val_loss < (best[0] if best else float("inf")):
+            best = (val_loss, W.copy(), b.copy(), epoch)
+        if epoch - (best[3] if best else -1) >= cfg.patience:
+            break
+    if best is None:
+        if not history:
+            raise ValueError("no epoch was run")
+        warnings.warn(f"{run_id}: no epoch improved on the validation rows; the last epoch's weights are kept",
+                      stacklevel=3)
+        best = (history[-1][3], W, b, history[-1][1])
+    spark = data.sparkSession
     hist = spark.createDataFrame(history, "run_id string, epoch bigint, train_loss double, val_loss double")
     return TraitScorer(list(cfg.traits)[:n_t], best[1], best[2], best[3], float(best[0])), hist
-
-
-def config_json(cfg: ScorerConfig) -> str:
-    return json.dumps(asdict(cfg), sort_keys=True)

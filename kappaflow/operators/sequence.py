@@ -7,15 +7,13 @@ legacy embedding file (rows in essay order, no key) is handled by E4 / E5.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.functions.scores import stable_round
 from kappaflow.operators.ordering import running_offset
-from kappaflow.schema import MAX_SENTENCES
 
 
 
@@ -71,46 +69,51 @@ def essay_sequences(vectors: DataFrame, keys=("essay_id", "split")) -> DataFrame
                     F.transform("_s", lambda x: x["embedding"].cast("array<double>")).alias("sequence"))
 
 
-def pad_sequences(seqs: DataFrame, length: int = MAX_SENTENCES, keys=("essay_id", "split")) -> DataFrame:
-    """Right-pad every sequence with zero vectors to a fixed length and
-    keep the true length; longer sequences stay whole (never truncated).
+def pad_sequences(seqs: DataFrame, length: int | None = None, by=("split",), keys=("essay_id", "split")) -> DataFrame:
+    """Right-pad every sequence with zero vectors and keep the true length.
 
-    The length is a bound chosen up front (default: the 128-sentence cap),
-    not the longest essay in the data: one outlier essay must not inflate
-    every row.  A row's padding never depends on which rows share its batch."""
+    All sequences come out equally long: ``length`` when given, else the
+    longest of their batch (``by``).  A sequence above ``length`` is an error,
+    never cut."""
     dim = F.size(F.element_at("sequence", 1))
     zero = F.array_repeat(F.lit(0.0), dim)
-    pad = F.array_repeat(zero, F.greatest(F.lit(0), F.lit(int(length)) - F.size("sequence")))
-    return seqs.select(*keys, "seq_len", F.concat("sequence", pad).alias("padded"))
+    if length is None:
+        longest = seqs.groupBy(*by).agg(F.max("seq_len").alias("_len"))  # one row per batch
+        rows = seqs.join(longest, list(by))
+    else:
+        fits = F.col("seq_len") <= F.lit(int(length))
+        rows = seqs.withColumn("_len", F.when(fits, F.lit(int(length))).otherwise(
+            F.raise_error(F.lit(f"pad_sequences: a sequence is longer than {length}")).cast("int")))
+    pad = F.array_repeat(zero, F.col("_len") - F.size("sequence"))
+    return rows.select(*keys, "seq_len", F.concat("sequence", pad).alias("padded"))
 
 
-def pool_sequences(vectors: DataFrame, keys=("essay_id", "split")) -> DataFrame:
-    """Reduce each essay's sentence vectors to one vector.
+POOLS = ("mean", "max", "first", "last")
 
-    Mean and max come from ``Summarizer`` (JVM vector aggregate with bounded
-    state per group and map-side partial aggregation, so a very long essay is
-    combined across tasks); first / last are ``min_by`` / ``max_by`` on pos."""
-    v = vectors.select(*keys, "pos", "embedding", array_to_vector(_as_double_array("embedding")).alias("_v"))
-    g = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        Summarizer.metrics("mean", "max").summary(F.col("_v")).alias("_s"),
-        F.min_by("embedding", "pos").alias("_first"),
-        F.max_by("embedding", "pos").alias("_last"))
-    rnd = lambda c: F.transform(c, lambda x: stable_round(x))
-    return g.select(*keys, "n",
-                    rnd(vector_to_array(F.col("_s.mean"))).alias("mean"),
-                    vector_to_array(F.col("_s.max")).alias("max"),
-                    _as_double_array("_first").alias("first"),
-                    _as_double_array("_last").alias("last"))
 
+def pool_sequences(vectors: DataFrame, how=POOLS, keys=("essay_id", "split")) -> DataFrame:
+    """Reduce each essay's sentence vectors to one ML vector per pooling
+    in ``how``, with the number of vectors ``n``.
 
-def pooled_features(vectors: DataFrame, how: str = "mean", keys=("essay_id", "split")) -> DataFrame:
-    """E8 for the scorer: one pooling into an ML ``features`` vector.
+    Mean and max come from ``Summarizer`` (JVM vector aggregate with bounded
+    state per group and map-side partial aggregation, so a very long essay is
+    combined across tasks); first / last are ``min_by`` / ``max_by`` on pos.
     ``embedding`` may be an array or an ML vector (sparse vectors stay sparse)."""
-    if how not in ("mean", "max"):
-        raise ValueError("how must be mean or max")
+    how = [how] if isinstance(how, str) else list(how)
+    if not how or set(how) - set(POOLS):
+        raise ValueError(f"how must be among {POOLS}")
     emb = vectors.schema["embedding"].dataType
     vec = F.col("embedding") if isinstance(emb, VectorUDT) else array_to_vector(_as_double_array("embedding"))
-    v = vectors.select(*keys, vec.alias("_v"))
-    return v.groupBy(*keys).agg(Summarizer.metrics(how).summary(F.col("_v")).alias("_s")) \
-            .select(*keys, F.col(f"_s.{how}").alias("features"))
+    pos = ["pos"] if {"first", "last"} & set(how) else []
+    sums = [m for m in ("mean", "max") if m in how]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if sums:
+        aggs.append(Summarizer.metrics(*sums).summary(F.col("_v")).alias("_s"))
+    aggs += [f("_v", "pos").alias(name) for name, f in (("first", F.min_by), ("last", F.max_by)) if name in how]
+    g = vectors.select(*keys, *pos, vec.alias("_v")).groupBy(*keys).agg(*aggs)
+    return g.select(*keys, "n", *[F.col(f"_s.{m}").alias(m) if m in sums else F.col(m) for m in how])
+
+
+def pooled_features(vectors: DataFrame, how: str = "mean", keys=("essay_id", "split")) -> DataFrame:
+    """E8 for the scorer: one pooling as the ``features`` vector."""
+    return pool_sequences(vectors, [how], keys).select(*keys, F.col(how).alias("features"))

@@ -11,29 +11,16 @@ from kappaflow.schema import MAX_SENTENCES, PROMPT_COL, TEXT_COL, VARIANTS, q
 
 
 def sentences(essays: DataFrame, mode: str = "none", keys=("essay_id", "split"),
-              max_sentences: int | None = None, compat_cap: bool = False) -> DataFrame:
+              max_sentences: int | None = None) -> DataFrame:
     """One row per essay with its ordered sentence array.
 
     ``mode``: none | labeled (``<prompt>###s``) | fine_tune (``<prompt>#s``) |
     prompt_first (extra first sentence ``prompt:<prompt>``).
-    ``max_sentences`` keeps the first n sentences of every essay.  With
-    ``compat_cap`` the cap applies only in splits holding more than n essays
-    (the original rule tested the size of the essay list, not of the essay).
-    """
+    ``max_sentences`` keeps the first n sentences of every essay (default:
+    all).  An essay without text has a NULL array."""
     raw = T.split_sentences(F.col(q(TEXT_COL)))
-    s = essays.select(*keys, F.col(q(PROMPT_COL)).alias("prompt"),
-                      T.attach_prompt(raw, F.col(q(PROMPT_COL)), mode).alias("sentences"))
-    if max_sentences is not None:
-        if compat_cap:
-            # per-split essay counts: one small aggregate (#splits rows), broadcast
-            sizes = essays.groupBy("split").agg(F.count(F.lit(1)).alias("_split_n"))
-            s = s.join(F.broadcast(sizes), "split")
-            capped = F.when(F.col("_split_n") > max_sentences, T.cap_sentences("sentences", max_sentences)) \
-                      .otherwise(F.col("sentences"))
-            s = s.withColumn("sentences", capped).drop("_split_n")
-        else:
-            s = s.withColumn("sentences", T.cap_sentences("sentences", max_sentences))
-    return s.drop("prompt")
+    s = essays.select(*keys, T.attach_prompt(raw, F.col(q(PROMPT_COL)), mode).alias("sentences"))
+    return s if max_sentences is None else s.withColumn("sentences", T.cap_sentences("sentences", max_sentences))
 
 
 def sentence_rows(sents: DataFrame, keys=("essay_id", "split")) -> DataFrame:
@@ -47,11 +34,15 @@ def sentence_counts(sents: DataFrame, keys=("essay_id", "split")) -> DataFrame:
 
 
 def tokenize(rows: DataFrame, max_len: int, keys=("essay_id", "split", "pos"),
-             vocab_size: int = 8000) -> DataFrame:
-    """D8 + D9: fixed-length token ids and attention mask per sentence."""
-    ids = T.hash_token_ids(F.col("sentence"), vocab_size)
-    t = rows.select(*keys, ids.alias("_ids"))
-    return t.select(*keys, T.pad_token_ids(F.col("_ids"), max_len).alias("input_ids"),
+             tokenizer=T.hash_token_ids, special: tuple[int, int, int] = T.SPECIAL_IDS) -> DataFrame:
+    """D8 + D9: fixed-length token ids and attention mask per sentence.
+
+    ``tokenizer`` maps the sentence column to an ``array<int>`` column of ids
+    without special tokens: an expression, or ``functions.text.model_tokenizer``
+    around a tokenizer library; ``special`` are its pad, CLS and SEP ids."""
+    pad, cls, sep = special
+    t = rows.select(*keys, tokenizer(F.col("sentence")).alias("_ids"))
+    return t.select(*keys, T.pad_token_ids(F.col("_ids"), max_len, pad, cls, sep).alias("input_ids"),
                     T.attention_mask(F.col("_ids"), max_len).alias("attention_mask"))
 
 

@@ -87,10 +87,22 @@ FROM documents"""
     return "history", sql
 
 
+def spoiled_cte() -> tuple[str, str]:
+    run = lambda v, e: f"(essay_id % 50 = 7 AND variant = '{FIXTURE_VARIANTS[v]}' AND exp = {e})"
+    return "spoiled", (
+        f"SELECT essay_id, split, variant, exp, trait, CASE WHEN {run(0, 0)} THEN NULL ELSE r1 END AS r1, r2, "
+        f"CASE WHEN {run(0, 1)} THEN CAST(5e7 AS DOUBLE) WHEN {run(1, 0)} THEN CAST('inf' AS DOUBLE) "
+        f"WHEN {run(1, 1)} THEN CAST('nan' AS DOUBLE) ELSE pred01 END AS pred01 FROM predictions")
+
+
 def batch_losses_cte() -> tuple[str, str]:
-    sql = f"""SELECT doc_id // {BATCHES_PER_EPOCH} AS epoch, doc_id % {BATCHES_PER_EPOCH} AS batch,
-  CAST(n_chars % 97 AS DOUBLE) / CAST(100 AS DOUBLE) AS loss
-FROM documents"""
+    e, b = f"(doc_id // {BATCHES_PER_EPOCH})", f"(doc_id % {BATCHES_PER_EPOCH})"
+    sql = f"""SELECT run_id, epoch, batch, loss * (run_id + 1) AS loss FROM (
+  SELECT CAST(unnest([0, 1]) AS BIGINT) AS run_id, {e} AS epoch, {b} AS batch,
+    CASE WHEN {b} = 37 AND {e} % 5 = 1 THEN NULL WHEN {b} = 37 AND {e} % 5 = 2 THEN CAST(5e7 AS DOUBLE)
+      WHEN {b} = 37 AND {e} % 5 = 3 THEN CAST('inf' AS DOUBLE) WHEN {b} = 37 AND {e} % 5 = 4 THEN CAST('nan' AS DOUBLE)
+      ELSE CAST(n_chars % 97 AS DOUBLE) / CAST(100 AS DOUBLE) END AS loss
+  FROM documents) u"""
     return "batch_losses", sql
 
 

@@ -27,7 +27,7 @@ from kappaflow.operators import sequence as S
 from kappaflow.operators import text as X
 from kappaflow.operators.encode import encode_hashing, encode_with_model, fit_hashing_encoder
 from kappaflow.operators.scorer import ScorerConfig, TraitScorer, fit_scorer, label_frame
-from kappaflow.schema import BASE_SEED, MAX_SENTENCES, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, VARIANTS
+from kappaflow.schema import BASE_SEED, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, VARIANTS
 from kappaflow.sources import embeddings as EMB
 from kappaflow.sources import sinks
 
@@ -35,29 +35,45 @@ EVAL_BATCH = 128
 RUN = ["split", "variant", "exp"]
 
 
+MODE_TOKENS = {"none": MAX_TOKENS_RAW, "prompt_first": MAX_TOKENS_RAW, "labeled": MAX_TOKENS_LABELED,
+               "fine_tune": MAX_TOKENS_LABELED}
+
+
+def sentence_table(essays: DataFrame, mode: str = "none", max_sentences: int | None = None) -> DataFrame:
+    """Every sentence of every essay: (essay_id, split, pos, sentence)."""
+    return X.sentence_rows(X.sentences(essays, mode, max_sentences=max_sentences))
+
+
 def sentence_vectors(essays: DataFrame, mode: str = "none", dim: int = 256, encoder=None,
-                     max_sentences: int | None = None, compat_cap: bool = False,
-                     as_vector: bool = False) -> DataFrame:
+                     max_sentences: int | None = None,
+                     as_vector: bool = False, max_len: int | None = None, **tokenizer) -> DataFrame:
     """E1 over every sentence of every essay: keyed (essay_id, split, pos, embedding).
     The built-in encoder fits its IDF on training sentences only; with
-    ``as_vector`` it returns sparse ML vectors for immediate pooling."""
-    rows = X.sentence_rows(X.sentences(essays, mode, max_sentences=max_sentences, compat_cap=compat_cap))
+    ``as_vector`` it returns sparse ML vectors for immediate pooling.  A
+    supplied encoder gets ``max_len`` tokens (default: ``MODE_TOKENS``) of the
+    ``tokenizer`` given (see ``encode_with_model``)."""
+    rows = sentence_table(essays, mode, max_sentences)
     if encoder is None:
         model = fit_hashing_encoder(rows.where(F.col("split") == "train"), dim)
         return encode_hashing(model, rows, as_vector=as_vector)
-    max_len = MAX_TOKENS_RAW if mode == "none" else MAX_TOKENS_LABELED
-    return encode_with_model(rows, encoder, max_len)
+    return encode_with_model(rows, encoder, max_len or MODE_TOKENS[mode], **tokenizer)
 
 
 def embedding_job(spark: SparkSession, essays: DataFrame, out: str, variants=VARIANTS, dim: int = 256,
-                  encoder=None) -> DataFrame:
-    """Stage 1: vectors for every variant, stored keyed and partitioned (A4/A5)."""
+                  encoder=None, encoder_id: str | None = None, **tokenizer) -> DataFrame:
+    """Stage 1: vectors for every variant, stored by data revision and encoder
+    (A4/A5).  A supplied encoder needs an ``encoder_id`` that changes with it."""
+    if encoder is not None and not encoder_id:
+        raise ValueError("name the encoder: stored vectors are found again by encoder_id")
+    found = None
     for tag, with_prompt in variants:
         mode = "labeled" if with_prompt else "none"
-        EMB.materialize_embeddings(
-            spark, out, lambda m=mode, t=tag: sentence_vectors(essays, m, dim, encoder).withColumn("variant", F.lit(t)),
-            tag)
-    return EMB.read_embeddings(spark, out)
+        vec = EMB.materialize_embeddings(
+            spark, out, sentence_table(essays, mode),
+            lambda m=mode, t=tag: sentence_vectors(essays, m, dim, encoder, **tokenizer).withColumn("variant", F.lit(t)),
+            tag, encoder_id or "hashing-tfidf", dim)
+        found = vec if found is None else found.unionByName(vec)
+    return found
 
 
 def scoring_frame(essays: DataFrame, vectors: DataFrame, pool: str = "mean") -> DataFrame:
@@ -130,13 +146,15 @@ def end_to_end(spark: SparkSession, essays: DataFrame, out: str | None = None, d
 
 
 def fine_tune(spark: SparkSession, essays: DataFrame, out: str | None = None, dim: int = 256,
-              encoder=None, cfg: ScorerConfig | None = None) -> dict[str, DataFrame]:
+              encoder=None, cfg: ScorerConfig | None = None,
+              max_sentences: int | None = None) -> dict[str, DataFrame]:
     """Essays on the prompts of the first five training rows; raw and
-    ``<prompt>#`` variants with the 128-sentence cap; seed 42 + variant index."""
+    ``<prompt>#`` variants, whole essays unless ``max_sentences`` is given;
+    seed 42 + variant index."""
     e = X.filter_by_prompts(essays, X.first_prompt(essays, 5))
     vecs = None
     for tag, with_prompt in VARIANTS:
         v = sentence_vectors(e, "fine_tune" if with_prompt else "none", dim, encoder,
-                             max_sentences=MAX_SENTENCES, as_vector=True).withColumn("variant", F.lit(tag))
+                             max_sentences=max_sentences, as_vector=True).withColumn("variant", F.lit(tag))
         vecs = v if vecs is None else vecs.unionByName(v)
     return training_job(spark, e, vecs, out, variants=VARIANTS, cfg=cfg)

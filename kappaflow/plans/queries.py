@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,9 @@ from kappaflow.operators import report as R
 from kappaflow.operators import sequence as S
 from kappaflow.operators import text as X
 from kappaflow.plans import oracle as O
-from kappaflow.schema import (MAX_SENTENCES, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL,
+from kappaflow.schema import (MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL,
                               SENTENCE_BATCH, TEXT_COL, TRAITS, q)
-from kappaflow.functions.scores import exact_avg_sql as EA
+from kappaflow.functions.scores import loss_kind, loss_kind_sql, loss_value, loss_value_sql, stable_round
 from kappaflow.functions.scores import stable_round_sql as SR
 from kappaflow.sources import fixtures as FX
 
@@ -31,7 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 RUN = ["split", "variant", "exp"]
-UNITS = "CAST(1000000000000 AS DOUBLE)"
 RUN_T = RUN + ["trait"]
 EVAL_BATCH = 128       # essays per evaluation batch (end_to_end / fine_tune loaders)
 TOP_K = 10
@@ -283,16 +283,14 @@ def sentences_prompt_first(spark, d):
     return _sentences(spark, d, mode="prompt_first")
 
 
+CAP = 3  # low enough to cut essays at every scale
+
+
 @register("sentence_cap", O.with_(*O.sentences_ctes(), select=(
-        f"SELECT essay_id, split, CAST(len(sentences) AS INTEGER) AS n_sentences, "
-        f"CAST(least(len(sentences), {MAX_SENTENCES}) AS INTEGER) AS n_kept, "
-        f"list_slice(sentences, 1, {MAX_SENTENCES}) AS sentences FROM sent")))
+        f"SELECT essay_id, split, list_slice(sentences, 1, {CAP}) AS sentences FROM sent")))
 def sentence_cap(spark, d):
-    """At most 128 sentences per essay."""
-    s = _sentences(spark, d)
-    return s.select("essay_id", "split", F.size("sentences").alias("n_sentences"),
-                    F.least(F.size("sentences"), F.lit(MAX_SENTENCES)).alias("n_kept"),
-                    F.slice("sentences", 1, MAX_SENTENCES).alias("sentences"))
+    """The first sentences of every essay, by the operator's argument."""
+    return _sentences(spark, d, max_sentences=CAP)
 
 
 @register("sentence_rows", O.with_(*O.sentences_ctes(), select="SELECT * FROM srows"))
@@ -366,14 +364,22 @@ def essay_sequences(spark, d):
     return S.essay_sequences(_sentence_vectors(spark, d))
 
 
+BATCH_SQL = ("bt", f"SELECT essay_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY essay_id) - 1) "
+                   f"// {EVAL_BATCH} AS BIGINT) AS batch FROM essays")
+
+
 @register("pad_sequences", O.with_(*O.sentence_vector_ctes(), (
         "sq", "SELECT essay_id, split, CAST(count(*) AS INTEGER) AS seq_len, "
               "list(CAST(embedding AS DOUBLE[]) ORDER BY pos) AS sequence FROM sv GROUP BY essay_id, split"),
-        select=(f"SELECT essay_id, split, seq_len, list_resize(sequence, greatest({MAX_SENTENCES}, seq_len), "
-                "list_transform(range(len(sequence[1])), lambda x: CAST(0 AS DOUBLE))) AS padded FROM sq")))
+        (BATCH_SQL[0], BATCH_SQL[1]),
+        ("ln", "SELECT *, max(seq_len) OVER (PARTITION BY split, batch) AS len FROM sq JOIN bt USING (essay_id, split)"),
+        select=("SELECT essay_id, split, seq_len, list_resize(sequence, len, "
+                "list_transform(range(len(sequence[1])), lambda x: CAST(0 AS DOUBLE))) AS padded FROM ln")))
 def pad_sequences(spark, d):
-    """Zero-vector padding to 128 vectors (longer essays kept whole), true length kept."""
-    return S.pad_sequences(S.essay_sequences(_sentence_vectors(spark, d)))
+    """Zero vectors up to the longest essay of the evaluation batch, true length kept."""
+    seqs = S.essay_sequences(_sentence_vectors(spark, d)).join(
+        H.eval_batch_ids(_essays(spark, d), EVAL_BATCH), ["essay_id", "split"])
+    return S.pad_sequences(seqs, by=("split", "batch"))
 
 
 @register("pool_sequences", O.with_(*O.sentence_vector_ctes(), (
@@ -387,24 +393,26 @@ def pad_sequences(spark, d):
         select="SELECT fl.essay_id, fl.split, fl.n, pd.mean, pd.max, fl.first, fl.last FROM fl JOIN pd USING (essay_id, split)"))
 def pool_sequences(spark, d):
     """Mean / max / first / last pooling of each essay's vectors."""
-    return S.pool_sequences(_sentence_vectors(spark, d))
-
+    p = S.pool_sequences(_sentence_vectors(spark, d))
+    p = p.withColumns({c: vector_to_array(c) for c in S.POOLS})
+    return p.withColumn("mean", F.transform("mean", lambda x: stable_round(x)))
 
-# ================================================================== F: losses, batches, history
 
 _LABEL = "(CAST(r1 + r2 AS DOUBLE) / CAST(2 AS DOUBLE)) / CAST(5 AS DOUBLE)"
 
 
-@register("mse_loss", O.with_(*P, select=(
-        f"SELECT split, variant, exp, count(*) AS n, {EA('e * e')} AS mse "
-        f"FROM (SELECT *, pred01 - {_LABEL} AS e FROM predictions) t GROUP BY split, variant, exp")))
+@register("mse_loss", O.with_(*P, O.spoiled_cte(), select=(
+        f"SELECT split, variant, exp, n, {loss_value_sql('mse')} AS mse, {loss_kind_sql('mse')} AS kind FROM ("
+        f"SELECT split, variant, exp, count(e) AS n, avg(e * e) AS mse "
+        f"FROM (SELECT *, pred01 - {_LABEL} AS e FROM spoiled) t GROUP BY split, variant, exp) x")))
 def mse_loss(spark, d):
-    """MSE of 0..1 predictions against the rater-mean label."""
-    return H.mse_loss(_preds(spark, d), RUN)
+    """MSE of 0..1 predictions against the rater-mean label, over runs that
+    hold NaN, infinite and huge predictions and missing ratings."""
+    return _loss(H.mse_loss(FX.spoiled(_preds(spark, d)), RUN), "mse")
 
 
-BATCH_SQL = ("bt", f"SELECT essay_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY essay_id) - 1) "
-                   f"// {EVAL_BATCH} AS BIGINT) AS batch FROM essays")
+def _loss(df, c):
+    return df.withColumn("kind", loss_kind(c)).withColumn(c, loss_value(c))
 
 
 @register("batch_ids", O.with_(O.essays_cte(), BATCH_SQL, select="SELECT * FROM bt"))
@@ -420,27 +428,35 @@ def train_batch_ids(spark, d):
 
 
 MSE_BATCH_SQL = [BATCH_SQL, (
-    "pb", f"SELECT split, variant, exp, batch, {EA('e * e')} AS bm FROM (SELECT p.*, b.batch, p.pred01 - {_LABEL} AS e "
-          f"FROM predictions p JOIN bt b USING (essay_id, split)) t GROUP BY split, variant, exp, batch"), (
-    "mb", f"SELECT split, variant, exp, count(*) AS n_batches, {EA('bm')} AS loss "
-          f"FROM pb GROUP BY split, variant, exp")]
+    "pb", f"SELECT split, variant, exp, batch, avg(e * e) AS bm FROM (SELECT p.*, b.batch, p.pred01 - {_LABEL} AS e "
+          f"FROM {{src}} p JOIN bt b USING (essay_id, split)) t GROUP BY split, variant, exp, batch"), (
+    "mb", "SELECT split, variant, exp, count(*) AS n_batches, avg(bm) AS loss "
+          "FROM pb GROUP BY split, variant, exp")]
+
 
+def _batch_sql(src):
+    return [(name, sql.replace("{src}", src)) for name, sql in MSE_BATCH_SQL]
 
-@register("mse_batch_mean", O.with_(*P, *MSE_BATCH_SQL, select="SELECT * FROM mb"))
+
+@register("mse_batch_mean", O.with_(*P, O.spoiled_cte(), *_batch_sql("spoiled"), select=(
+        f"SELECT split, variant, exp, n_batches, {loss_value_sql('loss')} AS loss, {loss_kind_sql('loss')} AS kind FROM mb")))
 def mse_batch_mean(spark, d):
     """F3 as reported by the loop: mean of per-batch MSE (batches of 128)."""
     e = _essays(spark, d)
-    return H.mse_batch_mean(FX.predictions_from_scores(L.scores_long(e)), H.eval_batch_ids(e, EVAL_BATCH), RUN)
+    preds = FX.spoiled(FX.predictions_from_scores(L.scores_long(e)))
+    return _loss(H.mse_batch_mean(preds, H.eval_batch_ids(e, EVAL_BATCH), RUN), "loss")
 
 
-@register("running_loss", O.with_(O.batch_losses_cte(), select=(
-        f"SELECT epoch, batch, CAST(sum(CAST(floor(loss * {UNITS} + CAST(0.5 AS DOUBLE)) AS HUGEINT)) OVER w AS DOUBLE) "
-        f"/ {UNITS} / CAST(count(loss) OVER w AS DOUBLE) AS running_loss FROM batch_losses "
-        f"WINDOW w AS (PARTITION BY epoch ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
-        f"QUALIFY (batch + 1) % 10 = 0")))
+@register("running_loss", O.with_(O.batch_losses_cte(), (
+        "rl", "SELECT run_id, epoch, batch, sum(loss) OVER w / count(loss) OVER w AS running_loss FROM batch_losses "
+              "WINDOW w AS (PARTITION BY run_id, epoch ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+              "QUALIFY (batch + 1) % 10 = 0"), select=(
+        f"SELECT run_id, epoch, batch, {loss_value_sql('running_loss')} AS running_loss, "
+        f"{loss_kind_sql('running_loss')} AS kind FROM rl")))
 def running_loss(spark, d):
-    """running train loss printed every 10 batches."""
-    return H.running_loss(FX.batch_losses(spark, d))
+    """running train loss reported every 10 batches, per run and epoch;
+    some batches have a NaN, infinite, huge or missing loss."""
+    return _loss(H.running_loss(FX.batch_losses(spark, d)), "running_loss")
 
 
 STOP_SQL = [
@@ -469,12 +485,17 @@ def best_epoch(spark, d):
 
 
 @register("experiment_mean", O.with_(*EV, *_agreement_ctes(RUN_T + ["rater"], "a"), select=(
-        f"SELECT split, variant, trait, rater, count(*) AS n_exp, {EA('accuracy')} AS accuracy_mean, "
-        f"{EA('qwk')} AS qwk_mean FROM a_agr GROUP BY split, variant, trait, rater")))
+        f"SELECT split, variant, trait, rater, count(*) AS n_exp, {SR('avg(accuracy)')} AS accuracy_mean, "
+        f"{SR('avg(qwk)')} AS qwk_mean FROM a_agr GROUP BY split, variant, trait, rater")))
 def experiment_mean(spark, d):
     """F8: metrics averaged over repeated experiments."""
     per = M.agreement(_ev(spark, d), RUN_T + ["rater"])
-    return H.experiment_mean(per, ["split", "variant", "trait", "rater"])
+    return _rounded(H.experiment_mean(per, ["split", "variant", "trait", "rater"]), "accuracy_mean", "qwk_mean")
+
+
+def _rounded(df, *cols):
+    """Means of doubles, whose last bits depend on the summation order."""
+    return df.withColumns({c: stable_round(c) for c in cols})
 
 
 # ================================================================== G: scores
@@ -519,8 +540,8 @@ def overall_metrics(spark, d):
 
 
 @register("trait_mean_metrics", O.with_(*EV, *_agreement_ctes(RUN_T + ["rater"], "a"), select=(
-        f"SELECT split, variant, exp, rater, {EA('accuracy')} AS accuracy_mean, "
-        f"{EA('qwk')} AS qwk_mean, count(*) AS n_traits, "
+        f"SELECT split, variant, exp, rater, {SR('avg(accuracy)')} AS accuracy_mean, "
+        f"{SR('avg(qwk)')} AS qwk_mean, count(*) AS n_traits, "
         f"CAST(sum(CASE WHEN qwk IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null_qwk FROM a_agr "
         f"GROUP BY split, variant, exp, rater")))
 def trait_mean_metrics(spark, d):
@@ -609,13 +630,13 @@ def regression_delta(spark, d):
 
 
 @register("variant_summary", O.with_(*EV, *_agreement_ctes(RUN_T + ["rater"], "a"), O.history_cte(), *STOP_SQL,
-                                     *MSE_BATCH_SQL, (
-        "tm", f"SELECT split, variant, exp, rater, {EA('accuracy')} AS acc, "
-              f"{EA('qwk')} AS qwk FROM a_agr GROUP BY split, variant, exp, rater"),
+                                     *_batch_sql("predictions"), (
+        "tm", f"SELECT split, variant, exp, rater, {SR('avg(accuracy)')} AS acc, "
+              f"{SR('avg(qwk)')} AS qwk FROM a_agr GROUP BY split, variant, exp, rater"),
         ("wd", "SELECT split, variant, exp, max(CASE WHEN rater = 'r1' THEN acc END) AS r1_acc_mean, "
                "max(CASE WHEN rater = 'r1' THEN qwk END) AS r1_qwk_mean, max(CASE WHEN rater = 'r2' THEN acc END) "
                "AS r2_acc_mean, max(CASE WHEN rater = 'r2' THEN qwk END) AS r2_qwk_mean FROM tm GROUP BY split, variant, exp"),
-        select=("SELECT wd.*, mb.loss AS test_loss, sb.best_val_loss FROM wd "
+        select=(f"SELECT wd.*, {SR('mb.loss')} AS test_loss, sb.best_val_loss FROM wd "
                 "LEFT JOIN mb USING (split, variant, exp) "
                 "LEFT JOIN (SELECT DISTINCT variant, exp, best_val_loss FROM stop) sb USING (variant, exp)")))
 def variant_summary(spark, d):
@@ -625,11 +646,11 @@ def variant_summary(spark, d):
     ev = L.evaluation_rows(preds, RUN_T)
     loss = H.mse_batch_mean(preds, H.eval_batch_ids(e, EVAL_BATCH), RUN)
     stop = H.early_stopping(FX.history(spark, d), PATIENCE, ["run_id", "variant", "exp"])
-    return R.variant_summary(ev, loss, stop, RUN)
+    return _rounded(R.variant_summary(ev, loss, stop, RUN), "r1_acc_mean", "r1_qwk_mean", "r2_acc_mean", "r2_qwk_mean",
+                    "test_loss")
 
 
 FLAGSHIP = "agreement_by_trait"
-SENTENCE_BATCH_SIZE = SENTENCE_BATCH
 
 
 # ================================================================== E1 / F1 / F2 (no SQL twin)

@@ -7,7 +7,6 @@ the command-line plans.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -27,35 +26,46 @@ DEFAULT_CONF = {
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "kappaflow", extra: dict | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    b = SparkSession.builder.master(master).appName(app_name)
+    """A session with the settings above.  Master, memory and partitions are
+    left to ``spark-submit`` and its configuration unless given here."""
+    b = SparkSession.builder.appName(app_name)
+    if master:
+        b = b.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("KAPPAFLOW_DRIVER_MEMORY", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - Spark Connect: the server owns spark.checkpoint.dir
-        return spark.conf.get("spark.checkpoint.dir", "") or ""
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="kappaflow-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+def local_session(cpus: int | str = 8, memory: str = "16g") -> SparkSession:
+    """The one-machine session of tests, bench and tools."""
+    return build_session(f"local[{cpus}]", None if cpus == "*" else int(cpus),
+                         extra={"spark.driver.memory": memory})
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Only a single-process session (``local[...]``) without that setting gets a
+    folder of its own; on a cluster a missing setting is an error, because a
+    machine-local folder would lose its files with the machine."""
+    configured = spark.conf.get("spark.checkpoint.dir", "")
+    if configured:
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    configured = tempfile.mkdtemp(prefix="kappaflow-")
+    spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a written table, in whatever store it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)

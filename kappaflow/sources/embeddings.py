@@ -1,19 +1,21 @@
 """Sentence-embedding storage (A3, A4, A5).
 
-Embeddings are stored keyed ``(variant, split, essay_id, pos)`` in parquet
-partitioned by variant and split, so a job reading one variant / split
-prunes the rest.  Legacy positional CSV files (one headerless row of floats
+Embeddings are stored keyed ``(variant, split, essay_id, pos)`` in parquet, one
+folder per variant, data revision, encoder and length, partitioned by split.  Legacy positional CSV files (one headerless row of floats
 per sentence, essays in order) are read with a dense row number and joined
 back to their essays through ``operators.sequence.assign_by_offset``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
+from kappaflow.operators.checks import embedding_alignment, split_fingerprint
 from kappaflow.operators.ordering import row_index
 
 EMBEDDING_KEYS = ["variant", "split", "essay_id", "pos"]
@@ -35,32 +37,50 @@ def read_embedding_csv(spark: SparkSession, path: str, dim: int, split: str | No
     return idx.select("split", "row", "embedding")
 
 
+def store_key(rows: DataFrame, variant: str, encoder_id: str, dim: int) -> str:
+    """What a stored set of vectors depends on: the sentences (B5 fingerprint
+    per split), the variant, the encoder and the vector length."""
+    prints = split_fingerprint(rows.select("split", "essay_id", "pos", "sentence")).orderBy("split").collect()
+    body = json.dumps([variant, encoder_id, dim, [[r["split"], r["n_rows"], r["fingerprint"]] for r in prints]])
+    return hashlib.sha256(body.encode()).hexdigest()[:20]
+
+
 def write_embeddings(df: DataFrame, path: str) -> None:
-    """A5: keyed sentence vectors, partitioned by (variant, split).  Dynamic
-    partition overwrite replaces only the variants / splits being written."""
-    (df.select(*EMBEDDING_KEYS, "embedding").write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("variant", "split").parquet(path))
+    """A5: keyed sentence vectors of one variant, partitioned by split."""
+    df.select(*EMBEDDING_KEYS, "embedding").write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def read_embeddings(spark: SparkSession, path: str, variant: str | None = None,
-                    split: str | None = None) -> DataFrame:
+def read_embeddings(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    if variant is not None:
-        df = df.where(F.col("variant") == variant)
-    if split is not None:
-        df = df.where(F.col("split") == split)
-    return df
-
-
-def materialize_embeddings(spark: SparkSession, path: str, build, variant: str) -> DataFrame:
-    """A4: compute a variant's embeddings once and reuse them afterwards.
-    ``build()`` returns the keyed frame; it runs only when the variant's
-    partition is absent."""
-    try:
-        existing = read_embeddings(spark, path, variant)
-        if existing.limit(1).count() > 0:
-            return existing
-    except AnalysisException:
-        pass
-    write_embeddings(build(), path)
-    return read_embeddings(spark, path, variant)
+    return df if split is None else df.where(F.col("split") == split)
+
+
+class IncompleteEmbeddingsError(ValueError):
+    pass
+
+
+def require_alignment(rows: DataFrame, vectors: DataFrame, dim: int) -> None:
+    """B4 as a gate: one vector of length ``dim`` for every sentence row, and
+    no other vector."""
+    off = [r.asDict() for r in embedding_alignment(rows, vectors).collect() if r["n_sentence_only"] or r["n_vector_only"]]
+    wrong = vectors.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dim).limit(1).count()
+    if off or wrong:
+        raise IncompleteEmbeddingsError(f"vectors and sentences differ: {off}" if off else f"vectors are not of length {dim}")
+
+
+def materialize_embeddings(spark: SparkSession, path: str, rows: DataFrame, build, variant: str, encoder_id: str,
+                           dim: int) -> DataFrame:
+    """A4: compute a variant's vectors once and reuse them afterwards.
+
+    Vectors lie under ``path/variant/<store_key>``, so other data, another
+    encoder or another length never finds them.  ``build()`` returns the keyed
+    frame; it runs only when the folder lacks Spark's success mark.  Either
+    way the result must match ``rows`` (essay_id, split, pos, sentence)."""
+    at = f"{path.rstrip('/')}/{variant}/{store_key(rows, variant, encoder_id, dim)}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    fs = mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(mark):
+        write_embeddings(build(), at)
+    out = read_embeddings(spark, at)
+    require_alignment(rows, out, dim)
+    return out

@@ -6,52 +6,60 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from kappaflow.operators.checks import require_columns
-from kappaflow.sources.fixtures import spread
-from kappaflow.schema import REQUIRED_COLUMNS, SPLITS, essay_csv_schema
+from kappaflow.schema import RATER1_COLS, RATER2_COLS, REQUIRED_COLUMNS, SPLITS, q
 
 
-def read_essay_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_essay_csv(spark: SparkSession, path: str) -> DataFrame:
     """A1: one essay CSV split (UTF-8 with or without BOM, header, quoted
-    multi-line text).  An explicit schema with ``enforceSchema=False`` makes
-    a wrong header fail instead of shifting columns."""
-    return (spark.read.schema(schema or essay_csv_schema())
-            .option("header", True).option("multiLine", True).option("escape", '"')
-            .option("enforceSchema", False).option("mode", "FAILFAST")
-            .csv(path))
+    multi-line text), by column name.
 
+    The file's own header counts: required columns may stand in any order,
+    other columns are kept as strings, a missing one is an error before any
+    row is read.  A rater score that is no number fails the job."""
+    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+           .option("mode", "FAILFAST").csv(path))
+    raw = require_columns(raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns]), REQUIRED_COLUMNS)
+    return raw.withColumns({c: _score(c) for c in RATER1_COLS + RATER2_COLS})
 
-def read_essay_splits(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType | None = None,
-                      id_col: str | None = None) -> DataFrame:
+
+def _score(name: str):
+    text = F.col(q(name))
+    number = F.expr(f"try_cast({q(name)} as double)")
+    bad = text.isNotNull() & number.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"{name}: no number: "), text)).cast("int")).otherwise(number.cast("int"))
+
+
+def read_essay_splits(spark: SparkSession, paths: Mapping[str, str], id_col: str | None = None) -> DataFrame:
     """A2: the three splits as one frame tagged by ``split``.
 
     Rows get an explicit ``essay_id``: ``id_col`` when the export has one,
     otherwise an id fixed at ingest (``monotonically_increasing_id`` after
     the union, unique across splits).  Write the result once
     (``ingest_essays``) and read that table afterwards, so ids never change
-    between jobs."""
-    parts = [require_columns(read_essay_csv(spark, p, schema), REQUIRED_COLUMNS)
-             .withColumn("split", F.lit(s)) for s, p in paths.items()]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
+    between jobs.  Columns that only some splits have are NULL in the others."""
+    df = None
+    for s, p in paths.items():
+        part = read_essay_csv(spark, p).withColumn("split", F.lit(s))
+        df = part if df is None else df.unionByName(part, allowMissingColumns=True)
     if id_col:
-        df = df.withColumnRenamed(id_col, "essay_id")
+        df = df.withColumn("essay_id", F.col(q(id_col)).cast("bigint"))
+        if id_col != "essay_id":
+            df = df.drop(id_col)
     else:
         df = df.withColumn("essay_id", F.monotonically_increasing_id())
-    # multi-line CSV files cannot be split: one task per file unless rebalanced
-    return spread(df, "essay_id")
+    # a multi-line CSV file cannot be split: one task per file, then rebalanced.
+    # Large exports should come as many files per split.
+    return df.repartition("essay_id")
 
 
 def split_paths(data_dir: str, splits=SPLITS) -> dict[str, str]:
     return {s: f"{data_dir.rstrip('/')}/{s}.csv" for s in splits}
 
 
-def ingest_essays(spark: SparkSession, paths: Mapping[str, str], out: str, schema: T.StructType | None = None,
-                  id_col: str | None = None) -> DataFrame:
+def ingest_essays(spark: SparkSession, paths: Mapping[str, str], out: str, id_col: str | None = None) -> DataFrame:
     """Read the CSV splits once, fix ids, store as parquet partitioned by split."""
-    df = read_essay_splits(spark, paths, schema, id_col)
+    df = read_essay_splits(spark, paths, id_col)
     df.write.mode("overwrite").partitionBy("split").parquet(out)
     return spark.read.parquet(out)

@@ -116,14 +116,30 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spoiled(preds: DataFrame) -> DataFrame:
+    """Predictions in which every run has another defect in one essay of 50:
+    a missing rating, 5e7, infinity or NaN."""
+    bad = F.pmod(F.col("essay_id"), F.lit(50)) == 7
+    run = lambda v, e: bad & (F.col("variant") == FIXTURE_VARIANTS[v]) & (F.col("exp") == e)
+    pred = (F.when(run(0, 1), F.lit(5e7)).when(run(1, 0), F.lit(float("inf"))).when(run(1, 1), F.lit(float("nan")))
+            .otherwise(F.col("pred01")))
+    return preds.withColumn("pred01", pred).withColumn("r1", F.when(~run(0, 0), F.col("r1")))
+
+
 def batch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-batch training loss: 100 batches per epoch, one per document."""
+    """Per-batch training loss of two runs, 100 batches per epoch, one per
+    document; every fourth epoch has a missing, huge, infinite or NaN loss."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return d.select(
-        F.floor(F.col("doc_id") / F.lit(BATCHES_PER_EPOCH)).cast("bigint").alias("epoch"),
-        F.pmod(F.col("doc_id"), F.lit(BATCHES_PER_EPOCH)).cast("bigint").alias("batch"),
-        (F.pmod(F.col("n_chars"), F.lit(97)).cast("double") / F.lit(100.0)).alias("loss"),
-    )
+    epoch = F.floor(F.col("doc_id") / F.lit(BATCHES_PER_EPOCH)).cast("bigint")
+    batch = F.pmod(F.col("doc_id"), F.lit(BATCHES_PER_EPOCH)).cast("bigint")
+    bad = batch == 37
+    kind = F.pmod(epoch, F.lit(5))
+    loss = (F.when(bad & (kind == 1), F.lit(None).cast("double")).when(bad & (kind == 2), F.lit(5e7))
+            .when(bad & (kind == 3), F.lit(float("inf"))).when(bad & (kind == 4), F.lit(float("nan")))
+            .otherwise(F.pmod(F.col("n_chars"), F.lit(97)).cast("double") / F.lit(100.0)))
+    runs = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
+    return d.select(runs.alias("run_id"), epoch.alias("epoch"), batch.alias("batch"), loss.alias("loss")).withColumn(
+        "loss", F.col("loss") * (F.col("run_id") + 1))
 
 
 def sentence_vectors(sentences: DataFrame, embeddings: DataFrame, n_embeddings: int) -> DataFrame:

@@ -64,8 +64,27 @@ def test_train_batches_are_seeded_and_complete(spark):
     assert list(counts) == [128] * 7 + [104]
 
 
-def test_running_loss(spark):
-    rows = [(0, b, float(b)) for b in range(25)]
-    df = spark.createDataFrame(rows, "epoch long, batch long, loss double")
-    got = [(r.batch, r.running_loss) for r in H.running_loss(df).orderBy("batch").collect()]
-    assert got == [(9, 4.5), (19, 9.5)]
+def test_running_loss(spark, monkeypatch):
+    rows = [(0, 0, b, float(b)) for b in range(25)] + [(1, 0, b, 1.0) for b in range(25)]
+    df = spark.createDataFrame(rows, "run_id long, epoch long, batch long, loss double")
+    for block in (1000, 1):  # reports of one epoch in one block and in many
+        monkeypatch.setattr(H, "REPORTS_PER_BLOCK", block)
+        got = [(r.run_id, r.batch, r.running_loss) for r in H.running_loss(df).orderBy("run_id", "batch").collect()]
+        assert got == [(0, 9, 4.5), (0, 19, 9.5), (1, 9, 1.0), (1, 19, 1.0)]
+
+
+@pytest.mark.parametrize("bad", [math.nan, math.inf, 5e7])
+def test_no_loss_hides_a_bad_value(spark, bad):
+    p = spark.createDataFrame([(1, "s", 0.6, 3, 3), (2, "s", bad, 3, 3), (3, "s", 0.6, None, 3)],
+                              "essay_id long, split string, pred01 double, r1 int, r2 int")
+    want = ((bad - 0.6) ** 2) / 2
+    r = H.mse_loss(p, ["split"]).first()
+    batches = spark.createDataFrame([(i, "s", 0) for i in (1, 2, 3)], "essay_id long, split string, batch long")
+    m = H.mse_batch_mean(p, batches, ["split"]).first()
+    assert r.n == 2
+    for got in (r.mse, m.loss):
+        assert got == pytest.approx(want, nan_ok=True)
+    b = spark.createDataFrame([(0, 0, i, bad if i == 4 else 0.5) for i in range(10)], "run_id long, epoch long, batch long, loss double")
+    assert H.running_loss(b).first().running_loss == pytest.approx((4.5 + bad) / 10, nan_ok=True)
+    e = spark.createDataFrame([("a", 0.5), ("a", bad)], "k string, accuracy double")
+    assert H.experiment_mean(e, ["k"], ["accuracy"]).first().accuracy_mean == pytest.approx((0.5 + bad) / 2, nan_ok=True)

@@ -61,9 +61,16 @@ def test_pooling_hot_essay_is_partial_aggregated(spark):
     assert len(f) == 3 and f[0].shape == (2,)
 
 
-def test_pad_fixed_length_never_truncates(spark):
-    vec, _ = _vectors(spark, [2, 6], dim=2)
-    p = {r.essay_id: len(r.padded) for r in S.pad_sequences(S.essay_sequences(vec), length=4).collect()}
-    assert p == {0: 4, 1: 6}
-    with pytest.raises(Exception):
+def test_pad_lengths_are_equal_and_nothing_is_cut(spark):
+    vec, _ = _vectors(spark, [2, 6, 3], dim=2)
+    seqs = S.essay_sequences(vec)
+    splits = {r.essay_id: r.split for r in seqs.collect()}
+    longest = {}
+    for e, n in enumerate([2, 6, 3]):
+        longest[splits[e]] = max(longest.get(splits[e], 0), n)
+    assert {r.essay_id: len(r.padded) for r in S.pad_sequences(seqs).collect()} == {e: longest[splits[e]] for e in range(3)}
+    assert {len(r.padded) for r in S.pad_sequences(seqs, length=9).collect()} == {9}
+    with pytest.raises(Exception, match="longer than 4"):
+        S.pad_sequences(seqs, length=4).collect()
+    with pytest.raises(ValueError):
         S.pooled_features(vec, "median")

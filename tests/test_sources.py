@@ -47,11 +47,22 @@ def test_missing_columns_and_wrong_header(spark, scratch):
     lfs = spark.read.option("header", True).csv(p)
     assert missing_columns(lfs) == REQUIRED_COLUMNS
     with pytest.raises(MissingColumnsError):
-        ES.read_essay_splits(spark, {"train": p}, schema=lfs.schema)
+        ES.read_essay_splits(spark, {"train": p})
     bad = os.path.join(scratch, "bad.csv")
     _csv(bad, [_row("P", "t")], header=[PROMPT_COL, "wrong"] + RATER1_COLS + RATER2_COLS)
-    with pytest.raises(Exception):
-        ES.read_essay_csv(spark, bad).collect()
+    with pytest.raises(MissingColumnsError, match="answer@text"):
+        ES.read_essay_csv(spark, bad)
+
+
+def test_csv_columns_by_name(spark, scratch):
+    p = os.path.join(scratch, "x.csv")
+    header = ["extra"] + REQUIRED_COLUMNS[::-1] + ["no"]
+    _csv(p, [["e"] + _row("P1", "text", "4")[::-1] + ["17"]], header=header)
+    r = ES.read_essay_splits(spark, {"train": p}, id_col="no").first()
+    assert (r[PROMPT_COL], r[TEXT_COL], r[RATER1_COLS[3]], r["extra"], r["essay_id"]) == ("P1", "text", 4, "e", 17)
+    _csv(p, [_row("P1", "text", "four")])
+    with pytest.raises(Exception, match="no number"):
+        ES.read_essay_csv(spark, p).collect()
 
 
 def test_invalid_utf8_lines(spark, scratch):
@@ -72,23 +83,32 @@ def test_embedding_csv_positional_rows(spark, scratch):
     assert np.allclose([e for _, e in got], mat)
 
 
-def test_embedding_store_partitioned_and_reused(spark, scratch):
+def test_embedding_store_is_keyed_and_complete(spark, scratch):
     path = os.path.join(scratch, "emb")
     calls = []
 
-    def build(tag):
-        def f():
-            calls.append(tag)
-            return spark.createDataFrame([(tag, "train", 1, 0, [1.0, 2.0]), (tag, "test", 2, 0, [3.0, 4.0])],
-                                         "variant string, split string, essay_id long, pos int, embedding array<float>")
-        return f
-    a = EMB.materialize_embeddings(spark, path, build("kobert"), "kobert")
-    b = EMB.materialize_embeddings(spark, path, build("labeled_kobert"), "labeled_kobert")
-    again = EMB.materialize_embeddings(spark, path, build("kobert"), "kobert")
-    assert calls == ["kobert", "labeled_kobert"]
-    assert a.count() == b.count() == again.count() == 2
-    assert EMB.read_embeddings(spark, path, "kobert", "test").count() == 1
-    assert sorted(x for x in os.listdir(path) if x.startswith("variant=")) == ["variant=kobert", "variant=labeled_kobert"]
+    def rows(n):
+        return spark.createDataFrame([(i, "train" if i % 2 else "test", 0, f"s{i}") for i in range(n)],
+                                     "essay_id long, split string, pos int, sentence string")
+
+    def job(n, tag="kobert", dim=2, encoder="e", lost=0):
+        def build():
+            calls.append((n, tag, dim, encoder))
+            return rows(n - lost).select(F.lit(tag).alias("variant"), "split", "essay_id", "pos",
+                                         F.array_repeat(F.lit(0.5).cast("float"), dim).alias("embedding"))
+        return EMB.materialize_embeddings(spark, path, rows(n), build, tag, encoder, dim)
+
+    assert job(4).count() == 4 and job(4).count() == 4 and len(calls) == 1
+    assert job(6).count() == 6 and len(calls) == 2          # grown data
+    assert job(6, dim=3).first().embedding == [0.5] * 3     # another length
+    job(6, tag="labeled_kobert")
+    job(6, encoder="f")
+    assert len(calls) == 5
+    assert EMB.read_embeddings(spark, os.path.join(path, "kobert", os.listdir(os.path.join(path, "kobert"))[0]), "test").count() in (2, 3)
+    with pytest.raises(EMB.IncompleteEmbeddingsError):
+        job(8, lost=1)
+    with pytest.raises(EMB.IncompleteEmbeddingsError):
+        job(8)                                              # stored incomplete: still an error
 
 
 def test_prediction_sink_and_run_record(spark, scratch):

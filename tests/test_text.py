@@ -37,14 +37,11 @@ def test_cap_129_keeps_128(spark):
     assert len(s[1]) == 128 and s[1][-1] == "s127" and s[2] == ["one"]
 
 
-def test_compat_cap_depends_on_split_size(spark):
-    text = SENTENCE_SEP.join(f"s{i}" for i in range(5))
+def test_cap_is_an_argument_only(spark):
+    text = SENTENCE_SEP.join(f"s{i}" for i in range(200))
     e = _essays(spark, [(1, "train", "P", text), (2, "train", "P", text), (3, "test", "P", text)])
-    got = {r.essay_id: len(r.sentences) for r in X.sentences(e, max_sentences=3, compat_cap=False).collect()}
-    assert got == {1: 3, 2: 3, 3: 3}
-    # compat: cap only where the split holds more than 3 essays -> never here
-    got = {r.essay_id: len(r.sentences) for r in X.sentences(e, max_sentences=1, compat_cap=True).collect()}
-    assert got == {1: 1, 2: 1, 3: 5}
+    assert {len(r.sentences) for r in X.sentences(e, max_sentences=3).collect()} == {3}
+    assert {len(r.sentences) for r in X.sentences(e).collect()} == {200}
 
 
 def test_sentence_rows_keep_order_and_regroup(spark):

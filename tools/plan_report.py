@@ -17,7 +17,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from kappaflow.plans.queries import ORACLE, QUERIES  # noqa: E402
-from kappaflow.session import build_session  # noqa: E402
+from kappaflow.session import local_session  # noqa: E402
 
 
 def final_plan(df) -> str:
@@ -44,7 +44,7 @@ def summarise(plan: str) -> dict:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session()
+    spark = local_session()
     print(f"# Physical plans at {os.path.basename(sf_dir)}\n")
     print("Counts from the final adaptive plan of each registered query (`tools/plan_report.py`).")
     print("`read` is the parquet ReadSchema: only the columns the query needs.\n")
