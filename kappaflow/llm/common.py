@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a single-process session (``local[...]``) without that setting gets a
-    folder of its own; on a cluster a missing setting is an error, because a
-    machine-local folder would lose its files with the machine."""
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        return configured.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    configured = tempfile.mkdtemp(prefix="kappaflow-llm-")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+from kappaflow.session import drop_path, shared_dir
 
 
 class Scratch:
@@ -47,10 +31,8 @@ class Scratch:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            drop_path(self.spark, self.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

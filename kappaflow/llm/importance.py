@@ -7,7 +7,7 @@ under the two, log w = sum over its n-grams of log target - log raw.  Sampling
 documents without replacement in proportion to w is a Gumbel top-k: the k
 largest log w + Gumbel noise.  By default k is the number of documents with
 log w >= ``LEAST_LOG_WEIGHT``: those that the raw model explains no more than
-exp(5) times better than the target model.  A short good text has a weight
+exp(10) times better than the target model.  A short good text has a weight
 near 0; junk lies far below, out of the noise's reach.
 
 Features: word unigrams and bigrams (words and runs of symbols, lower-cased)
@@ -42,7 +42,7 @@ from kappaflow.llm.common import Scratch
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 SEED = 11
-LEAST_LOG_WEIGHT = -5.0
+LEAST_LOG_WEIGHT = -10.0
 _PART = re.compile(r"\w+|[^\w\s]+")
 _SHAPE_BITS = 3
 _MEMO: list[bpe.ChunkMemo] = []
