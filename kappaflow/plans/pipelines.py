@@ -27,11 +27,10 @@ from kappaflow.operators import sequence as S
 from kappaflow.operators import text as X
 from kappaflow.operators.encode import encode_hashing, encode_with_model, fit_hashing_encoder
 from kappaflow.operators.scorer import ScorerConfig, TraitScorer, fit_scorer, label_frame
-from kappaflow.schema import BASE_SEED, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, VARIANTS
+from kappaflow.schema import BASE_SEED, ESSAY_BATCH, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, VARIANTS
 from kappaflow.sources import embeddings as EMB
 from kappaflow.sources import sinks
 
-EVAL_BATCH = 128
 RUN = ["split", "variant", "exp"]
 
 
@@ -94,18 +93,29 @@ def train_and_predict(essays: DataFrame, vectors: DataFrame, cfg: ScorerConfig,
     return scorer, hist, preds
 
 
-def evaluate(preds: DataFrame, histories: DataFrame, essays: DataFrame) -> dict[str, DataFrame]:
-    """Every report of one training job (I1 - I13, F3, F8) from its predictions."""
+HIGH_ERRORS = 10
+
+
+def evaluate(preds: DataFrame, histories: DataFrame, essays: DataFrame, batch_size: int = ESSAY_BATCH["train"],
+             previous: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every report of one training job (I1 - I13, F3, F8) from its predictions.
+
+    The reported loss is a mean over evaluation batches of ``batch_size``
+    essays; ``previous`` is the stored rubric report of an earlier run, for
+    the regression deltas (I12)."""
     ev = L.evaluation_rows(preds, ["split", "variant", "exp", "trait"])
     per_trait = M.agreement(ev, RUN + ["trait", "rater"])
-    loss = H.mse_batch_mean(preds, H.eval_batch_ids(essays, EVAL_BATCH), RUN)
+    loss = H.mse_batch_mean(preds, H.eval_batch_ids(essays, batch_size), RUN)
     stop = H.early_stopping(histories, run_keys=["run_id", "variant", "exp"])
-    return {
+    rubric = M.rubric_report(ev, RUN + ["rater"])
+    reports = {} if previous is None else {"regression_delta": _deltas(previous, rubric)}
+    return reports | {
+        "high_error": R.top_errors(preds, RUN + ["trait"], HIGH_ERRORS),
         "agreement": per_trait,
         "overall": M.agreement(ev, RUN + ["rater"]),
         "trait_mean": M.trait_mean(per_trait, RUN + ["rater"]),
         "experiment_mean": H.experiment_mean(per_trait, ["split", "variant", "trait", "rater"]),
-        "rubric_report": M.rubric_report(ev, RUN + ["rater"]),
+        "rubric_report": rubric,
         "score_distribution": R.score_distribution(preds, RUN + ["trait"]),
         "loss": loss,
         "early_stopping": stop,
@@ -113,10 +123,20 @@ def evaluate(preds: DataFrame, histories: DataFrame, essays: DataFrame) -> dict[
     }
 
 
+def _deltas(previous: DataFrame, current: DataFrame) -> DataFrame:
+    keys = RUN + ["rater", "level", "trait"]
+    both = previous.select(*current.columns).withColumn("run", F.lit("previous")).unionByName(
+        current.withColumn("run", F.lit("current")))
+    return R.regression_delta(R.metrics_long(both, [*keys, "run"]), keys, "run", "previous", "current")
+
+
 def training_job(spark: SparkSession, essays: DataFrame, vectors: DataFrame, out: str | None = None,
-                 variants=VARIANTS, n_exp: int = 1, cfg: ScorerConfig | None = None) -> dict[str, DataFrame]:
+                 variants=VARIANTS, n_exp: int = 1, cfg: ScorerConfig | None = None,
+                 batch_size: int = ESSAY_BATCH["train"], previous: DataFrame | None = None) -> dict[str, DataFrame]:
     """Stage 2: per variant and experiment fit, predict, then one evaluation
-    over all runs; optional sinks under ``out`` (A6, A7, A8)."""
+    over all runs.  Under ``out`` go models, scored rows (written once, the
+    reports read them back), test predictions, the summary and every report
+    (A6, A7, A8, ``reports/NAME``)."""
     cfg = cfg or ScorerConfig()
     preds, hists = None, None
     for v_idx, (tag, _) in enumerate(variants):
@@ -128,7 +148,13 @@ def training_job(spark: SparkSession, essays: DataFrame, vectors: DataFrame, out
                 scorer.save(spark, f"{out}/model/{tag}/exp={exp}")
             preds = p if preds is None else preds.unionByName(p)
             hists = hist if hists is None else hists.unionByName(hist)
-    reports = evaluate(preds, hists, essays)
+    if out:
+        preds.write.mode("overwrite").parquet(f"{out}/scored")
+        preds = spark.read.parquet(f"{out}/scored")
+    reports = evaluate(preds, hists, essays, batch_size, previous)
+    if out:
+        for name, df in reports.items():
+            df.write.mode("overwrite").parquet(f"{out}/reports/{name}")
     reports["predictions"] = preds
     reports["history"] = hists
     if out:
@@ -142,7 +168,8 @@ def end_to_end(spark: SparkSession, essays: DataFrame, out: str | None = None, d
     """Essays on the first training prompt, ``prompt:<p>`` as first sentence."""
     e = X.filter_by_prompts(essays, X.first_prompt(essays, 1))
     vec = sentence_vectors(e, "prompt_first", dim, encoder, as_vector=True)
-    return training_job(spark, e, vec, out, variants=[("kobert", False)], cfg=cfg)
+    return training_job(spark, e, vec, out, variants=[("kobert", False)], cfg=cfg,
+                        batch_size=ESSAY_BATCH["end_to_end"])
 
 
 def fine_tune(spark: SparkSession, essays: DataFrame, out: str | None = None, dim: int = 256,
@@ -157,4 +184,4 @@ def fine_tune(spark: SparkSession, essays: DataFrame, out: str | None = None, di
         v = sentence_vectors(e, "fine_tune" if with_prompt else "none", dim, encoder,
                              max_sentences=max_sentences, as_vector=True).withColumn("variant", F.lit(tag))
         vecs = v if vecs is None else vecs.unionByName(v)
-    return training_job(spark, e, vecs, out, variants=VARIANTS, cfg=cfg)
+    return training_job(spark, e, vecs, out, variants=VARIANTS, cfg=cfg, batch_size=ESSAY_BATCH["fine_tune"])

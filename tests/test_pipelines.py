@@ -65,5 +65,10 @@ def test_cli_on_csv_splits(spark, scratch):
     assert ingested.count() == essays.count()
     assert ingested.select("essay_id").distinct().count() == essays.count()
     assert spark.read.option("header", True).csv(f"{out}/summary").count() == 2
+    reports = {n: spark.read.parquet(f"{out}/reports/{n}") for n in sorted(os.listdir(f"{out}/reports"))}
+    assert set(reports) >= {"agreement", "high_error", "rubric_report", "score_distribution", "trait_mean", "loss", "summary"}
+    assert all(r.count() > 0 for r in reports.values())
+    delta = PL._deltas(reports["rubric_report"], reports["rubric_report"])
+    assert delta.where("delta <> 0 or flagged").count() == 0 and delta.where("baseline is not null").count() > 0
     runs = spark.read.parquet(f"{out}/runs").collect()
     assert len(runs) == 1 and runs[0].entry_point == "train" and "train" in runs[0].data_revision
