@@ -10,11 +10,13 @@ word sequence as one shingle.  Two documents are linked when
    counts differing samples and estimates high similarities closely.
 2. Documents of equal sets form one class; only classes go on.
 3. Classes that share a band key are candidates.  Each key first links its
-   members to one member (another one for each key), then all pairs of members
-   of different components are tried, so no link is lost and a large group of
-   near copies never becomes all its pairs.
-4. Sketches drop candidates whose estimate lies more than five standard
-   deviations below the threshold; what is left is confirmed on full sets.
+   members to one member (another one for each key); sketches drop pairs whose
+   estimate lies more than five standard deviations below the threshold, the
+   others are confirmed on full sets.
+4. Where a key's members still lie in different components, all their pairs
+   are compared on full sets, in blocks inside tasks that give out only links
+   that join components.  So no link that matters is lost, and a large group
+   of near copies never becomes rows of all its pairs.
 
 A link at the threshold shares no band with probability (1 - 0.75**4)**32,
 about 5e-6, and less above it.
@@ -46,6 +48,7 @@ BAND_ROWS = 4
 SKETCH_BITS = 256
 LEAST_ESTIMATE = 0.4
 CHUNK_MEMBERS = 64
+BLOCK_NODES = 512
 SUB_BATCH_BYTES = 2_000_000
 
 _RNG = np.random.default_rng(20240607)
@@ -195,8 +198,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     group, centre = (hub, chunk), s
                 elif group == (hub, chunk) and similar(centre, s):
                     hits.append((node, hub))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in hits], pa.int64()),
-                                          pa.array([y for _, y in hits], pa.int64())], names=["a", "b"])
+        yield _links(hits)
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -215,6 +217,84 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
             .mapInArrow(_confirm, "a bigint, b bigint"))
 
 
+def _link_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by block pair; one pair's rows are held at a time."""
+    names = ("family", "al", "ai", "bl", "bi")
+    now, held = None, ([], [], [])
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in names)))
+        hits: list[tuple[int, int]] = []
+        for key, *row in zip(keys, *(b.column(c).to_pylist() for c in ("node", "label", "body"))):
+            if key != now:
+                hits += connecting_links(*held)
+                now, held = key, ([], [], [])
+            for column, v in zip(held, row):
+                column.append(v)
+        if hits:
+            yield _links(hits)
+    yield _links(connecting_links(*held))
+
+
+def _links(hits: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in hits], pa.int64()),
+                                       pa.array([y for _, y in hits], pa.int64())], names=["a", "b"])
+
+
+def connecting_links(nodes: list[int], labels: list[int], bodies: list[bytes]) -> list[tuple[int, int]]:
+    """Links between nodes of different labels, as many as it takes to join
+    all labels that links join: every pair is compared on full sets unless its
+    labels are joined already."""
+    if len(set(labels)) < 2:
+        return []
+    sets = [s for part in _byte_parts(bodies) for s in shingle_sets(bodies[part])]
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    here = np.zeros(int(code.max()) + 1, dtype=np.int32)
+    root = np.unique(labels, return_inverse=True)[1]
+    out = []
+    for x in range(len(nodes)):
+        if (root == root[x]).all():
+            break
+        mine = code[starts[x]:starts[x] + size[x]]
+        here[mine] = 1
+        common = np.add.reduceat(here[code], starts)
+        here[mine] = 0
+        ok = (100 * common >= LINK_PERCENT * (size + size[x] - common)) & (root != root[x])
+        for y in np.flatnonzero(ok).tolist():
+            if root[y] != root[x]:
+                out.append((nodes[x], nodes[y]))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def linked_within(family: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Links (a, b) that join the labels of each family (node, label, family).
+
+    A family is cut into blocks of about ``BLOCK_NODES``: a label with more
+    nodes has blocks of its own, smaller labels share blocks.  A task compares
+    the nodes of two blocks, and blocks of one label are not compared, so a
+    large component costs its size times the blocks of nodes outside it."""
+    sizes = family.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"))
+    small = F.sum(F.when(F.col("c") <= BLOCK_NODES, F.col("c")).otherwise(0))
+    sizes = sizes.join(sizes.groupBy("family").agg(small.alias("small")), "family")
+    big = F.col("c") > BLOCK_NODES
+    count = F.ceil(F.when(big, F.col("c")).otherwise(F.col("small")) / BLOCK_NODES)
+    rows = (family.join(sizes, ["family", "label"])
+            .select("family", "node", "label", F.when(big, F.col("label")).otherwise(F.lit(-1)).alias("l"),
+                    F.pmod(F.xxhash64(F.when(big, F.col("node")).otherwise(F.col("label"))), count).alias("i")))
+    blocks = rows.select("family", "l", "i").distinct()
+    one, two = (blocks.withColumnsRenamed({"l": f"{s}l", "i": f"{s}i"}) for s in "ab")
+    pairs = one.join(two, "family").filter("(al < bl or (al = bl and al = -1 and ai <= bi))")
+    sides = pairs.select("*", F.explode(F.when((F.col("al") == F.col("bl")) & (F.col("ai") == F.col("bi")), F.array(
+        F.struct(F.col("al").alias("l"), F.col("ai").alias("i")))).otherwise(F.array(
+            F.struct(F.col("al").alias("l"), F.col("ai").alias("i")),
+            F.struct(F.col("bl").alias("l"), F.col("bi").alias("i"))))).alias("s")).select("family", "al", "ai", "bl", "bi", "s.l", "s.i")
+    key = ["family", "al", "ai", "bl", "bi"]
+    return (rows.join(sides, ["family", "l", "i"]).select(*key, "node", "label").join(bodies, "node")
+            .repartition(*key).sortWithinPartitions(*key).mapInArrow(_link_block, "a bigint, b bigint"))
+
+
 def _odd_bits(x: str, y: str):
     out = F.lit(0)
     for i in range(SKETCH_BITS // 64):
@@ -265,21 +345,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # other pairs with a key's centre, where they would join components
     rest = _across(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), label)
-    links = scratch.write(links.unionByName(confirmed(rest, bodies)), "links-2")
-    label = scratch.write(components(links, scratch, "cc-2"), "label-2")
+    links = scratch.write(confirmed(rest, bodies), "links-2")
+    label = _joined(label, links, scratch, "2")
 
     # all other pairs of a key's members that lie in different components
-    member = (shared.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
+    member = shared.join(label, "node", "left").select("band", "node", "centre", F.coalesce("label", "node").alias("label"))
     mixed = member.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    member = member.join(mixed.select("band"), "band", "left_semi").join(sketches, "node")
-    x, y = (member.withColumnsRenamed({c: f"{c}_{s}" for c in ("node", "label", "sketch")}) for s in "xy")
-    across = (x.join(y, "band").filter((F.col("node_x") < F.col("node_y")) & (F.col("label_x") != F.col("label_y"))
-                                       & (_odd_bits("sketch_x", "sketch_y") <= most_odd_bits()))
-              .select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = scratch.write(across.join(tried, ["a", "b"], "left_anti"), "across")
-    links = scratch.write(links.unionByName(confirmed(across, bodies)), "links-3")
-    label = scratch.write(components(links, scratch, "cc-3"), "label-3")
+    member = scratch.write(member.join(mixed.select("band"), "band", "left_semi"), "mixed")
+    near = components(_across(member.select(F.col("node").alias("a"), F.col("centre").alias("b")), label, named=True),
+                      scratch, "near").select(F.col("node").alias("label"), F.col("label").alias("family"))
+    family = scratch.write(member.select("node", "label").distinct().join(near, "label"), "family")
+    links = scratch.write(linked_within(family, bodies), "links-3")
+    label = _joined(label, links, scratch, "3")
     scratch.drop("bodies", "shared")
 
     classes = (classes.select("set_key", "first_row", F.col("node").alias("n"))
@@ -306,9 +383,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["id", "key"]).select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
-def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
+def _joined(label: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Labels after more links: components of the labels that they connect."""
+    ends = _across(links, label, named=True)
+    merged = scratch.write(components(ends, scratch, f"cc-{name}"), f"merged-{name}")
+    to = merged.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    moved = label.join(to, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return scratch.write(moved.unionByName(merged.join(label.select("node"), "node", "left_anti")), f"label-{name}")
+
+
+def _across(pairs: DataFrame, label: DataFrame, named: bool = False) -> DataFrame:
+    """Pairs whose ends lie in different components, by their ends or
+    (``named``) by the labels of their ends."""
     la = label.withColumnsRenamed({"node": "a", "label": "la"})
     lb = label.withColumnsRenamed({"node": "b", "label": "lb"})
-    return (pairs.join(la, "a", "left").join(lb, "b", "left")
-            .filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
+    out = (pairs.join(la, "a", "left").join(lb, "b", "left")
+           .select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).filter("la <> lb"))
+    return out.select(F.col("la").alias("a"), F.col("lb").alias("b")) if named else out.select("a", "b")
