@@ -15,8 +15,8 @@ lines are never removed.  Only DataFrame operations are used.
   first pairs its lines with its earliest line only; lines that this does not
   remove are then paired with all earlier ones.  So a large group of near
   copies does not become all its pairs.
-* Length and position of the shared word drop pairs that cannot reach the
-  threshold; the others are verified on the words themselves.
+* Length, position of the shared word, overlap of the prefixes and parity bits
+  of the sets drop pairs that cannot reach the threshold; the others are verified on the words themselves.
 
 Defined results: null and empty texts have no lines to remove; rows equal in
 doc_id and text are one document and get the same result; null doc_ids come
@@ -29,11 +29,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.llm.common import Scratch
+from kappaflow.llm.common import Scratch, literal_array, maybe_in
 
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
-FILTER_BITS = 1 << 21
 NO_ID = (1 << 63) - 1
 
 
@@ -56,15 +55,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.selectExpr("doc", "tk", "posexplode(split(body, '\\n')) as (line_no, line)")
 
 
-def _literal_array(values: list[int], kind: str) -> str:
-    """A constant array; the planner folds it to one value."""
-    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
-
-
 def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
     """Binary logarithm of the word count of every hash bucket (a list of
     ``buckets`` small numbers, whatever the input)."""
-    words = (_rows(docs).selectExpr(f"explode(split({_spaced('body')}, '[ \\n]')) as w")
+    words = (_rows(docs).selectExpr(f"explode(split(replace({_spaced('body')}, '\\n', ' '), ' ')) as w")
              .filter("w <> ''").selectExpr(f"cast(pmod(xxhash64(w), {buckets}) as int) as b"))
     out = [0] * buckets
     for r in words.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -73,13 +67,15 @@ def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
 
 
 def _sets(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
-    """Per line: size n, 128-bit key of the set, hashed prefix words."""
-    hashes = "array_distinct(transform(filter(split(line, ' '), w -> w <> ''), w -> xxhash64(w)))"
-    code = (f"(shiftleft(cast(element_at({_literal_array(levels, 'tinyint')}, "
-            f"cast(pmod(h, {len(levels)}) as int) + 1) as bigint), 58) | (h & {(1 << 58) - 1}L))")
-    return (lines.selectExpr("doc", "tk", "line_no", f"{hashes} as h").filter("size(h) > 0")
-            .selectExpr("doc", "tk", "line_no", f"sort_array(transform(h, h -> {code})) as codes")
+    """Per line: size n, 128-bit key of the set, its parity bits (each word
+    flips one of 64), hashed prefix words."""
+    code = (f"(shiftleft(cast(element_at({literal_array(levels, 'tinyint')}, "
+            f"cast(pmod(xxhash64(w), {len(levels)}) as int) + 1) as bigint), 58) | (xxhash64(w) & {(1 << 58) - 1}L))")
+    words = "array_remove(split(line, ' '), '')"
+    return (lines.selectExpr("doc", "tk", "line_no", f"sort_array(array_distinct(transform({words}, w -> {code}))) as codes")
+            .filter("size(codes) > 0")
             .selectExpr("doc", "tk", "line_no", "size(codes) as n", "xxhash64(codes) as k1", "xxhash64(17, codes) as k2",
+                        "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int))) as odd",
                         f"transform(slice(codes, 1, {_prefix('size(codes)', threshold)}),"
                         " c -> cast(shiftright(c, 32) as int)) as prefix"))
 
@@ -93,49 +89,59 @@ def _prefix(n: str, threshold: float) -> str:
     return f"{n} - {_least(n, threshold)} + 1"
 
 
+def _overlap(n1: str, n2: str, threshold: float) -> str:
+    """Least number of common words of sets of n1 and n2 words that match."""
+    return f"cast(ceil({threshold}D / (1D + {threshold}D) * ({n1} + {n2}) - 1e-9D) as int)"
+
+
 def _can_match(threshold: float) -> str:
     """Length and position filter for lines of n1, n2 words that share the
-    words at p1, p2 (from 0) of their orders."""
-    alpha = f"cast(ceil({threshold}D / (1D + {threshold}D) * (n1 + n2) - 1e-9D) as int)"
+    words at p1, p2 (from 0) of their orders.  The shorter line needs to be
+    found by its index prefix only: its first n - overlap(n, n) + 1 words."""
+    index = lambda n: f"{n} - {_overlap(n, n, threshold)} + 1"
     return (f"n1 >= {_least('n2', threshold)} and n2 >= {_least('n1', threshold)} and "
-            f"least(p1, p2) + 1 + least(n1 - p1 - 1, n2 - p2 - 1) >= {alpha}")
+            f"if(n1 <= n2, p1 < {index('n1')}, p2 < {index('n2')}) and "
+            f"least(p1, p2) + 1 + least(n1 - p1 - 1, n2 - p2 - 1) >= {_overlap('n1', 'n2', threshold)}")
+
+
+def _hopeful(pairs: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) whose whole prefixes allow a match: the words that both
+    prefixes hold, and what can follow the last of them, must reach the least
+    overlap (equal hashes within a prefix count as a word each); and whose
+    parity bits differ in no more places than matching sets have different
+    words."""
+    px, py = (prefixes.select(F.col("k1").alias(v), F.col("n").alias(f"n{v}"), F.col("odd").alias(f"odd{v}"),
+                              F.col("prefix").alias(f"f{v}")) for v in "xy")
+    spare = "size(fx) - size(array_distinct(fx)) + size(fy) - size(array_distinct(fy))"
+    return (pairs.join(px, "x").join(py, "y")
+            .filter(f"bit_count(oddx ^ oddy) <= nx + ny - 2 * {_overlap('nx', 'ny', threshold)}").withColumn("both", F.expr("array_intersect(fx, fy)")).filter("size(both) > 0")
+            .withColumn("z", F.expr("element_at(both, -1)"))
+            .withColumn("votes", F.size("both"))
+            .filter(f"votes + {spare} + least(nx - array_position(fx, z), ny - array_position(fy, z)) "
+                    f">= {_overlap('nx', 'ny', threshold)}").drop("nx", "ny", "oddx", "oddy", "fx", "fy", "both", "z"))
 
 
 def _place() -> Column:
     return F.struct("doc", "tk", "line_no")
 
 
-def _passes(needed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Lines that may be needed, by a bitmap of ``FILTER_BITS`` hashed places;
-    it spares the shuffle most lines and never drops a needed one."""
-    h = f"pmod(xxhash64(doc, tk, line_no), {FILTER_BITS})"
-    words = [0] * (FILTER_BITS // 64)
-    marks = needed.selectExpr(f"{h} as h").selectExpr("cast(h div 64 as int) as i", "shiftleft(1L, cast(h % 64 as int)) as m")
-    for r in marks.groupBy("i").agg(F.bit_or("m").alias("m")).collect():
-        words[r["i"]] = r["m"]
-    bit = (f"element_at({_literal_array(words, 'bigint')}, cast({h} div 64 as int) + 1) "
-           f"& shiftleft(1L, cast({h} % 64 as int))")
-    return lines.filter(f"({bit}) <> 0")
-
-
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch,
               name: str) -> DataFrame:
-    """Keys (k1, k2) of the classes that a pair shows to match an earlier one.
-
-    Pairs name classes by half of their key; the words decide."""
+    """Keys (k1, k2) of the classes that a pair (x, y) shows to match an
+    earlier one.  Pairs name classes by half of their key; their lines are
+    fetched from the documents, and the words decide."""
     named = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).distinct()
     needed = scratch.write(classes.join(named, "k1")
                            .select("k1", "k2", "first.doc", "first.tk", "first.line_no"), f"needed-{name}")
-    words = "array_distinct(filter(split(line, ' '), w -> w <> ''))"
-    found = (_passes(needed, _lines(docs)).join(needed, ["doc", "tk", "line_no"])
-             .dropDuplicates(["k1", "k2"])
-             .select("k1", "k2", _place().alias("place"), F.expr(words).alias("words")))
-    found = scratch.write(found, f"words-{name}")
-    a = found.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("place").alias("px"), F.col("words").alias("wx"))
-    b = found.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("place").alias("py"), F.col("words").alias("wy"))
-    both = (pairs.join(a, "x").join(b, "y").filter("px <> py")
-            .withColumn("common", F.expr("size(array_intersect(wx, wy))"))
-            .filter(f"common >= {threshold}D * (size(wx) + size(wy) - common) - 1e-9D"))
+    found = (maybe_in(_lines(docs), needed, ["doc", "tk", "line_no"]).join(needed, ["doc", "tk", "line_no"])
+             .dropDuplicates(["k1", "k2"]).select("k1", "k2", _place().alias("place"), "line"))
+    found = scratch.write(found, f"found-{name}")
+    a = found.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("place").alias("px"), F.col("line").alias("lx"))
+    b = found.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("place").alias("py"), F.col("line").alias("ly"))
+    words = "array_distinct(array_remove(split({}, ' '), ''))"
+    both = (pairs.select("x", "y").join(a, "x").join(b, "y").filter("px <> py")
+            .selectExpr("x", "x2", "px", "y", "y2", "py", f"{words.format('lx')} as wx", f"{words.format('ly')} as wy")
+            .filter(f"size(array_intersect(wx, wy)) >= {threshold}D / (1D + {threshold}D) * (size(wx) + size(wy)) - 1e-9D"))
     later = F.when(F.col("px") > F.col("py"), F.struct(F.col("x").alias("k1"), F.col("x2").alias("k2"))).otherwise(
         F.struct(F.col("y").alias("k1"), F.col("y2").alias("k2")))
     return both.select(later.alias("c")).select("c.k1", "c.k2").distinct()
@@ -152,22 +158,32 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     post = lines.selectExpr("doc", "k1", "n", "posexplode(prefix) as (p, code)")
     # the earliest line of each word that lines of different sets share
     words = (post.groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.min("k1").alias("lo"), F.max("k1").alias("hi"),
-                                      F.min_by("k1", "doc").alias("k"), F.min_by("n", "doc").alias("n2"),
-                                      F.min_by("p", "doc").alias("p2"))
+                                      F.min("doc").alias("d2"), F.min_by("k1", "doc").alias("k"),
+                                      F.min_by("n", "doc").alias("n2"), F.min_by("p", "doc").alias("p2"))
              .filter("lo <> hi").drop("lo", "hi"))
     shared = scratch.write(post.withColumnsRenamed({"n": "n1", "p": "p1"}).join(words.hint("shuffle_hash"), "code"), "shared")
     fits = _can_match(threshold)
-    pairs = scratch.write(shared.filter("k1 <> k").filter(fits).selectExpr("k1 as x", "k as y").distinct(), "pairs-1")
-    gone = scratch.write(_verified(pairs, classes, docs, threshold, scratch, "1"), "gone-1")
+    prefixes = lines.dropDuplicates(["k1", "k2"]).select("k1", "n", "odd", "prefix")
+    pairs = (shared.filter("k1 <> k").filter(fits).groupBy(F.col("k1").alias("x"), F.col("k").alias("y"))
+             .agg(F.min("doc").alias("dx"), F.min("d2").alias("dy")))
+    pairs = scratch.write(_hopeful(pairs, prefixes, threshold), "pairs-1")
+    # first the partner that shares most, then others of lines still there
+    best = pairs.groupBy("x").agg(F.max(F.struct("votes", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+    gone = scratch.write(_verified(best, classes, docs, threshold, scratch, "1"), "gone-1")
+    rest = (pairs.join(best, ["x", "y"], "left_anti")
+            .join(gone.select(F.col("k1").alias("x"), F.lit(True).alias("g")).distinct(), "x", "left")
+            .filter("g is null or dy >= dx"))
+    rest = scratch.write(rest.select("x", "y"), "pairs-2")
+    gone = scratch.write(gone.unionByName(_verified(rest, classes, docs, threshold, scratch, "2")).distinct(), "gone-2")
 
     # what is left, against all earlier lines of its words
-    many = shared.filter("c > 2").select("code", "doc", "k1", "n1", "p1")
+    many = shared.select("code", "doc", "k1", "n1", "p1")
     left = many.join(gone.select("k1").distinct(), "k1", "left_anti").distinct()
     right = many.selectExpr("code", "doc as doc2", "k1 as k", "n1 as n2", "p1 as p2").distinct()
     more = (left.join(right, "code").filter("doc2 <= doc and k1 <> k").filter(fits)
-            .selectExpr("k1 as x", "k as y").distinct().join(pairs, ["x", "y"], "left_anti"))
-    more = scratch.write(more, "pairs-2")
-    gone = gone.unionByName(_verified(more, classes, docs, threshold, scratch, "2")).distinct()
+            .selectExpr("k1 as x", "k as y").distinct())
+    more = scratch.write(_hopeful(more, prefixes, threshold).select("x", "y").join(pairs, ["x", "y"], "left_anti"), "pairs-3")
+    gone = gone.unionByName(_verified(more, classes, docs, threshold, scratch, "3")).distinct()
 
     state = classes.join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left")
     return (lines.select("doc", "tk", "line_no", "k1", "k2").join(state, ["k1", "k2"])
