@@ -10,7 +10,8 @@ one before kept:
 3. near_dups  of each component of near-duplicate documents the one of the
               smallest doc_id stays
 4. benchmark  documents that contain a benchmark item go
-5. packing    what is left becomes sequences of 2048 ids (one row per piece)
+5. packing    what is left becomes sequences of 2048 ids (one row per piece,
+              with its ids)
 
 ``run`` writes each stage to shared storage and reads it back, so a lost
 executor never repeats more than the stage at work.  SQL cannot express the
@@ -49,7 +50,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, keep_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_dups", near_dups), ("benchmark", benchmark), ("packing", pack)]

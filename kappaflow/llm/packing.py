@@ -15,7 +15,6 @@ table gives an empty result; other input columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +28,11 @@ from kappaflow.llm.common import Scratch
 
 END_ID = b"\0\0\0\0"
 PIECE_FIELDS = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
-                T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]
+                T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
+                T.StructField("ids", T.BinaryType())]
 RANK_BUCKET_ROWS = 20_000
 MEMO_CHUNKS = 800_000
+CUT_DOCS = 1000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -87,10 +88,14 @@ class Encoder:
                 yield ids
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
+def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path].texts(texts)
+    return _ENCODERS[path]
+
+
+def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
+    return encoder(path).texts(texts)
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -100,32 +105,41 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def _cutter(path: str, capacity: int, keep_ids: bool):
+def _cutter(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, CUT_DOCS) for b in batches for i in range(0, b.num_rows, CUT_DOCS)):
             doc_ids = b.column(0).to_pylist()
             texts = [t or "" for t in b.column(1).to_pylist()]
             cols: list[list] = [[], [], [], [], []]
             for d, ids in zip(doc_ids, encode_texts(texts, path)):
-                ids += END_ID
-                for k, (start, length) in enumerate(piece_bounds(len(ids) // 4, capacity)):
-                    part = ids[4 * start:4 * (start + length)]
-                    for col, v in zip(cols, (d, k, start, length, part if keep_ids else zlib.crc32(part))):
+                stored = np.frombuffer(ids + END_ID, dtype="<u4")
+                if len(encoder(path).starts) <= 1 << 16:
+                    stored = stored.astype("<u2")
+                for k, (start, length) in enumerate(piece_bounds(len(stored), capacity)):
+                    for col, v in zip(cols, (d, k, start, length, stored[start:start + length].tobytes())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
-                 pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary() if keep_ids else pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids" if keep_ids else "ids_crc32"])
+                 pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())],
+                names=[f.name for f in PIECE_FIELDS])
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, keep_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids): token pieces with their ids as
-    little-endian unsigned 32-bit binary; with ``keep_ids=False`` the ids are
-    reduced where they are made to ``ids_crc32``."""
-    payload = T.StructField("ids", T.BinaryType()) if keep_ids else T.StructField("ids_crc32", T.LongType())
+    little-endian unsigned binary, of 16 bits an id where the whole vocabulary
+    fits and of 32 bits otherwise."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _cutter(tokenizer_path, capacity, keep_ids), T.StructType(PIECE_FIELDS + [payload]))
+        _cutter(tokenizer_path, capacity), T.StructType(PIECE_FIELDS))
+
+
+def wide(ids: pa.Array, n: int) -> pa.Array:
+    """``ids`` of 16 or 32 bits, ``n`` in all, as 32-bit binary."""
+    at = np.frombuffer(ids.buffers()[1], dtype="<i4")[ids.offset:ids.offset + len(ids) + 1]
+    if at[-1] - at[0] == 4 * n:
+        return ids
+    values = np.frombuffer(ids.buffers()[2], dtype="<u2", count=n, offset=int(at[0])).astype("<u4")
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((at - at[0]) * 2).astype("<i4")), pa.py_buffer(values)])
 
 
 # ---- plan (driver, bounded by capacity) -------------------------------------
@@ -293,18 +307,18 @@ def _placer(slots: dict[int, tuple[np.ndarray, ...]]):
                 seq[part] = seq0[j] + at // each[j]
                 off[part] = off0[j] + at % each[j] * n
             kept = [c for c in b.schema.names if c not in ("rank", "uid")]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + [pa.array(seq), pa.array(off)],
-                                             names=kept + ["sequence_id", "offset"])
+            cols = [wide(b.column(c), int(length.sum())) if c == "ids" else b.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(seq), pa.array(off)], names=kept + ["sequence_id", "offset"])
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, keep_ids: bool = True,
-         steps: int = 200) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids (or ids_crc32),
-    sequence_id, offset.  Pieces of a sequence lie without gaps from 0."""
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, steps: int = 200) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids, sequence_id,
+    offset; ids are little-endian unsigned 32-bit binary.  Pieces of a
+    sequence lie without gaps from 0."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.write(token_pieces(docs, tokenizer_path, capacity, keep_ids)
+    pieces = scratch.write(token_pieces(docs, tokenizer_path, capacity)
                            .withColumn("uid", F.monotonically_increasing_id()), "pieces")
     histogram = {int(r["length"]): int(r["n"])
                  for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -313,4 +327,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, keep_ids: b
     schema = T.StructType([f for f in rows.schema.fields if f.name not in ("rank", "uid")]
                           + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return rows.mapInArrow(_placer(slots), schema).select(
-        *[f.name for f in PIECE_FIELDS], "ids" if keep_ids else "ids_crc32", "sequence_id", "offset")
+        *[f.name for f in PIECE_FIELDS], "sequence_id", "offset")

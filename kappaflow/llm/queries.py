@@ -33,11 +33,12 @@ def op7_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packing of whole documents into sequences of 2048 ids."""
+    """Packing of whole documents into sequences of 2048 ids; the operator
+    keeps the ids, the query gives the CRC-32 of each piece's."""
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                        capacity=2048, keep_ids=False)
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query

@@ -140,6 +140,27 @@ def test_queries(spark):
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 2048)
 
 
+def test_pipeline_and_query_pack_the_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert "ids" in rows[0].asDict()
+    _check_packing(rows, texts, 2048)
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        sequences.setdefault(r["sequence_id"], []).extend(np.frombuffer(r["ids"], dtype="<u4").tolist())
+    tok = bpe.load(BYTE)
+    want = sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for t in texts.values())
+    assert sum(map(len, sequences.values())) == want and max(map(len, sequences.values())) <= 2048
+
+    packed, real = [], packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: packed.append(real(*a, **k)) or packed[0])
+    digests = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in QUERIES["op9_packing"](spark, SF).collect()}
+    assert digests == {(r["doc_id"], r["piece"]): zlib.crc32(r["ids"]) for r in packed[0].collect()}
+
+
 def test_nearest_vectors(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=8)], "c") for i in range(300)]
     rows += [(300, rows[0][1], "copy"), (301, None, ""), (302, [0.0] * 8, ""), (303, [float("nan")] * 8, ""),
