@@ -8,7 +8,7 @@ can run it next to the Spark plan and compare results.
 from __future__ import annotations
 
 from kappaflow.schema import SENTENCE_SEP, TRAITS
-from kappaflow.sources.fixtures import BATCHES_PER_EPOCH, EPOCHS_PER_RUN, FIXTURE_EXPS, FIXTURE_VARIANTS
+from kappaflow.sources.fixtures import BATCHES_PER_EPOCH, EPOCHS_PER_RUN, FIXTURE_EXPS, FIXTURE_VARIANTS, LONG_SENTENCES
 
 RUN_KEYS = ["split", "variant", "exp"]
 TRAIT_KEYS = RUN_KEYS + ["trait"]
@@ -114,6 +114,11 @@ def sentences_ctes() -> list[tuple[str, str]]:
                       "FROM (SELECT *, unnest(range(1, len(sentences) + 1)) AS p FROM sent) x")]
 
 
+def long_essay_cte() -> tuple[str, str]:
+    return "with_long", (f"SELECT essay_id, split, sentences FROM sent UNION ALL SELECT CAST(-1 AS BIGINT), 'train', "
+                         f"list_transform(range(1, {LONG_SENTENCES + 1}), lambda i: 'sentence ' || i)")
+
+
 def sentence_vector_ctes() -> list[tuple[str, str]]:
     return sentences_ctes() + [
         ("ne", "SELECT count(*) AS n FROM embeddings"),

@@ -22,10 +22,11 @@ from kappaflow.operators import report as R
 from kappaflow.operators import sequence as S
 from kappaflow.operators import text as X
 from kappaflow.plans import oracle as O
-from kappaflow.schema import (MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL,
+from kappaflow.schema import (MAX_SENTENCES, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL,
                               SENTENCE_BATCH, TEXT_COL, TRAITS, q)
 from kappaflow.functions.scores import loss_kind, loss_kind_sql, loss_value, loss_value_sql, stable_round
 from kappaflow.functions.scores import stable_round_sql as SR
+from kappaflow.functions.text import split_sentences
 from kappaflow.sources import fixtures as FX
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,14 +284,16 @@ def sentences_prompt_first(spark, d):
     return _sentences(spark, d, mode="prompt_first")
 
 
-CAP = 3  # low enough to cut essays at every scale
-
-
-@register("sentence_cap", O.with_(*O.sentences_ctes(), select=(
-        f"SELECT essay_id, split, list_slice(sentences, 1, {CAP}) AS sentences FROM sent")))
+@register("sentence_cap", O.with_(*O.sentences_ctes(), O.long_essay_cte(), select=(
+        f"SELECT essay_id, split, CAST(len(sentences) AS INTEGER) AS n_sentences, "
+        f"CAST(len(list_slice(sentences, 1, {MAX_SENTENCES})) AS INTEGER) AS n_kept, "
+        f"list_slice(sentences, 1, {MAX_SENTENCES}) AS sentences FROM with_long")))
 def sentence_cap(spark, d):
-    """The first sentences of every essay, by the operator's argument."""
-    return _sentences(spark, d, max_sentences=CAP)
+    """At most 128 sentences per essay, by the operator's argument."""
+    e = FX.with_long_essay(_essays(spark, d))
+    e = e.withColumn("n_sentences", F.size(split_sentences(F.col(q(TEXT_COL)))))
+    s = X.sentences(e, keys=("essay_id", "split", "n_sentences"), max_sentences=MAX_SENTENCES)
+    return s.select("essay_id", "split", "n_sentences", F.size("sentences").alias("n_kept"), "sentences")
 
 
 @register("sentence_rows", O.with_(*O.sentences_ctes(), select="SELECT * FROM srows"))

@@ -14,12 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.schema import PROMPT_COL, SENTENCE_SEP, TEXT_COL, TRAITS, rater_col
+from kappaflow.schema import PROMPT_COL, SENTENCE_SEP, TEXT_COL, TRAITS, q, rater_col
 
 FIXTURE_VARIANTS = ["kobert", "labeled_kobert"]
 FIXTURE_EXPS = [0, 1]
 EPOCHS_PER_RUN = 100
 BATCHES_PER_EPOCH = 100
+LONG_SENTENCES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,17 @@ def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return essays_from_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
+def with_long_essay(essay_rows: DataFrame) -> DataFrame:
+    """The essays' prompts and texts, and one more essay of ``LONG_SENTENCES``
+    sentences, which a sentence cap cuts at every scale."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(LONG_SENTENCES)),
+                                    lambda i: F.concat(F.lit("sentence "), i.cast("string"))), SENTENCE_SEP)
+    one = essay_rows.sparkSession.range(1).select(
+        F.lit(-1).cast("bigint").alias("essay_id"), F.lit("train").alias("split"),
+        F.lit("long").alias(PROMPT_COL), text.alias(TEXT_COL))
+    return essay_rows.select("essay_id", "split", F.col(q(PROMPT_COL)), F.col(q(TEXT_COL))).unionByName(one)
+
+
 def predictions_from_scores(scores_long: DataFrame) -> DataFrame:
     """Stand-in scorer output ``pred01`` in 0..1 for every (essay, variant, exp, trait).
 

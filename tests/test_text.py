@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from kappaflow.functions import text as T
 from kappaflow.operators import text as X
+from kappaflow.plans.queries import QUERIES
 from kappaflow.schema import PROMPT_COL, SENTENCE_SEP, TEXT_COL
+from tests.conftest import SF_SMALL
 
 
 def _essays(spark, rows):
@@ -44,6 +46,16 @@ def test_cap_is_an_argument_only(spark):
     assert {len(r.sentences) for r in X.sentences(e).collect()} == {200}
 
 
+def test_query_caps_at_128_only(spark):
+    rows = QUERIES["sentence_cap"](spark, SF_SMALL).collect()
+    whole = {r.essay_id: r.sentences for r in QUERIES["sentences"](spark, SF_SMALL).collect()}
+    assert len(rows) == len(whole) + 1
+    assert any(r.n_sentences > 128 for r in rows) and any(3 < r.n_sentences <= 128 for r in rows)
+    for r in rows:
+        assert r.n_kept == len(r.sentences) == min(r.n_sentences, 128)
+        assert r.sentences == whole.get(r.essay_id, [f"sentence {i}" for i in range(1, 201)])[:128]
+
+
 def test_sentence_rows_keep_order_and_regroup(spark):
     e = _essays(spark, [(i, "train", "P", SENTENCE_SEP.join(f"e{i}s{j}" for j in range(i + 1))) for i in range(20)])
     s = X.sentences(e)
