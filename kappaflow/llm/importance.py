@@ -1,9 +1,9 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two generative bag-of-n-grams models over ``BUCKETS`` hashed features are
-counted: the target model over labelled good documents (at most
-``TARGET_DOCS``, a list of ids small enough to broadcast, so no text is
-shuffled), the raw model over all documents.  A document's importance weight
+counted: the target model over all labelled good documents, the raw model over
+all documents.  The labelled ids are broadcast, so that no text is shuffled,
+only while their count is at most ``BROADCAST_IDS``.  A document's importance weight
 is the ratio of its probabilities under the two, log w = sum over its n-grams
 of log target - log raw.  Sampling documents without replacement in proportion
 to w is a Gumbel top-k: the k largest log w + Gumbel noise.  By default k is
@@ -43,7 +43,7 @@ from kappaflow.llm.common import Scratch
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-TARGET_DOCS = 500_000
+BROADCAST_IDS = 500_000
 SEED = 11
 LEAST_LOG_WEIGHT = -10.0
 _PART = re.compile(r"\w+|[^\w\s]+")
@@ -113,12 +113,13 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """Log target - log raw probability of every feature; ``good`` holds the
-    doc_ids of good documents, of which the target model counts at most
-    ``TARGET_DOCS`` (by a hash of the id).  The raw model reads all documents;
-    ``FEATURES`` counts, summed on Spark, reach the driver."""
-    good = (good.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
-            .withColumn("good", F.lit(True)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    doc_ids of good documents, all of which the target model counts.  The raw
+    model reads all documents; ``FEATURES`` counts, summed on Spark, reach the
+    driver."""
+    good = good.select("doc_id").dropna().distinct().withColumn("good", F.lit(True))
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = (rows.mapInArrow(_counter, "feature bigint, n_raw bigint, n_target bigint")
               .groupBy("feature").agg(F.sum("n_raw").alias("r"), F.sum("n_target").alias("t")).collect())
     n = np.zeros((2, FEATURES))

@@ -230,6 +230,23 @@ def test_importance(spark):
     assert all(r["kept"] for r in importance.resample(d, good.limit(0)).collect())
 
 
+def test_target_counts_all_good_documents(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, words(rnd, 40, 30 + i % 7)) for i in range(120)] + [(None, "w1 w2"), (3, "w5 w6")]
+    d, good = docs(spark, rows), spark.createDataFrame([(i,) for i in range(0, 120, 3)] + [(0,), (None,)], "doc_id long")
+    ids = set(range(0, 120, 3))
+    f, of = importance._features([t for _, t in rows])
+    is_good = np.array([i in ids for i, _ in rows])
+    n = [np.bincount(x, minlength=importance.FEATURES) + importance.SMOOTHING for x in (f[is_good[of]], f)]
+    cut = importance.BUCKETS
+    parts = [[np.log(m[k] / m[k].sum()) for m in n] for k in (slice(0, cut), slice(cut, None))]
+    want = np.concatenate([t - r for t, r in parts])
+    for most in (500_000, 5):  # more labelled documents than the constant changes the join only
+        for name in ("BROADCAST_IDS", "TARGET_DOCS"):
+            monkeypatch.setattr(importance, name, most, raising=False)
+        assert np.allclose(importance.fit(d, good), want)
+
+
 def test_weights_equal_brute_force():
     texts = ["Alpha beta! beta beta 12", "", "x"]
     f, d = importance._features(texts)
