@@ -123,15 +123,13 @@ _DAY = "cast(conv(substr(md5({x}), 1, 7), 16, 10) as bigint) % {m}"
 @query
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page capture against a dated list: each host has three entries,
-    each domain two, each URL whose digest starts with 0 one."""
+    each domain two, each URL four."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     day = lambda x, m: F.expr(f"date_add(date'2024-01-01', cast({_DAY.format(x=x, m=m)} as int))")
     captures = pages.withColumn("fetched", day("concat('fetch', cast(page_id as string))", 366))
     made = []
-    for kind, n in (("host", 3), ("domain", 2), ("url", 1)):
+    for kind, n in (("host", 3), ("domain", 2), ("url", 4)):
         names = pages.select(url_filters.entity(kind, F.col("url")).alias("entity")).dropna().distinct()
-        if kind == "url":
-            names = names.filter("substr(md5(entity), 1, 1) = '0'")
         made.append(names.selectExpr(f"'{kind}' as kind", "entity", f"explode(sequence(1, {n})) as j"))
     rows = made[0].unionByName(made[1]).unionByName(made[2])
     entries = rows.select(
@@ -148,7 +146,7 @@ c as (select page_id, url, host, host || rest as u, nullif(regexp_extract(host,
     date '2024-01-01' + cast(('0x' || substr(md5('fetch' || page_id), 1, 7))::bigint % 366 as int) as fetched from n where host <> ''),
 x as (select distinct 'host' as kind, host as entity, unnest([1, 2, 3]) as j from c
   union all select distinct 'domain', dom, unnest([1, 2]) from c where dom is not null
-  union all select distinct 'url', u, 1 from c where substr(md5(u), 1, 1) = '0'),
+  union all select distinct 'url', u, unnest([1, 2, 3, 4]) from c),
 e as (select kind, entity, date '2024-01-01' + cast(('0x' || substr(md5(kind || entity || j), 1, 7))::bigint % 366 as int) as d,
     ('0x' || substr(md5('act' || kind || entity || j), 1, 7))::bigint % 3 as r from x),
 g as (select kind, entity, d, min(r) as r from e group by all),

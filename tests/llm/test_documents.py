@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from kappaflow.llm import (components, decontamination, importance, line_dedup, odd_minhash, perspectives,
                            toxicity_crf, url_filters)
 from kappaflow.llm.common import Scratch, maybe_in
+from kappaflow.llm.queries import QUERIES
 
 DOC = T.StructType([T.StructField(c, t) for c, t in (
     ("doc_id", T.LongType()), ("text", T.StringType()), ("code", T.StringType()), ("n", T.LongType()),
@@ -351,6 +352,13 @@ def test_perspectives_over_parts(spark, monkeypatch):
             at += len(r["segment"])
 
 
+def test_query_gives_urls_histories(spark):
+    rows = QUERIES["op10_url_filters"](spark, "/root/testdata/sf0.001").collect()
+    by_url = [r for r in rows if r["kind"] == "url"]
+    assert len(by_url) > len(rows) / 4
+    assert any(r["valid_to"] is not None for r in by_url) and any(r["valid_to"] is None for r in by_url)
+
+
 def test_url_filters(spark):
     from datetime import date
 
