@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.llm import decontamination, dimension_scan, importance, line_dedup, odd_minhash, packing, perspectives, token_cache, toxicity_crf, url_filters
+from kappaflow.llm import (decontamination, dimension_scan, exact_dedup, importance, line_dedup, odd_minhash, packing,
+                           perspectives, token_cache, toxicity_crf, url_filters)
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +207,19 @@ def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic",
         F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))),
                      ";").alias("spans"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal but for the case of A-Z; the largest
+    doc_id of a group stays."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest").select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLE["op13_exact_dedup"] = """
+with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256 from d join g using (t)
+"""
