@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kappaflow.llm import (decontamination, dimension_scan, exact_dedup, importance, line_dedup, odd_minhash, packing,
-                           perspectives, token_cache, toxicity_crf, url_filters)
+                           perspectives, prefix_trie, token_cache, toxicity_crf, url_filters)
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,42 @@ with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)
 select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256 from d join g using (t)
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt to share their openings."""
+    scratch = Scratch(spark, "prefix-trie")
+    numbered = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"), scratch)
+    return prefix_trie.trie(*prefix_trie.with_openings(numbered, scratch), scratch)
+
+
+# DuckDB has no CRC-32, so the twin makes its table from the polynomial
+ORACLE["op12_prefix_trie"] = """
+with z as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as tab),
+o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id
+    order by turn nulls first, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as pos
+  from conversations where conv_id is not null),
+n as (select conv_id, max(pos) as n from o group by conv_id),
+h as (select conv_id, n, conv_id - conv_id % 100 as base, xor(4294967295, list_reduce(
+      [4294967295] || list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i::bigint, 1))::bigint),
+      lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) % 6 as h from n, z),
+t as (select h.*, least(h, coalesce(b.n, 0)) as taken from h left join n b on h.base = b.conv_id),
+r as (select t.conv_id, o.pos as d, o.role, o.text from t join o on o.conv_id = t.base where o.pos <= t.h
+  union all select t.conv_id, o.pos - t.h + t.taken, o.role, o.text from t join o on o.conv_id = t.conv_id where o.pos > t.h),
+k as (select conv_id, d, length(text) as chars, md5(string_agg(md5(strlen(role) || ':' || role || text), '')
+    over (partition by conv_id order by d)) as key from r),
+m as (select conv_id, d, chars, key from k union all select conv_id, 0, 0, 'root' from t),
+g as (select d, key, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars from m group by d, key),
+u as (select d, key, max(d) over (partition by conv_id) = d as ended, conv_id from m),
+e as (select d, key, string_agg(conv_id, ',' order by conv_id) as ids from u where ended group by d, key),
+p as (select g.d, g.key, m.key as pkey from g join m on m.conv_id = g.conv_id and m.d = g.d - 1),
+c as (select d - 1 as d, pkey as key, count(*) as n_children from p group by all),
+s as (select g.*, coalesce(n_children, 0) as n_children from g left join c using (d, key)),
+a as (select m.d, m.key, sum(case when s.n_children = 0 then 1 else 0 end) as n_leaves, sum((s.n_convs - 1) * s.chars) as saved
+  from s join m on m.conv_id = s.conv_id and m.d <= s.d group by m.d, m.key)
+select s.conv_id, s.d as depth, q.conv_id as parent_conv_id, s.n_convs, s.n_children, a.n_leaves::bigint as n_leaves,
+  a.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from s join a using (d, key) left join e using (d, key) left join p using (d, key) left join s q on q.d = s.d - 1 and q.key = p.pkey
+"""
