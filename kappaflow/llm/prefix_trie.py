@@ -443,11 +443,11 @@ def trie(numbered: DataFrame, totals: DataFrame, scratch: Scratch) -> DataFrame:
 
     top = nodes.filter("depth = 1").agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"),
                                         F.sum(F.col("said") - F.col("once")).alias("saved"))
-    sha = shas.filter("ka = 0 and kb = 0").agg(F.first("sha").alias("sha"))  # one row each
-    top = top.join(sha).select(
+    sha = shas.filter("ka = 0 and kb = 0").first()
+    top = top.select(
         F.lit(root[0]).alias("conv_id"), F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("parent_conv_id"),
         F.lit(root[1]).alias("n_convs"), "n_children", F.coalesce("n_leaves", F.lit(1).cast("bigint")).alias("n_leaves"),
-        F.coalesce("saved", none).alias("saved_tokens"), F.coalesce("sha", F.lit(NO_ENDS)).alias("ends_sha256"))
+        F.coalesce("saved", none).alias("saved_tokens"), F.lit(sha["sha"] if sha else NO_ENDS).alias("ends_sha256"))
     return nodes.select(
         "conv_id", "depth", F.when(F.col("depth") == 1, F.lit(root[0])).otherwise(F.col("parent_conv_id")).alias("parent_conv_id"),
         "n_convs", "n_children", "n_leaves", (F.col("said") - F.col("once")).alias("saved_tokens"), "ends_sha256").unionByName(top)

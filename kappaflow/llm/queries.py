@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kappaflow.llm import (decontamination, dimension_scan, exact_dedup, importance, line_dedup, odd_minhash, packing,
-                           perspectives, prefix_trie, token_cache, toxicity_crf, url_filters)
+from kappaflow.llm import (decontamination, dimension_scan, exact_dedup, hard_negatives, importance, line_dedup,
+                           odd_minhash, packing, perspectives, prefix_trie, token_cache, toxicity_crf, url_filters)
 from kappaflow.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,3 +262,27 @@ select s.conv_id, s.d as depth, q.conv_id as parent_conv_id, s.n_convs, s.n_chil
   a.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
 from s join a using (d, key) left join e using (d, key) left join p using (d, key) left join s q on q.d = s.d - 1 and q.key = p.pkey
 """
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh row moves to the
+    next label first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 50 = 0")
+
+
+ORACLE["op11_hard_negatives"] = """
+with e as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings where vec_id is not null and label is not null and len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+s as (select a.vec_id as anchor_id, a.label as la, b.vec_id, b.label as lb, list_inner_product(a.q, b.q)::bigint as score
+  from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where la = lb
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as int) as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and la <> lb and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 3
+"""
