@@ -9,19 +9,23 @@ lines are never removed.  Only DataFrame operations are used.
   hashed counters, and the logarithm of a word's counter, then its hash, gives
   its place.  Any common order keeps the join exact; this one keeps the
   buckets of shared words short.
-* Lines of equal sets form one class, known by its first line.
-* A line of n words that matches shares a word within its first
-  n - ceil(threshold * n) + 1 words (prefix filter).  Each shared prefix word
-  first pairs its lines with its earliest line only; lines that this does not
-  remove are then paired with all earlier ones.  So a large group of near
-  copies does not become all its pairs.
-* Length, position of the shared word, overlap of the prefixes and parity bits
-  of the sets drop pairs that cannot reach the threshold; the others are verified on the words themselves.
+* Lines of equal sets form one class, known by its first line; sets so small
+  that only equal ones match end there.
+* A class of n words that matches another shares a word within its first
+  n - ceil(threshold * n) + 1 words (prefix filter).  Classes meet at such a
+  word as narrow rows; length, position of the word and the parity bits of the
+  sets (each word flips one of 64) drop pairs that cannot reach the threshold.
+* A word that more than ``SHORT_BUCKET`` classes share first pairs them with
+  its earliest class only; those that this does not remove are then paired
+  with all earlier ones.  So near copies of one line never become all pairs.
+* Pairs that are left are verified on the words themselves, read again from
+  the texts of the lines concerned.
 
 Defined results: null and empty texts have no lines to remove; rows equal in
 doc_id and text are one document and get the same result; null doc_ids come
 last, ties between texts of one doc_id go by a hash of the text; other columns
-pass through ``dedup_lines`` untouched; empty tables give empty results.
+pass through ``dedup_lines`` untouched, but for one named like its count, which
+the count replaces; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -29,11 +33,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.llm.common import Scratch, literal_array, maybe_in
+from kappaflow.llm.common import Scratch, literal_array, runtime_filters
 
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 18
 NO_ID = (1 << 63) - 1
+SHORT_BUCKET = 256
+CODE_BITS = 44
 
 
 def _spaced(text: str) -> str:
@@ -67,17 +73,17 @@ def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
 
 
 def _sets(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
-    """Per line: size n, 128-bit key of the set, its parity bits (each word
-    flips one of 64), hashed prefix words."""
+    """Per line: 128-bit key of the set (k1, k2), size n, its parity bits and
+    prefix words as numbers of 6 + ``CODE_BITS`` bits."""
     code = (f"(shiftleft(cast(element_at({literal_array(levels, 'tinyint')}, "
-            f"cast(pmod(xxhash64(w), {len(levels)}) as int) + 1) as bigint), 58) | (xxhash64(w) & {(1 << 58) - 1}L))")
-    words = "array_remove(split(line, ' '), '')"
-    return (lines.selectExpr("doc", "tk", "line_no", f"sort_array(array_distinct(transform({words}, w -> {code}))) as codes")
+            f"cast(pmod(h, {len(levels)}) as int) + 1) as bigint), 58) | (h & {(1 << 58) - 1}L))")
+    words = "array_distinct(transform(array_remove(split(line, ' '), ''), w -> xxhash64(w)))"
+    return (lines.selectExpr("doc", "tk", "line_no", f"sort_array(transform({words}, h -> {code})) as codes")
             .filter("size(codes) > 0")
             .selectExpr("doc", "tk", "line_no", "size(codes) as n", "xxhash64(codes) as k1", "xxhash64(17, codes) as k2",
                         "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int))) as odd",
-                        f"transform(slice(codes, 1, {_prefix('size(codes)', threshold)}),"
-                        " c -> cast(shiftright(c, 32) as int)) as prefix"))
+                        f"if(size(codes) / (size(codes) + 1D) >= {threshold}D - 1e-9D, transform(slice(codes, 1, "
+                        f"{_prefix('size(codes)', threshold)}), c -> shiftright(c, {58 - CODE_BITS})), null) as prefix"))
 
 
 def _least(x: str, threshold: float) -> str:
@@ -104,21 +110,15 @@ def _can_match(threshold: float) -> str:
             f"least(p1, p2) + 1 + least(n1 - p1 - 1, n2 - p2 - 1) >= {_overlap('n1', 'n2', threshold)}")
 
 
-def _hopeful(pairs: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (x, y) whose whole prefixes allow a match: the words that both
-    prefixes hold, and what can follow the last of them, must reach the least
-    overlap (equal hashes within a prefix count as a word each); and whose
-    parity bits differ in no more places than matching sets have different
-    words."""
-    px, py = (prefixes.select(F.col("k1").alias(v), F.col("n").alias(f"n{v}"), F.col("odd").alias(f"odd{v}"),
-                              F.col("prefix").alias(f"f{v}")) for v in "xy")
-    spare = "size(fx) - size(array_distinct(fx)) + size(fy) - size(array_distinct(fy))"
-    return (pairs.join(px, "x").join(py, "y")
-            .filter(f"bit_count(oddx ^ oddy) <= nx + ny - 2 * {_overlap('nx', 'ny', threshold)}").withColumn("both", F.expr("array_intersect(fx, fy)")).filter("size(both) > 0")
-            .withColumn("z", F.expr("element_at(both, -1)"))
-            .withColumn("votes", F.size("both"))
-            .filter(f"votes + {spare} + least(nx - array_position(fx, z), ny - array_position(fy, z)) "
-                    f">= {_overlap('nx', 'ny', threshold)}").drop("nx", "ny", "oddx", "oddy", "fx", "fy", "both", "z"))
+def _close(a: str, b: str, threshold: float) -> str:
+    """Whether two rows of a shared word can match: length, position and
+    parity bits, which differ in no more places than the sets in words."""
+    ends = {"n1": f"{a}.n", "n2": f"{b}.n", "p1": f"{a}.p", "p2": f"{b}.p"}
+    fits = _can_match(threshold)
+    for name, column in ends.items():
+        fits = fits.replace(name, column)
+    least = _overlap(f"{a}.n", f"{b}.n", threshold)
+    return f"bit_count({a}.odd ^ {b}.odd) <= {a}.n + {b}.n - 2 * {least} and {fits}"
 
 
 def _place() -> Column:
@@ -128,14 +128,15 @@ def _place() -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch,
               name: str) -> DataFrame:
     """Keys (k1, k2) of the classes that a pair (x, y) shows to match an
-    earlier one.  Pairs name classes by half of their key; their lines are
-    fetched from the documents, and the words decide."""
+    earlier one.  Pairs name classes by half of their key; their first lines
+    are read from the documents, and the words decide."""
     named = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).distinct()
-    needed = scratch.write(classes.join(named, "k1")
-                           .select("k1", "k2", "first.doc", "first.tk", "first.line_no"), f"needed-{name}")
-    found = (maybe_in(_lines(docs), needed, ["doc", "tk", "line_no"]).join(needed, ["doc", "tk", "line_no"])
-             .dropDuplicates(["k1", "k2"]).select("k1", "k2", _place().alias("place"), "line"))
-    found = scratch.write(found, f"found-{name}")
+    scratch.write(classes.join(named, "k1").select("k1", "k2", "first.doc", "first.tk", "first.line_no"), f"needed-{name}")
+    needed = docs.sparkSession.read.parquet(scratch.path(f"needed-{name}")).filter("line_no >= 0")
+    with runtime_filters(docs.sparkSession):
+        found = (_lines(docs).join(needed, ["doc", "tk", "line_no"])
+                 .dropDuplicates(["k1", "k2"]).select("k1", "k2", _place().alias("place"), "line"))
+        found = scratch.write(found, f"found-{name}")
     a = found.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("place").alias("px"), F.col("line").alias("lx"))
     b = found.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("place").alias("py"), F.col("line").alias("ly"))
     words = "array_distinct(array_remove(split({}, ' '), ''))"
@@ -144,56 +145,52 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold:
             .filter(f"size(array_intersect(wx, wy)) >= {threshold}D / (1D + {threshold}D) * (size(wx) + size(wy)) - 1e-9D"))
     later = F.when(F.col("px") > F.col("py"), F.struct(F.col("x").alias("k1"), F.col("x2").alias("k2"))).otherwise(
         F.struct(F.col("y").alias("k1"), F.col("y2").alias("k2")))
-    return both.select(later.alias("c")).select("c.k1", "c.k2").distinct()
+    gone = scratch.write(both.select(later.alias("c")).select("c.k1", "c.k2").distinct(), f"gone-{name}")
+    scratch.drop(f"needed-{name}", f"found-{name}")
+    return gone
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SHORT_BUCKET) -> DataFrame:
     """(doc, tk, removed): per document that loses lines, their numbers from 0
     in ascending order.  ``doc`` is doc_id (null as the largest value), ``tk``
     the hash of the text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(_sets(_lines(docs), rarity_levels(docs), threshold), "lines")
-    classes = scratch.write(lines.groupBy("k1", "k2").agg(F.min(_place()).alias("first")), "classes")
-
-    post = lines.selectExpr("doc", "k1", "n", "posexplode(prefix) as (p, code)")
-    # the earliest line of each word that lines of different sets share
-    words = (post.groupBy("code").agg(F.count(F.lit(1)).alias("c"), F.min("k1").alias("lo"), F.max("k1").alias("hi"),
-                                      F.min("doc").alias("d2"), F.min_by("k1", "doc").alias("k"),
-                                      F.min_by("n", "doc").alias("n2"), F.min_by("p", "doc").alias("p2"))
-             .filter("lo <> hi").drop("lo", "hi"))
-    shared = scratch.write(post.withColumnsRenamed({"n": "n1", "p": "p1"}).join(words.hint("shuffle_hash"), "code"), "shared")
-    fits = _can_match(threshold)
-    prefixes = lines.dropDuplicates(["k1", "k2"]).select("k1", "n", "odd", "prefix")
-    pairs = (shared.filter("k1 <> k").filter(fits).groupBy(F.col("k1").alias("x"), F.col("k").alias("y"))
-             .agg(F.min("doc").alias("dx"), F.min("d2").alias("dy")))
-    pairs = scratch.write(_hopeful(pairs, prefixes, threshold), "pairs-1")
-    # first the partner that shares most, then others of lines still there
-    best = pairs.groupBy("x").agg(F.max(F.struct("votes", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
-    gone = scratch.write(_verified(best, classes, docs, threshold, scratch, "1"), "gone-1")
-    rest = (pairs.join(best, ["x", "y"], "left_anti")
-            .join(gone.select(F.col("k1").alias("x"), F.lit(True).alias("g")).distinct(), "x", "left")
-            .filter("g is null or dy >= dx"))
-    rest = scratch.write(rest.select("x", "y"), "pairs-2")
-    gone = scratch.write(gone.unionByName(_verified(rest, classes, docs, threshold, scratch, "2")).distinct(), "gone-2")
-
-    # what is left, against all earlier lines of its words
-    many = shared.select("code", "doc", "k1", "n1", "p1")
-    left = many.join(gone.select("k1").distinct(), "k1", "left_anti").distinct()
-    right = many.selectExpr("code", "doc as doc2", "k1 as k", "n1 as n2", "p1 as p2").distinct()
-    more = (left.join(right, "code").filter("doc2 <= doc and k1 <> k").filter(fits)
-            .selectExpr("k1 as x", "k as y").distinct())
-    more = scratch.write(_hopeful(more, prefixes, threshold).select("x", "y").join(pairs, ["x", "y"], "left_anti"), "pairs-3")
-    gone = gone.unionByName(_verified(more, classes, docs, threshold, scratch, "3")).distinct()
-
-    state = classes.join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left")
+    classes = scratch.write(lines.groupBy("k1", "k2").agg(
+        F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), "classes")
+
+    # classes at the words that they share; long buckets apart
+    post = classes.filter("prefix is not null").selectExpr("k1", "n", "odd", "first", "posexplode(prefix) as (p, code)")
+    long = scratch.write(post.groupBy("code").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > short).select("code"), "long")
+    rows = post.select("code", "k1", "n", "p", "odd").join(long, "code", "left_anti")
+    close = F.expr(f"a.k1 < b.k1 and {_close('a', 'b', threshold)}")
+    pairs = (rows.alias("a").join(rows.alias("b"), F.expr("a.code = b.code") & close)
+             .select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")))
+    shared = scratch.write(post.join(long, "code", "left_semi"), "shared")
+    hubs = shared.groupBy("code").agg(F.min(F.struct("first", "k1", "n", "p", "odd")).alias("h")).select("code", "h.*")
+    pairs = pairs.unionByName(shared.alias("a").join(hubs.alias("b"), "code").filter(f"a.k1 <> b.k1 and {_close('a', 'b', threshold)}")
+                              .select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")))
+    pairs = scratch.write(pairs.distinct(), "pairs")
+    gone = _verified(pairs, classes, docs, threshold, scratch, "1")
+
+    # what is left of long buckets, against all earlier classes of its words
+    left = shared.join(gone.select("k1").distinct(), "k1", "left_anti")
+    more = (left.alias("a").join(shared.alias("b"), "code").filter(f"b.first < a.first and {_close('a', 'b', threshold)}")
+            .select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti"))
+    more = scratch.write(more, "more")
+    if not more.isEmpty():
+        gone = gone.unionByName(_verified(more, classes, docs, threshold, scratch, "2")).distinct()
+
+    state = scratch.write(classes.select("k1", "k2", "first").join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left"), "state")
+    scratch.drop("long", "shared", "pairs", "more", "classes")
     return (lines.select("doc", "tk", "line_no", "k1", "k2").join(state, ["k1", "k2"])
             .filter(F.col("gone").isNotNull() | (_place() != F.col("first")))
             .groupBy("doc", "tk").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, count: str = "n_removed") -> DataFrame:
     """``docs`` with the removed lines cut from ``text`` and the number of
-    lines cut in ``n_removed``."""
+    lines cut in the column ``count``."""
     gone = removed_lines(docs, threshold)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).select(
         "d", F.coalesce(F.col("d.doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"),
@@ -203,5 +200,5 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
               .select("d", "removed", "ls", F.expr("array_except(sequence(0, size(ls) - 1), removed)").alias("kept")))
     text = F.expr("if(removed is null, d.text, array_join(transform(kept, i -> ls[i]), '\\n'))")
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns],
-        F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
+        *[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c != count],
+        F.coalesce(F.size("removed"), F.lit(0)).alias(count))

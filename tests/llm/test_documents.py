@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaflow.llm import (components, decontamination, importance, line_dedup, odd_minhash, perspectives,
@@ -83,6 +84,11 @@ def test_line_dedup(spark):
     # lines inside are compared with odd white space read as spaces, text is kept as it is
     assert by_key == expect
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+    # words that many lines share go another way to the same result
+    short = line_dedup.removed_lines(docs(spark, rows), short=2).collect()
+    assert sum(len(r["removed"]) for r in short) == sum(len(v) for v in want.values())
+    clash = line_dedup.dedup_lines(docs(spark, rows).withColumn("n_removed", F.lit("x")))
+    assert clash.columns == [*DOC.names, "n_removed"] and clash.filter("n_removed > 0").count() > 0
 
 
 # ---- near duplicates ------------------------------------------------------------
