@@ -34,9 +34,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs).filter("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    shorter = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", shorter).select(*docs.columns)
+    count = "n_removed"
+    while count in docs.columns:
+        count += "_"
+    cut = line_dedup.dedup_lines(docs, count=count)
+    out = cut.filter(f"`{count}` = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    shorter = F.when(F.col(count) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", shorter).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
