@@ -18,8 +18,9 @@ lines are never removed.  Only DataFrame operations are used.
 * A word that more than ``SHORT_BUCKET`` classes share first pairs them with
   its earliest class only; those that this does not remove are then paired
   with all earlier ones.  So near copies of one line never become all pairs.
-* Pairs that are left are verified on the words themselves, read again from
-  the texts of the lines concerned.
+* Pairs are verified on the words themselves, read again from the texts of the
+  lines concerned: first the likeliest partner of each class, then all others
+  of the classes that this does not remove.
 
 Defined results: null and empty texts have no lines to remove; rows equal in
 doc_id and text are one document and get the same result; null doc_ids come
@@ -78,8 +79,8 @@ def _sets(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     code = (f"(shiftleft(cast(element_at({literal_array(levels, 'tinyint')}, "
             f"cast(pmod(h, {len(levels)}) as int) + 1) as bigint), 58) | (h & {(1 << 58) - 1}L))")
     words = "array_distinct(transform(array_remove(split(line, ' '), ''), w -> xxhash64(w)))"
-    return (lines.selectExpr("doc", "tk", "line_no", f"sort_array(transform({words}, h -> {code})) as codes")
-            .filter("size(codes) > 0")
+    return (lines.filter("trim(line) <> ''")
+            .selectExpr("doc", "tk", "line_no", f"sort_array(transform({words}, h -> {code})) as codes")
             .selectExpr("doc", "tk", "line_no", "size(codes) as n", "xxhash64(codes) as k1", "xxhash64(17, codes) as k2",
                         "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int))) as odd",
                         f"if(size(codes) / (size(codes) + 1D) >= {threshold}D - 1e-9D, transform(slice(codes, 1, "
@@ -117,36 +118,40 @@ def _close(a: str, b: str, threshold: float) -> str:
     fits = _can_match(threshold)
     for name, column in ends.items():
         fits = fits.replace(name, column)
-    least = _overlap(f"{a}.n", f"{b}.n", threshold)
-    return f"bit_count({a}.odd ^ {b}.odd) <= {a}.n + {b}.n - 2 * {least} and {fits}"
+    return f"{_spare(a, b, threshold)} >= 0 and {fits}"
+
+
+def _spare(a: str, b: str, threshold: float) -> str:
+    """How many more words the sets of a match may differ in than their parity
+    bits do."""
+    return f"{a}.n + {b}.n - 2 * {_overlap(f'{a}.n', f'{b}.n', threshold)} - bit_count({a}.odd ^ {b}.odd)"
 
 
 def _place() -> Column:
     return F.struct("doc", "tk", "line_no")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch,
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch,
               name: str) -> DataFrame:
-    """Keys (k1, k2) of the classes that a pair (x, y) shows to match an
-    earlier one.  Pairs name classes by half of their key; their first lines
-    are read from the documents, and the words decide."""
+    """Keys (k1, k2) of the classes x that a pair (x, y) shows to match an
+    earlier class y.  Pairs name classes by half of their key; their first
+    lines are read from the documents, and the words decide."""
     named = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).distinct()
-    scratch.write(classes.join(named, "k1").select("k1", "k2", "first.doc", "first.tk", "first.line_no"), f"needed-{name}")
+    scratch.write(firsts.join(named, "k1").select("k1", "k2", "first.*"), f"needed-{name}")
     needed = docs.sparkSession.read.parquet(scratch.path(f"needed-{name}")).filter("line_no >= 0")
-    with runtime_filters(docs.sparkSession):
-        found = (_lines(docs).join(needed, ["doc", "tk", "line_no"])
-                 .dropDuplicates(["k1", "k2"]).select("k1", "k2", _place().alias("place"), "line"))
-        found = scratch.write(found, f"found-{name}")
-    a = found.select(F.col("k1").alias("x"), F.col("k2").alias("x2"), F.col("place").alias("px"), F.col("line").alias("lx"))
-    b = found.select(F.col("k1").alias("y"), F.col("k2").alias("y2"), F.col("place").alias("py"), F.col("line").alias("ly"))
-    words = "array_distinct(array_remove(split({}, ' '), ''))"
-    both = (pairs.select("x", "y").join(a, "x").join(b, "y").filter("px <> py")
-            .selectExpr("x", "x2", "px", "y", "y2", "py", f"{words.format('lx')} as wx", f"{words.format('ly')} as wy")
+    words = F.expr("array_distinct(array_remove(split(line, ' '), ''))")
+    # repeated documents come out once; a name that two classes share keeps both
+    found = (_lines(docs).join(needed, ["doc", "tk", "line_no"])
+             .groupBy("k1").agg(F.collect_set(F.struct("k2", _place().alias("place"), "line")).alias("c")))
+    both = (pairs.select("x", "y").join(found.select(F.col("k1").alias("x"), F.col("c").alias("cx")), "x")
+            .join(found.select(F.col("k1").alias("y"), F.col("c").alias("cy")), "y")
+            .select("x", F.explode("cx").alias("cx"), "cy").select("x", "cx", F.explode("cy").alias("cy")).filter("cy.place < cx.place")
+            .select(F.col("x").alias("k1"), "cx.k2", F.col("cx.line").alias("line"), F.col("cy.line").alias("other"))
+            .withColumn("wx", words).withColumn("line", F.col("other")).withColumn("wy", words)
             .filter(f"size(array_intersect(wx, wy)) >= {threshold}D / (1D + {threshold}D) * (size(wx) + size(wy)) - 1e-9D"))
-    later = F.when(F.col("px") > F.col("py"), F.struct(F.col("x").alias("k1"), F.col("x2").alias("k2"))).otherwise(
-        F.struct(F.col("y").alias("k1"), F.col("y2").alias("k2")))
-    gone = scratch.write(both.select(later.alias("c")).select("c.k1", "c.k2").distinct(), f"gone-{name}")
-    scratch.drop(f"needed-{name}", f"found-{name}")
+    with runtime_filters(docs.sparkSession):
+        gone = scratch.write(both.select("k1", "k2").distinct(), f"gone-{name}")
+    scratch.drop(f"needed-{name}")
     return gone
 
 
@@ -158,33 +163,38 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
     lines = scratch.write(_sets(_lines(docs), rarity_levels(docs), threshold), "lines")
     classes = scratch.write(lines.groupBy("k1", "k2").agg(
         F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), "classes")
+    keys = scratch.write(lines.select("doc", "tk", "line_no", "k1", "k2"), "keys")
+    scratch.drop("lines")
 
-    # classes at the words that they share; long buckets apart
-    post = classes.filter("prefix is not null").selectExpr("k1", "n", "odd", "first", "posexplode(prefix) as (p, code)")
+    # classes x at the words that they share with earlier ones y; long buckets apart
+    post = classes.filter("prefix is not null").selectExpr("k1", "n", "odd", "first.doc", "posexplode(prefix) as (p, code)")
     long = scratch.write(post.groupBy("code").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > short).select("code"), "long")
-    rows = post.select("code", "k1", "n", "p", "odd").join(long, "code", "left_anti")
-    close = F.expr(f"a.k1 < b.k1 and {_close('a', 'b', threshold)}")
-    pairs = (rows.alias("a").join(rows.alias("b"), F.expr("a.code = b.code") & close)
-             .select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")))
+    rows = post.join(long, "code", "left_anti")
+    earlier = F.expr(f"b.doc <= a.doc and a.k1 <> b.k1 and {_close('a', 'b', threshold)}")
+    pair = [F.col("a.k1").alias("x"), F.col("b.k1").alias("y"), F.expr(_spare("a", "b", threshold)).alias("spare")]
+    pairs = rows.alias("a").join(rows.alias("b").hint("shuffle_hash"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair)
     shared = scratch.write(post.join(long, "code", "left_semi"), "shared")
-    hubs = shared.groupBy("code").agg(F.min(F.struct("first", "k1", "n", "p", "odd")).alias("h")).select("code", "h.*")
-    pairs = pairs.unionByName(shared.alias("a").join(hubs.alias("b"), "code").filter(f"a.k1 <> b.k1 and {_close('a', 'b', threshold)}")
-                              .select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")))
-    pairs = scratch.write(pairs.distinct(), "pairs")
-    gone = _verified(pairs, classes, docs, threshold, scratch, "1")
-
-    # what is left of long buckets, against all earlier classes of its words
-    left = shared.join(gone.select("k1").distinct(), "k1", "left_anti")
-    more = (left.alias("a").join(shared.alias("b"), "code").filter(f"b.first < a.first and {_close('a', 'b', threshold)}")
-            .select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti"))
+    hubs = shared.groupBy("code").agg(F.min(F.struct("doc", "k1", "n", "p", "odd")).alias("h")).select("code", "h.*")
+    pairs = pairs.unionByName(shared.alias("a").join(hubs.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair))
+    pairs = scratch.write(pairs.groupBy("x", "y").agg(F.max("spare").alias("spare")), "pairs")
+    firsts = scratch.write(classes.select("k1", "k2", "first"), "firsts")
+    scratch.drop("lines", "classes", "long")
+
+    # the likeliest partner of each class decides for most, then all others
+    best = pairs.groupBy("x").agg(F.max(F.struct("spare", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+    best = scratch.write(best, "best")
+    gone = _verified(best, firsts, docs, threshold, scratch, "1")
+    settled = gone.select(F.col("k1").alias("x")).distinct()
+    more = pairs.select("x", "y").unionByName(
+        shared.join(gone.select("k1").distinct(), "k1", "left_anti").alias("a")
+        .join(shared.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair[:2]))
+    more = more.distinct().join(settled, "x", "left_anti").join(best, ["x", "y"], "left_anti")
     more = scratch.write(more, "more")
-    if not more.isEmpty():
-        gone = gone.unionByName(_verified(more, classes, docs, threshold, scratch, "2")).distinct()
+    gone = gone.unionByName(_verified(more, firsts, docs, threshold, scratch, "2")).distinct()
 
-    state = scratch.write(classes.select("k1", "k2", "first").join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left"), "state")
-    scratch.drop("long", "shared", "pairs", "more", "classes")
-    return (lines.select("doc", "tk", "line_no", "k1", "k2").join(state, ["k1", "k2"])
-            .filter(F.col("gone").isNotNull() | (_place() != F.col("first")))
+    state = scratch.write(firsts.join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left"), "state")
+    scratch.drop("shared", "pairs", "best", "more", "firsts", "gone-1", "gone-2")
+    return (keys.join(state, ["k1", "k2"]).filter(F.col("gone").isNotNull() | (_place() != F.col("first")))
             .groupBy("doc", "tk").agg(F.sort_array(F.collect_set("line_no")).alias("removed")))
 
 
