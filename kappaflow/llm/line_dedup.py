@@ -14,7 +14,8 @@ lines are never removed.  Only DataFrame operations are used.
 * A class of n words that matches another shares a word within its first
   n - ceil(threshold * n) + 1 words (prefix filter).  Classes meet at such a
   word as narrow rows; length, position of the word and the parity bits of the
-  sets (each word flips one of 64) drop pairs that cannot reach the threshold.
+  sets (each word flips one of 64) drop pairs that cannot reach the threshold,
+  and so does the number of words at which a pair meets.
 * A word that more than ``SHORT_BUCKET`` classes share first pairs them with
   its earliest class only; those that this does not remove are then paired
   with all earlier ones.  So near copies of one line never become all pairs.
@@ -101,24 +102,13 @@ def _overlap(n1: str, n2: str, threshold: float) -> str:
     return f"cast(ceil({threshold}D / (1D + {threshold}D) * ({n1} + {n2}) - 1e-9D) as int)"
 
 
-def _can_match(threshold: float) -> str:
-    """Length and position filter for lines of n1, n2 words that share the
-    words at p1, p2 (from 0) of their orders.  The shorter line needs to be
-    found by its index prefix only: its first n - overlap(n, n) + 1 words."""
-    index = lambda n: f"{n} - {_overlap(n, n, threshold)} + 1"
-    return (f"n1 >= {_least('n2', threshold)} and n2 >= {_least('n1', threshold)} and "
-            f"if(n1 <= n2, p1 < {index('n1')}, p2 < {index('n2')}) and "
-            f"least(p1, p2) + 1 + least(n1 - p1 - 1, n2 - p2 - 1) >= {_overlap('n1', 'n2', threshold)}")
-
-
 def _close(a: str, b: str, threshold: float) -> str:
-    """Whether two rows of a shared word can match: length, position and
-    parity bits, which differ in no more places than the sets in words."""
-    ends = {"n1": f"{a}.n", "n2": f"{b}.n", "p1": f"{a}.p", "p2": f"{b}.p"}
-    fits = _can_match(threshold)
-    for name, column in ends.items():
-        fits = fits.replace(name, column)
-    return f"{_spare(a, b, threshold)} >= 0 and {fits}"
+    """Whether two rows that share the words at places p (from 0) of their
+    orders can match: the parity bits differ in no more places than the sets
+    in words, and length and position leave enough words to share."""
+    least = _overlap(f"{a}.n", f"{b}.n", threshold)
+    return (f"{_spare(a, b, threshold)} >= 0 and {a}.n >= {_least(f'{b}.n', threshold)} and {b}.n >= {_least(f'{a}.n', threshold)} and "
+            f"least({a}.p, {b}.p) + 1 + least({a}.n - {a}.p - 1, {b}.n - {b}.p - 1) >= {least}")
 
 
 def _spare(a: str, b: str, threshold: float) -> str:
@@ -127,10 +117,6 @@ def _spare(a: str, b: str, threshold: float) -> str:
     return f"{a}.n + {b}.n - 2 * {_overlap(f'{a}.n', f'{b}.n', threshold)} - bit_count({a}.odd ^ {b}.odd)"
 
 
-def _place() -> Column:
-    return F.struct("doc", "tk", "line_no")
-
-
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch,
               name: str) -> DataFrame:
     """Keys (k1, k2) of the classes x that a pair (x, y) shows to match an
@@ -172,7 +158,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
     rows = post.join(long, "code", "left_anti")
     earlier = F.expr(f"b.doc <= a.doc and a.k1 <> b.k1 and {_close('a', 'b', threshold)}")
     pair = [F.col("a.k1").alias("x"), F.col("b.k1").alias("y"), F.expr(_spare("a", "b", threshold)).alias("spare")]
-    pairs = rows.alias("a").join(rows.alias("b").hint("shuffle_hash"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair)
+    # a match that meets in short buckets only shares all but what lies beyond one of the prefixes there
+    votes = f"{_overlap('a.n', 'b.n', threshold)} - greatest({_least('a.n', threshold)}, {_least('b.n', threshold)}) + 1"
+    pairs = (rows.alias("a").join(rows.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier)
+             .select(*pair, F.expr(votes).alias("least")).groupBy("x", "y")
+             .agg(F.max("spare").alias("spare"), F.max("least").alias("least"), F.count(F.lit(1)).alias("votes"))
+             .filter("votes >= least").select("x", "y", "spare"))
     shared = scratch.write(post.join(long, "code", "left_semi"), "shared")
     hubs = shared.groupBy("code").agg(F.min(F.struct("doc", "k1", "n", "p", "odd")).alias("h")).select("code", "h.*")
     pairs = pairs.unionByName(shared.alias("a").join(hubs.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair))
