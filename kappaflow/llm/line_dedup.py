@@ -161,16 +161,20 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
     long = scratch.write(post.groupBy("code").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > short).select("code"), "long")
     rows = post.join(long, "code", "left_anti")
     earlier = F.expr(f"b.doc <= a.doc and a.k1 <> b.k1 and {_close('a', 'b', threshold)}")
-    pair = [F.col("a.k1").alias("x"), F.col("b.k1").alias("y"), F.expr(_spare("a", "b", threshold)).alias("spare")]
-    # a match that meets in short buckets only shares all but what lies beyond one of the prefixes there
-    votes = f"{_overlap('a.n', 'b.n', threshold)} - greatest({_least('a.n', threshold)}, {_least('b.n', threshold)}) + 1"
-    pairs = (rows.alias("a").join(rows.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier)
-             .select(*pair, F.expr(votes).alias("least")).groupBy("x", "y")
-             .agg(F.max("spare").alias("spare"), F.max("least").alias("least"), F.count(F.lit(1)).alias("votes"))
-             .filter("votes >= least").select("x", "y", "spare"))
+    # A match shares at least ``least`` words in the prefixes: all but what lies
+    # beyond one of them.  Half of these lie in short or half in long buckets.
+    least = f"{_overlap('a.n', 'b.n', threshold)} - greatest({_least('a.n', threshold)}, {_least('b.n', threshold)}) + 1"
+
+    def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+        at = a.alias("a").join(b.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier)
+        return (at.select(F.col("a.k1").alias("x"), F.col("b.k1").alias("y"), F.expr(_spare("a", "b", threshold)).alias("spare"),
+                          F.expr(least).alias("least")).groupBy("x", "y")
+                .agg(F.max("spare").alias("spare"), F.max("least").alias("least"), F.count(F.lit(1)).alias("votes"))
+                .filter("2 * votes >= least").select("x", "y", "spare"))
+
     shared = scratch.write(post.join(long, "code", "left_semi"), "shared")
     hubs = shared.groupBy("code").agg(F.min(F.struct("doc", "k1", "n", "p", "odd")).alias("h")).select("code", "h.*")
-    pairs = pairs.unionByName(shared.alias("a").join(hubs.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair))
+    pairs = meeting(rows, rows).unionByName(meeting(shared, hubs))
     pairs = scratch.write(pairs.groupBy("x", "y").agg(F.max("spare").alias("spare")), "pairs")
     firsts = scratch.write(classes.select("k1", "k2", "first"), "firsts")
     scratch.drop("lines", "classes", "long")
@@ -180,9 +184,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
     best = scratch.write(best, "best")
     gone = _verified(best, firsts, docs, threshold, scratch, "1")
     settled = gone.select(F.col("k1").alias("x")).distinct()
-    more = pairs.select("x", "y").unionByName(
-        shared.join(gone.select("k1").distinct(), "k1", "left_anti").alias("a")
-        .join(shared.alias("b"), (F.col("a.code") == F.col("b.code")) & earlier).select(*pair[:2]))
+    left = shared.join(gone.select("k1").distinct(), "k1", "left_anti")
+    more = pairs.unionByName(meeting(left, shared)).select("x", "y")
     more = more.distinct().join(settled, "x", "left_anti").join(best, ["x", "y"], "left_anti")
     more = scratch.write(more, "more")
     gone = gone.unionByName(_verified(more, firsts, docs, threshold, scratch, "2")).distinct()
