@@ -7,7 +7,7 @@
 
 ``DIR`` holds ``train.csv``, ``valid.csv`` and ``test.csv`` (or pass
 ``--essays`` with an ingested parquet essay table).  Results go under
-``OUT``; every run appends one record to ``OUT/runs`` (A9).
+``OUT``; ``OUT/runs`` gets one record per variant and experiment (A9).
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import os
 import uuid
 
 from kappaflow.operators.checks import quarantine, split_fingerprint
+from kappaflow.operators.minibatch import MinibatchConfig
 from kappaflow.operators.scorer import ScorerConfig
 from kappaflow.plans import pipelines as PL
+from kappaflow.schema import ESSAY_BATCH, VARIANTS
 from kappaflow.session import build_session
 from kappaflow.sources import essays as ES
 from kappaflow.sources import sinks
@@ -47,6 +49,10 @@ def parse(argv=None) -> argparse.Namespace:
     p.add_argument("--epochs", type=int, default=ScorerConfig.epochs)
     p.add_argument("--patience", type=int, default=ScorerConfig.patience)
     p.add_argument("--lr", type=float, default=ScorerConfig.lr)
+    p.add_argument("--batch-size", type=int, default=None, help="training essays a batch; default: the command's own")
+    p.add_argument("--whole-epochs", action="store_true", help="one gradient step per epoch instead of one per batch")
+    p.add_argument("--previous", default=None, help="stored rubric_report of an earlier run, for the regression deltas")
+    p.add_argument("--run-id", default=None, help="name of the run in the records; a rerun under it replaces them")
     p.add_argument("--n-exp", type=int, default=1)
     p.add_argument("--max-sentences", type=int, default=None, help="fine_tune: keep the first n sentences of every essay")
     p.add_argument("--master", default=None)
@@ -57,22 +63,25 @@ def run(spark, args: argparse.Namespace) -> None:
     essays, bad = quarantine(_essays(spark, args))
     # rows that cannot be scored are kept, with a reason, next to the results
     bad.write.mode("overwrite").parquet(os.path.join(args.out, "quarantine"))
-    cfg = ScorerConfig(lr=args.lr, epochs=args.epochs, patience=args.patience)
+    common = {"lr": args.lr, "epochs": args.epochs, "patience": args.patience}
+    cfg = ScorerConfig(**common) if args.whole_epochs else MinibatchConfig(
+        **common, batch_size=args.batch_size or ESSAY_BATCH.get(args.command, ESSAY_BATCH["train"]))
+    previous = spark.read.parquet(args.previous) if args.previous else None
+    record = {"run_id": args.run_id or str(uuid.uuid4()), "entry_point": args.command, "commit": os.environ.get("GIT_COMMIT"),
+              "data_revision": _revision(essays), "settings": {k: v for k, v in vars(args).items() if k not in ("out",)}}
+    report = {"previous": previous, "record": record}
     emb_path = os.path.join(args.out, "emb")
     if args.command == "embed":
         PL.embedding_job(spark, essays, emb_path, dim=args.dim)
+        sinks.write_run_records(spark, os.path.join(args.out, "runs"), [
+            {**record, "variant": tag, "exp": 0, "output_path": emb_path} for tag, _ in VARIANTS])
     elif args.command == "train":
         vectors = PL.embedding_job(spark, essays, emb_path, dim=args.dim)
-        PL.training_job(spark, essays, vectors, args.out, n_exp=args.n_exp, cfg=cfg)
+        PL.training_job(spark, essays, vectors, args.out, n_exp=args.n_exp, cfg=cfg, **report)
     elif args.command == "end_to_end":
-        PL.end_to_end(spark, essays, args.out, dim=args.dim, cfg=cfg)
+        PL.end_to_end(spark, essays, args.out, dim=args.dim, cfg=cfg, **report)
     else:
-        PL.fine_tune(spark, essays, args.out, dim=args.dim, cfg=cfg, max_sentences=args.max_sentences)
-    sinks.append_run_record(
-        spark, os.path.join(args.out, "runs"), run_id=str(uuid.uuid4()), entry_point=args.command,
-        commit=os.environ.get("GIT_COMMIT"), data_revision=_revision(essays), seed=cfg.seed,
-        settings={k: v for k, v in vars(args).items() if k not in ("out",)},
-        output_path=args.out, model_path=os.path.join(args.out, "model"))
+        PL.fine_tune(spark, essays, args.out, dim=args.dim, cfg=cfg, max_sentences=args.max_sentences, **report)
 
 
 def main(argv=None) -> None:

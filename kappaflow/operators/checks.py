@@ -68,9 +68,12 @@ def embedding_alignment(sentence_rows: DataFrame, vectors: DataFrame, keys=("ess
 def split_fingerprint(df: DataFrame, cols: Sequence[str] | None = None, by=("split",)) -> DataFrame:
     """Order-free revision fingerprint per split: row count and the sum of
     row hashes as decimal(38,0) (a bigint sum overflows under ANSI; XOR would
-    let duplicate rows cancel)."""
+    let duplicate rows cancel).  A row's hash is the first 60 bits of the MD5
+    of its values as text, each after its length ("-" for NULL)."""
     cols = [c for c in (cols or df.columns) if c not in by]
-    h = F.xxhash64(*[F.col(q(c)) for c in cols]).cast("decimal(38,0)")
+    text = [F.col(q(c)).cast("string") for c in cols]
+    whole = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+    h = F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("fingerprint"))
 
 

@@ -38,17 +38,37 @@ def eval_batch_ids(essays: DataFrame, batch_size: int, by=("split",)) -> DataFra
     return idx.select("essay_id", *by, F.floor(F.col("row") / F.lit(batch_size)).cast("bigint").alias("batch"))
 
 
+CELL_ROWS = 4096
+
+
 def train_batch_ids(essays: DataFrame, batch_size: int, epoch: int, seed: int = BASE_SEED,
                     by=("split",)) -> DataFrame:
     """F4 + F9 (training loader): a seeded shuffle per epoch, then batches.
 
-    The shuffle order is ``xxhash64(essay_id, seed, epoch)`` - reproducible
-    and independent of partitioning, unlike ``rand()``."""
-    e = essays.select("essay_id", *by,
-                      F.xxhash64(F.col("essay_id"), F.lit(seed), F.lit(epoch)).alias("_h"))
-    idx = row_index(e, ["_h", "essay_id"], list(by), "row")
-    return idx.select("essay_id", *by, F.lit(epoch).alias("epoch"),
-                      F.floor(F.col("row") / F.lit(batch_size)).cast("bigint").alias("batch"))
+    The shuffle order is the MD5 of "seed:epoch:essay_id" - reproducible and
+    independent of partitioning, unlike ``rand()``.  Nothing is sorted as a
+    whole: essays fall into cells by the first digits of their hash, about
+    ``CELL_ROWS`` to a cell, a cell starts at the count of all cells before
+    it, and ranks run within cells."""
+    by = list(by)
+    e = essays.select("essay_id", *by, F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("essay_id").cast("string"))).alias("_h"))
+    n = essays.count()
+    digits = 0
+    while n > CELL_ROWS * 16 ** digits:
+        digits += 1
+    e = e.withColumn("_c", F.substring("_h", 1, digits))
+    # the first half of the digits, then the rest: no window holds all cells
+    cells = e.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("_a", F.substring("_c", 1, digits // 2))
+    before = lambda *g: Window.partitionBy(*by, *g).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    coarse = (cells.groupBy(*by, "_a").agg(F.sum("_n").alias("_n"))
+              .select(*by, "_a", F.coalesce(F.sum("_n").over(before().orderBy("_a")), zero).alias("_s")))
+    cells = cells.join(coarse, [*by, "_a"]).select(
+        *by, "_c", (F.col("_s") + F.coalesce(F.sum("_n").over(before("_a").orderBy("_c")), zero)).alias("_s"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_c").orderBy("_h", "essay_id")) - 1
+    return (e.withColumn("_r", rank).join(cells, [*by, "_c"])
+            .select("essay_id", *by, F.lit(epoch).alias("epoch"),
+                    F.floor((F.col("_s") + F.col("_r")) / F.lit(batch_size)).cast("bigint").alias("batch")))
 
 
 def mse_batch_mean(preds: DataFrame, batches: DataFrame, keys) -> DataFrame:

@@ -4,19 +4,22 @@
 one task.  Instead: range-partition on (by, order) so every task holds a
 contiguous key range, take running sums inside each task, and add the total
 of all earlier tasks from a small table (one row per task and group) that is
-broadcast after its row count is checked.
+broadcast after its row count is checked.  The ranges are written with the rows
+to shared storage, so no job repeats them and no cache is left.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kappaflow.session import drop_path, shared_dir
+
 MAX_BROADCAST_OFFSET_ROWS = 1_000_000
 
 
@@ -57,23 +60,33 @@ def running_offset(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] =
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    # range partitioning samples its input in a separate job before the
-    # shuffle; the narrow keyed input is persisted so the upstream (e.g. a
-    # scan of all essay text for sentence counts) runs once, not twice
-    src = df.select(*keys, w.alias("_w"), *[c for c in df.columns if c not in keys]) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+    root = f"{shared_dir(spark)}/order-{uuid.uuid4().hex}"
+    # range partitioning samples its input in a job of its own: the narrow rows
+    # are written, so that what they come from (a scan of all texts, say) runs once
+    src = _written(df.select(*keys, w.alias("_w"), *[c for c in df.columns if c not in keys]), f"{root}/rows")
     ranged = (src.repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
               .sortWithinPartitions(*keys))
     schema = T.StructType(ranged.schema.fields + [
         T.StructField("_pid", T.IntegerType(), False), T.StructField("_before", T.LongType(), False)])
-    local = ranged.mapInPandas(_local_running(by), schema).persist(StorageLevel.MEMORY_AND_DISK)
+    local = _written(ranged.mapInPandas(_local_running(by), schema), f"{root}/parts")
+    drop_path(spark, f"{root}/rows")
     totals = local.groupBy("_pid", *by).agg(F.sum("_w").alias("_tot"))
     wnd = (Window.partitionBy(*by) if by else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, F.coalesce(F.sum("_tot").over(wnd), F.lit(0)).cast("bigint").alias("_off"))
-    if totals.count() <= MAX_BROADCAST_OFFSET_ROWS:
+    offsets = _written(totals.select("_pid", *by, F.coalesce(F.sum("_tot").over(wnd), F.lit(0)).cast("bigint").alias("_off")),
+                       f"{root}/offsets")
+    if offsets.count() <= MAX_BROADCAST_OFFSET_ROWS:
         offsets = F.broadcast(offsets)
-    res = local.join(offsets, ["_pid", *by]).withColumn(out, F.col("_off") + F.col("_before"))
-    return res.select(*df.columns, out)
+    same = F.col("l._pid") == F.col("o._pid")
+    for c in by:
+        same = same & F.col(f"l.`{c}`").eqNullSafe(F.col(f"o.`{c}`"))
+    res = local.alias("l").join(offsets.alias("o"), same).select(
+        *[F.col(f"l.`{c}`") for c in df.columns], (F.col("o._off") + F.col("l._before")).alias(out))
+    return res
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_index(df: DataFrame, order_cols: Sequence[str], by: Sequence[str] = (), out: str = "row_index",

@@ -8,7 +8,8 @@ can run it next to the Spark plan and compare results.
 from __future__ import annotations
 
 from kappaflow.schema import SENTENCE_SEP, TRAITS
-from kappaflow.sources.fixtures import BATCHES_PER_EPOCH, EPOCHS_PER_RUN, FIXTURE_EXPS, FIXTURE_VARIANTS, LONG_SENTENCES
+from kappaflow.sources.fixtures import (BATCHES_PER_EPOCH, DEFECT_EVERY, EPOCHS_PER_RUN, FIXTURE_EXPS, FIXTURE_VARIANTS,
+                                         LONG_SENTENCES, LOST_EVERY, STRAY_POS)
 
 RUN_KEYS = ["split", "variant", "exp"]
 TRAIT_KEYS = RUN_KEYS + ["trait"]
@@ -114,6 +115,18 @@ def sentences_ctes() -> list[tuple[str, str]]:
                       "FROM (SELECT *, unnest(range(1, len(sentences) + 1)) AS p FROM sent) x")]
 
 
+def defective_cte() -> tuple[str, str]:
+    k = f"(essay_id % {DEFECT_EVERY})"
+    r1, r2 = qi("rater1@" + TRAITS[0]), qi("rater2@" + TRAITS[1])
+    return "defective", (f"SELECT * REPLACE (CASE WHEN {k} <> 7 THEN {r1} END AS {r1}, CASE WHEN {k} = 8 THEN 9 ELSE {r2} END AS {r2}, "
+                         f"CASE WHEN {k} <> 9 THEN \"question@prompt\" END AS \"question@prompt\", "
+                         f"CASE WHEN {k} <> 10 THEN \"answer@text\" END AS \"answer@text\") FROM essays")
+
+
+def misaligned_cte() -> tuple[str, str]:
+    return "mis", (f"SELECT essay_id, split, CASE WHEN (essay_id * 7 + pos) % {LOST_EVERY} = 0 THEN pos + {STRAY_POS} ELSE pos END AS pos FROM sv")
+
+
 def long_essay_cte() -> tuple[str, str]:
     return "with_long", (f"SELECT essay_id, split, sentences FROM sent UNION ALL SELECT CAST(-1 AS BIGINT), 'train', "
                          f"list_transform(range(1, {LONG_SENTENCES + 1}), lambda i: 'sentence ' || i)")

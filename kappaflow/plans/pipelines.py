@@ -26,6 +26,7 @@ from kappaflow.operators import report as R
 from kappaflow.operators import sequence as S
 from kappaflow.operators import text as X
 from kappaflow.operators.encode import encode_hashing, encode_with_model, fit_hashing_encoder
+from kappaflow.operators.minibatch import MinibatchConfig, fit_minibatch
 from kappaflow.operators.scorer import ScorerConfig, TraitScorer, fit_scorer, label_frame
 from kappaflow.schema import BASE_SEED, ESSAY_BATCH, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, VARIANTS
 from kappaflow.sources import embeddings as EMB
@@ -83,9 +84,12 @@ def scoring_frame(essays: DataFrame, vectors: DataFrame, pool: str = "mean") ->
 def train_and_predict(essays: DataFrame, vectors: DataFrame, cfg: ScorerConfig, variant: str, exp: int,
                       pool: str = "mean") -> tuple[TraitScorer, DataFrame, DataFrame]:
     """F1 + F2 for one run: returns the scorer, its epoch history and long
-    predictions for every essay, with both raters' truth attached."""
+    predictions for every essay, with both raters' truth attached.  A
+    ``MinibatchConfig`` trains by shuffled batches, a plain one on whole epochs."""
     frame = scoring_frame(essays, vectors, pool).persist(StorageLevel.MEMORY_AND_DISK)
-    scorer, hist = fit_scorer(frame, cfg, run_id=f"{variant}/{exp}")
+    fit = fit_minibatch if isinstance(cfg, MinibatchConfig) else fit_scorer
+    scorer, hist = fit(frame, cfg, run_id=f"{variant}/{exp}")
+    frame.unpersist()
     truth = L.scores_long(essays)
     preds = (scorer.transform(frame).join(truth, ["essay_id", "split", "trait"])
              .withColumn("variant", F.lit(variant)).withColumn("exp", F.lit(exp)))
@@ -119,7 +123,8 @@ def evaluate(preds: DataFrame, histories: DataFrame, essays: DataFrame, batch_si
         "score_distribution": R.score_distribution(preds, RUN + ["trait"]),
         "loss": loss,
         "early_stopping": stop,
-        "summary": R.variant_summary(ev, loss, stop, RUN),
+        "summary": R.variant_summary(ev, loss, stop, RUN).join(
+            loss.where("split = 'valid'").select("variant", "exp", F.col("loss").alias("reloaded_val_loss")), ["variant", "exp"], "left"),
     }
 
 
@@ -132,20 +137,26 @@ def _deltas(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def training_job(spark: SparkSession, essays: DataFrame, vectors: DataFrame, out: str | None = None,
                  variants=VARIANTS, n_exp: int = 1, cfg: ScorerConfig | None = None,
-                 batch_size: int = ESSAY_BATCH["train"], previous: DataFrame | None = None) -> dict[str, DataFrame]:
+                 batch_size: int = ESSAY_BATCH["train"], previous: DataFrame | None = None,
+                 record: dict | None = None) -> dict[str, DataFrame]:
     """Stage 2: per variant and experiment fit, predict, then one evaluation
     over all runs.  Under ``out`` go models, scored rows (written once, the
-    reports read them back), test predictions, the summary and every report
-    (A6, A7, A8, ``reports/NAME``)."""
+    reports read them back), test predictions, the summary, every report
+    (A6, A7, A8, ``reports/NAME``) and one result record per variant and
+    experiment (A9; ``record`` holds what they share).  The summary's
+    ``reloaded_val_loss`` is the validation loss of the best epoch's weights."""
     cfg = cfg or ScorerConfig()
-    preds, hists = None, None
+    preds, hists, runs = None, None, []
     for v_idx, (tag, _) in enumerate(variants):
         vec = vectors.where(F.col("variant") == tag) if "variant" in vectors.columns else vectors
         for exp in range(n_exp):
             run_cfg = replace(cfg, seed=BASE_SEED + v_idx + 100 * exp)
             scorer, hist, p = train_and_predict(essays, vec, run_cfg, tag, exp)
             if out:
-                scorer.save(spark, f"{out}/model/{tag}/exp={exp}")
+                at = f"{out}/model/{tag}/exp={exp}"
+                scorer.save(spark, at)
+                runs.append({"variant": tag, "exp": exp, "seed": run_cfg.seed, "model_path": at, "best_epoch": scorer.best_epoch,
+                             "best_val_loss": scorer.best_val_loss})
             preds = p if preds is None else preds.unionByName(p)
             hists = hist if hists is None else hists.unionByName(hist)
     if out:
@@ -160,28 +171,37 @@ def training_job(spark: SparkSession, essays: DataFrame, vectors: DataFrame, out
     if out:
         sinks.write_predictions(preds.where(F.col("split") == "test"), f"{out}/predictions")
         sinks.write_summary(reports["summary"].where(F.col("split") == "test"), f"{out}/summary")
+        again = {(r["variant"], r["exp"]): r["loss"] for r in reports["loss"].where("split = 'valid'").collect()}
+        shared = {"output_path": out, **(record or {})}
+        sinks.write_run_records(spark, f"{out}/runs", [
+            {"run_id": "run", **shared, **r, "reloaded_val_loss": again.get((r["variant"], r["exp"]))} for r in runs])
     return reports
 
 
 def end_to_end(spark: SparkSession, essays: DataFrame, out: str | None = None, dim: int = 256,
-               encoder=None, cfg: ScorerConfig | None = None) -> dict[str, DataFrame]:
-    """Essays on the first training prompt, ``prompt:<p>`` as first sentence."""
+               encoder=None, cfg: ScorerConfig | None = None, max_len: int | None = None,
+               previous: DataFrame | None = None, record: dict | None = None, **tokenizer) -> dict[str, DataFrame]:
+    """Essays on the first training prompt, ``prompt:<p>`` as first sentence.
+    A supplied encoder reads ``max_len`` ids of the ``tokenizer`` given."""
     e = X.filter_by_prompts(essays, X.first_prompt(essays, 1))
-    vec = sentence_vectors(e, "prompt_first", dim, encoder, as_vector=True)
+    vec = sentence_vectors(e, "prompt_first", dim, encoder, as_vector=True, max_len=max_len, **tokenizer)
     return training_job(spark, e, vec, out, variants=[("kobert", False)], cfg=cfg,
-                        batch_size=ESSAY_BATCH["end_to_end"])
+                        batch_size=ESSAY_BATCH["end_to_end"], previous=previous, record=record)
 
 
 def fine_tune(spark: SparkSession, essays: DataFrame, out: str | None = None, dim: int = 256,
               encoder=None, cfg: ScorerConfig | None = None,
-              max_sentences: int | None = None) -> dict[str, DataFrame]:
+              max_sentences: int | None = None, max_len: int | None = None, previous: DataFrame | None = None,
+              record: dict | None = None, **tokenizer) -> dict[str, DataFrame]:
     """Essays on the prompts of the first five training rows; raw and
     ``<prompt>#`` variants, whole essays unless ``max_sentences`` is given;
-    seed 42 + variant index."""
+    seed 42 + variant index.  A supplied encoder reads ``max_len`` ids (by
+    default as many as its variant has) of the ``tokenizer`` given."""
     e = X.filter_by_prompts(essays, X.first_prompt(essays, 5))
     vecs = None
     for tag, with_prompt in VARIANTS:
         v = sentence_vectors(e, "fine_tune" if with_prompt else "none", dim, encoder,
-                             max_sentences=max_sentences, as_vector=True).withColumn("variant", F.lit(tag))
+                             max_sentences=max_sentences, as_vector=True, max_len=max_len, **tokenizer).withColumn("variant", F.lit(tag))
         vecs = v if vecs is None else vecs.unionByName(v)
-    return training_job(spark, e, vecs, out, variants=VARIANTS, cfg=cfg, batch_size=ESSAY_BATCH["fine_tune"])
+    return training_job(spark, e, vecs, out, variants=VARIANTS, cfg=cfg, batch_size=ESSAY_BATCH["fine_tune"],
+                        previous=previous, record=record)

@@ -18,13 +18,15 @@ from kappaflow.operators import checks as C
 from kappaflow.operators import history as H
 from kappaflow.operators import labels as L
 from kappaflow.operators import metrics as M
+from kappaflow.operators import recurrent as RNN
+from kappaflow.operators.ordering import row_index
 from kappaflow.operators import report as R
 from kappaflow.operators import sequence as S
 from kappaflow.operators import text as X
 from kappaflow.plans import oracle as O
-from kappaflow.schema import (MAX_SENTENCES, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL,
-                              SENTENCE_BATCH, TEXT_COL, TRAITS, q)
-from kappaflow.functions.scores import loss_kind, loss_kind_sql, loss_value, loss_value_sql, stable_round
+from kappaflow.schema import (BASE_SEED, MAX_SENTENCES, MAX_TOKENS_LABELED, MAX_TOKENS_RAW, PATIENCE, PROMPT_COL, RATER1_COLS,
+                              RATER2_COLS, SENTENCE_BATCH, SPLITS, TEXT_COL, TRAITS, q)
+from kappaflow.functions.scores import label01, loss_kind, loss_kind_sql, loss_value, loss_value_sql, stable_round
 from kappaflow.functions.scores import stable_round_sql as SR
 from kappaflow.functions.text import split_sentences
 from kappaflow.sources import fixtures as FX
@@ -149,52 +151,64 @@ def split_sizes(spark, d):
 
 
 @register("utf8_check", O.with_(O.essays_cte(), select=(
-        "SELECT split, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_invalid_utf8 FROM essays GROUP BY split")))
+        f"SELECT split, count(*) AS n_rows, count(*) FILTER (essay_id % {FX.DEFECT_EVERY} = 11) AS n_invalid_utf8 "
+        "FROM essays GROUP BY split")))
 def utf8_check(spark, d):
-    """B3 on the decoded table (DuckDB strings are valid UTF-8 by construction)."""
-    return C.utf8_report(_essays(spark, d), [PROMPT_COL, TEXT_COL])
+    """B3 on a table in which one text of 50 ends in bytes that are not UTF-8
+    (DuckDB holds no such text, so its twin counts the essays that get them)."""
+    return C.utf8_report(FX.defective(_essays(spark, d)), [PROMPT_COL, TEXT_COL])
 
 
-@register("split_fingerprint")
+def _fingerprint_sql():
+    cols = [O.qi(c) for c in ("essay_id", PROMPT_COL, TEXT_COL, *RATER1_COLS, *RATER2_COLS)]
+    whole = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols)
+    return O.with_(O.essays_cte(), select=(
+        f"SELECT split, count(*) AS n_rows, CAST(sum(('0x' || substr(md5({whole}), 1, 15))::BIGINT) AS VARCHAR) AS fingerprint "
+        "FROM essays GROUP BY split"))
+
+
+@register("split_fingerprint", _fingerprint_sql())
 def split_fingerprint(spark, d):
-    """xxhash64-based revision fingerprint (no SQL twin: DuckDB has no xxhash64)."""
+    """Revision fingerprint per split."""
     return C.split_fingerprint(_essays(spark, d))
 
 
-@register("score_domain", O.with_(O.essays_cte(), ("long", "\nUNION ALL\n".join(
-        f"SELECT split, '{c}' AS \"column\", CAST({O.qi(c)} AS DOUBLE) AS value FROM essays"
+@register("score_domain", O.with_(O.essays_cte(), O.defective_cte(), ("long", "\nUNION ALL\n".join(
+        f"SELECT split, '{c}' AS \"column\", CAST({O.qi(c)} AS DOUBLE) AS value FROM defective"
         for c in [f"rater{r}@{t}" for r in (1, 2) for t in TRAITS])), select=(
         "SELECT split, \"column\", count(*) AS n, "
         "CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_null, "
         "CAST(sum(CASE WHEN value IS NOT NULL AND (value < 0 OR value > 5 OR value <> floor(value)) THEN 1 ELSE 0 END) "
         "AS BIGINT) AS n_out_of_domain FROM long GROUP BY split, \"column\"")))
 def score_domain(spark, d):
-    return C.score_domain(_essays(spark, d))
+    """B6 on scores of which some are missing or too large."""
+    return C.score_domain(FX.defective(_essays(spark, d)))
 
 
-@register("embedding_alignment", O.with_(*O.sentence_vector_ctes(), select=(
+@register("embedding_alignment", O.with_(*O.sentence_vector_ctes(), O.misaligned_cte(), select=(
         "SELECT split, CAST(sum(CASE WHEN a.pos IS NOT NULL AND b.pos IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_matched, "
         "CAST(sum(CASE WHEN b.pos IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_sentence_only, "
         "CAST(sum(CASE WHEN a.pos IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_vector_only "
-        "FROM (SELECT essay_id, split, pos FROM srows) a FULL OUTER JOIN (SELECT essay_id, split, pos FROM sv) b "
+        "FROM (SELECT essay_id, split, pos FROM srows) a FULL OUTER JOIN (SELECT essay_id, split, pos FROM mis) b "
         "USING (essay_id, split, pos) GROUP BY split")))
 def embedding_alignment(spark, d):
+    """B4 on vectors of which one in 97 has lost its sentence."""
     rows = X.sentence_rows(_sentences(spark, d))
-    return C.embedding_alignment(rows, _sentence_vectors(spark, d))
+    return C.embedding_alignment(rows, FX.misaligned(_sentence_vectors(spark, d)))
 
 
 def _quarantine_sql():
     scores = [O.qi(f"rater{r}@{t}") for r in (1, 2) for t in TRAITS]
     bad = " OR ".join(f"{c} IS NULL OR {c} < 0 OR {c} > 5" for c in scores)
-    return O.with_(O.essays_cte(), select=(
+    return O.with_(O.essays_cte(), O.defective_cte(), select=(
         "SELECT split, count(*) AS n_rows, CAST(sum(CASE WHEN \"answer@text\" IS NULL OR \"question@prompt\" IS NULL "
-        f"OR {bad} THEN 1 ELSE 0 END) AS BIGINT) AS n_quarantined FROM essays GROUP BY split"))
+        f"OR {bad} THEN 1 ELSE 0 END) AS BIGINT) AS n_quarantined FROM defective GROUP BY split"))
 
 
 @register("quarantine_counts", _quarantine_sql())
 def quarantine_counts(spark, d):
     """Rows per split and how many go to quarantine (NULL text / prompt / score, score outside 0..5)."""
-    return C.quarantine_counts(_essays(spark, d))
+    return C.quarantine_counts(FX.defective(_essays(spark, d)))
 
 
 # ================================================================== C: projections / filters
@@ -347,16 +361,17 @@ def sentence_offsets(spark, d):
     return _offsets(spark, d)
 
 
-@register("assign_by_offset", O.with_(*O.sentence_vector_ctes(), OFFSETS_SQL, (
-        "posr", "SELECT sv.split, o.start + sv.pos AS row, sv.embedding FROM sv JOIN off o USING (essay_id, split)"), (
-        "expd", "SELECT split, essay_id, CAST(p AS INTEGER) AS pos, start + p AS row "
-                "FROM (SELECT *, unnest(range(n_sentences)) AS p FROM off) x"),
-        select="SELECT split, CAST(row AS BIGINT) AS row, essay_id, pos FROM posr JOIN expd USING (split, row)"))
+@register("assign_by_offset", O.with_(*O.sentences_ctes(), OFFSETS_SQL, (
+        "posr", "SELECT unnest(['train', 'valid', 'test']) AS split, row_number() OVER (ORDER BY vec_id) - 1 AS row, embedding FROM embeddings"),
+        select="SELECT p.split, CAST(row AS BIGINT) AS row, essay_id, CAST(row - start AS INTEGER) AS pos, "
+               "CAST(embedding AS DOUBLE[]) AS embedding FROM posr p JOIN off o ON p.split = o.split AND row >= start AND row < start + n_sentences"))
 def assign_by_offset(spark, d):
-    """E5: positional rows (split, row) get their (essay_id, pos) back."""
-    off = _offsets(spark, d)
-    positional = S.positional_rows(_sentence_vectors(spark, d), off)
-    return S.assign_by_offset(positional, off).select("split", "row", "essay_id", "pos")
+    """E5: ``embeddings`` as the positional file of each split; its rows get
+    the essay and position that the offsets give them."""
+    file = row_index(FX.table(spark, d, "embeddings").select("vec_id", "embedding"), ["vec_id"], out="row")
+    positional = file.select(F.explode(F.array(*map(F.lit, SPLITS))).alias("split"), "row",
+                             F.col("embedding").cast("array<double>").alias("embedding"))
+    return S.assign_by_offset(positional, _offsets(spark, d)).select("split", "row", "essay_id", "pos", "embedding")
 
 
 @register("essay_sequences", O.with_(*O.sentence_vector_ctes(), select=(
@@ -367,6 +382,59 @@ def essay_sequences(spark, d):
     return S.essay_sequences(_sentence_vectors(spark, d))
 
 
+@register("essay_chunks", O.with_(*O.sentence_vector_ctes(), select=(
+        f"SELECT essay_id, split, CAST(pos // {S.SEQUENCE_CHUNK} AS BIGINT) AS chunk, CAST(count(*) AS INTEGER) AS n, "
+        "list(CAST(embedding AS DOUBLE[]) ORDER BY pos) AS vectors FROM sv GROUP BY ALL")))
+def essay_chunks(spark, d):
+    """Sequences in rows of at most 64 vectors."""
+    return S.chunked_sequences(_sentence_vectors(spark, d))
+
+
+BATCH_BYTES = 64 << 10
+_STEP = "(CAST(1 AS BIGINT) << greatest(length(bin(greatest(n_sentences - 1, 0))) - 3, 0))"
+LENGTH_BATCH_CTES = [
+    ("ct", "SELECT essay_id, split, CAST(len(sentences) AS BIGINT) AS n_sentences FROM sent"),
+    ("pl", f"SELECT *, CAST(CASE WHEN n_sentences <= 4 THEN greatest(n_sentences, 1) ELSE ((n_sentences + {_STEP} - 1) // {_STEP}) * {_STEP} END "
+           "AS BIGINT) AS padded_len FROM ct"),
+    ("lb", "SELECT essay_id, split, n_sentences, padded_len, CAST((row_number() OVER (PARTITION BY split, padded_len ORDER BY essay_id) - 1) "
+           f"// greatest({BATCH_BYTES} // (padded_len * 256), 1) AS BIGINT) AS batch FROM pl")]
+
+
+def _length_batches(spark, d):
+    return S.length_batches(X.sentence_counts(_sentences(spark, d)), 64, BATCH_BYTES, length_col="n_sentences")
+
+
+@register("length_batches", O.with_(*O.sentences_ctes(), *LENGTH_BATCH_CTES, select="SELECT * FROM lb"))
+def length_batches(spark, d):
+    """Essays dealt to batches of one padded length, bounded in bytes."""
+    return _length_batches(spark, d)
+
+
+@register("padding_report", O.with_(*O.sentences_ctes(), *LENGTH_BATCH_CTES, select=(
+        "SELECT split, padded_len, count(*) AS n_essays, max(batch) + 1 AS n_batches, CAST(sum(n_sentences) AS BIGINT) AS positions, "
+        "CAST(sum(padded_len) AS BIGINT) AS padded_positions, " + SR("CAST(sum(padded_len) - sum(n_sentences) AS DOUBLE) / CAST(sum(padded_len) AS DOUBLE)")
+        + " AS padding_share FROM lb GROUP BY split, padded_len")))
+def padding_report(spark, d):
+    """What the batches' padding costs."""
+    r = S.padding_report(_length_batches(spark, d), length_col="n_sentences")
+    return r.withColumn("padding_share", stable_round("padding_share"))
+
+
+@register("recurrent_features", O.with_(*O.sentence_vector_ctes(), (
+        "ln", "SELECT essay_id, split, count(*) AS n FROM sv GROUP BY ALL"), (
+        "tm", "SELECT essay_id, split, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) "
+              "* pow(CAST(0.5 AS DOUBLE), n - pos) AS v FROM sv JOIN ln USING (essay_id, split)"), (
+        "sm", "SELECT essay_id, split, dim, sum(v) AS v FROM tm GROUP BY ALL"),
+        select=("SELECT essay_id, split, CAST(n AS BIGINT) AS seq_len, features FROM (SELECT essay_id, split, "
+                f"list({SR('v', 6)} ORDER BY dim) AS features FROM sm GROUP BY ALL) JOIN ln USING (essay_id, split)")))
+def recurrent_features(spark, d):
+    """F2 / E8 with a sequence model: a recurrent cell over every essay's
+    chunks, its state carried along; the output at the last position."""
+    cell = lambda: RNN.DecayCell(64)
+    out = RNN.final_states(RNN.layer(S.chunked_sequences(_sentence_vectors(spark, d)), cell))
+    return out.withColumn("features", F.transform(vector_to_array("features"), lambda x: stable_round(x, 6)))
+
+
 BATCH_SQL = ("bt", f"SELECT essay_id, split, CAST((row_number() OVER (PARTITION BY split ORDER BY essay_id) - 1) "
                    f"// {EVAL_BATCH} AS BIGINT) AS batch FROM essays")
 
@@ -424,9 +492,11 @@ def batch_ids(spark, d):
     return H.eval_batch_ids(_essays(spark, d), EVAL_BATCH)
 
 
-@register("train_batch_ids")
+@register("train_batch_ids", O.with_(O.essays_cte(), select=(
+        "SELECT essay_id, split, CAST(0 AS INTEGER) AS epoch, CAST((row_number() OVER (PARTITION BY split "
+        f"ORDER BY md5('{BASE_SEED}:0:' || essay_id), essay_id) - 1) // {EVAL_BATCH} AS BIGINT) AS batch FROM essays")))
 def train_batch_ids(spark, d):
-    """F4 + F9: seeded per-epoch shuffle into batches (xxhash64: no SQL twin)."""
+    """F4 + F9: seeded per-epoch shuffle into batches."""
     return H.train_batch_ids(_essays(spark, d), EVAL_BATCH, epoch=0)
 
 
@@ -675,11 +745,27 @@ def _fit(spark, d):
     return train_and_predict(e, sentence_vectors(e, "none", ENCODER_DIM, as_vector=True), ScorerConfig(), "kobert", 0)
 
 
-@register("fit_scorer")
+FIT_EPOCHS = 12
+
+
+@register("fit_scorer", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', true, true)" for t in TRAITS)
+          + ") t(trait, beats_mean, epoch_in_range)")
 def fit_scorer(spark, d):
-    """fitted weights per trait (fit on train, early stop on valid)."""
-    scorer, _, _ = _fit(spark, d)
-    return scorer.to_frame(spark)
+    """F1 by mini-batches on ratings that the texts decide: per trait whether
+    the test loss lies below that of the training rows' mean label, and
+    whether the best epoch is one that was run."""
+    from kappaflow.operators.minibatch import MinibatchConfig
+    from kappaflow.plans.pipelines import sentence_vectors, train_and_predict
+    e = FX.text_rated(_essays(spark, d))
+    vec = sentence_vectors(e, "none", ENCODER_DIM, as_vector=True)
+    cfg = MinibatchConfig(epochs=FIT_EPOCHS, batch_size=128, batches_per_pass=4, lr=0.03)
+    scorer, hist, preds = train_and_predict(e, vec, cfg, "kobert", 0)
+    in_range = 0 <= scorer.best_epoch < hist.count()
+    truth = preds.withColumn("label", label01("r1", "r2"))
+    mean = truth.where("split = 'train'").groupBy("trait").agg(F.avg("label").alias("m"))
+    loss = (truth.where("split = 'test'").join(F.broadcast(mean), "trait").groupBy("trait")  # one row a trait
+            .agg(F.avg((F.col("pred01") - F.col("label")) ** 2).alias("own"), F.avg((F.col("m") - F.col("label")) ** 2).alias("base")))
+    return loss.select("trait", (F.col("own") < F.col("base")).alias("beats_mean"), F.lit(in_range).alias("epoch_in_range"))
 
 
 @register("score_essays")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaflow.operators.checks import embedding_alignment, split_fingerprint
-from kappaflow.operators.ordering import row_index
 
 EMBEDDING_KEYS = ["variant", "split", "essay_id", "pos"]
 
@@ -25,16 +24,23 @@ def read_embedding_csv(spark: SparkSession, path: str, dim: int, split: str | No
     """A3: headerless float32 rows -> (split, row, embedding array<float>).
 
     The file holds digits only, so it is read as UTF-8.  ``row`` is the
-    0-based line number in file order: ids from ``monotonically_increasing_id``
-    grow with the byte offset inside a file, and the distributed row index
-    turns them into dense numbers without a single-task sort."""
+    0-based line number in file order.  Rows are counted per block of a file
+    (an input split reads whole blocks, their lines in order); a block starts
+    at the count of all blocks before it.  The table of blocks, one row for
+    each, is broadcast, so no vector is moved or sorted."""
     schema = T.StructType([T.StructField(f"f{i}", T.FloatType(), True) for i in range(dim)])
     raw = spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
-    df = raw.select(F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_mid"),
-                    F.array(*[F.col(f"f{i}") for i in range(dim)]).alias("embedding"))
-    df = df.withColumn("split", F.lit(split)) if split else df.withColumn("split", F.lit(None).cast("string"))
-    idx = row_index(df, ["_file", "_mid"], ["split"], "row")
-    return idx.select("split", "row", "embedding")
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")]
+    mid = F.monotonically_increasing_id().alias("_mid")
+    blocks = raw.select(*block, mid).groupBy("_file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")).collect()
+    base, start = [], 0
+    for b in sorted(blocks, key=lambda b: (b["_file"], b["_at"])):
+        base.append((b["_file"], b["_at"], start - b["_first"]))
+        start += b["_n"]
+    known = F.broadcast(spark.createDataFrame(base, "_file string, _at long, _base long"))
+    rows = raw.select(*block, mid, F.array(*[F.col(f"f{i}") for i in range(dim)]).alias("embedding"))
+    return rows.join(known, ["_file", "_at"]).select(
+        F.lit(split).cast("string").alias("split"), (F.col("_mid") + F.col("_base")).alias("row"), "embedding")
 
 
 def store_key(rows: DataFrame, variant: str, encoder_id: str, dim: int) -> str:

@@ -78,6 +78,48 @@ def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return essays_from_documents(spread(table(spark, sf_dir, "documents"), "doc_id"))
 
 
+# letters whose share of a text makes its ratings, one per trait
+RATED_LETTERS = ["t", "h", "a", "o", "n", "e", "i", "u"]
+
+
+def text_rated(essay_rows: DataFrame) -> DataFrame:
+    """The essays with ratings that their texts decide (and a scorer can
+    learn): the share of a trait's letter, in fortieths for one rater and in
+    thirty-fifths for the other, cut at 5."""
+    text, out = F.coalesce(F.col(q(TEXT_COL)), F.lit("")), essay_rows
+    size = F.greatest(F.length(text), F.lit(1))
+    for trait, letter in zip(TRAITS, RATED_LETTERS):
+        share = (F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))) / size
+        for rater, scale in ((1, 40), (2, 35)):
+            out = out.withColumn(rater_col(rater, trait), F.least(F.lit(5), F.floor(share * scale)).cast("int"))
+    return out
+
+
+DEFECT_EVERY = 50
+
+
+def defective(essay_rows: DataFrame) -> DataFrame:
+    """Essays of which one in 50 has each defect that the checks look for: a
+    missing or too large score, no prompt, no text, bytes that are not UTF-8."""
+    k = F.pmod(F.col("essay_id"), F.lit(DEFECT_EVERY))
+    bad = F.concat(F.col(q(TEXT_COL)), F.unhex(F.lit("FFFE")).cast("string"))
+    return (essay_rows
+            .withColumn(rater_col(1, TRAITS[0]), F.when(k != 7, F.col(q(rater_col(1, TRAITS[0])))))
+            .withColumn(rater_col(2, TRAITS[1]), F.when(k == 8, F.lit(9)).otherwise(F.col(q(rater_col(2, TRAITS[1])))))
+            .withColumn(PROMPT_COL, F.when(k != 9, F.col(q(PROMPT_COL))))
+            .withColumn(TEXT_COL, F.when(k == 11, bad).when(k != 10, F.col(q(TEXT_COL)))))
+
+
+LOST_EVERY, STRAY_POS = 97, 100_000
+
+
+def misaligned(vectors: DataFrame) -> DataFrame:
+    """Sentence vectors of which one in 97 stands at a position that no
+    sentence has."""
+    lost = F.pmod(F.col("essay_id") * 7 + F.col("pos"), F.lit(LOST_EVERY)) == 0
+    return vectors.withColumn("pos", F.when(lost, F.col("pos") + STRAY_POS).otherwise(F.col("pos")))
+
+
 def with_long_essay(essay_rows: DataFrame) -> DataFrame:
     """The essays' prompts and texts, and one more essay of ``LONG_SENTENCES``
     sentences, which a sentence cap cuts at every scale."""

@@ -46,6 +46,29 @@ RUN_RECORD_SCHEMA = T.StructType([
 ])
 
 
+RUN_KEYS = ["run_id", "variant", "exp"]
+
+
+def write_run_records(spark: SparkSession, path: str, records: list[dict]) -> DataFrame:
+    """One result record per run, variant and experiment, each with its own
+    seed and the facts of its reloaded model.  The table is partitioned by
+    these keys and a write replaces just its own partitions, so a rerun of a
+    run leaves one record for each."""
+    fields = [f for f in RUN_RECORD_SCHEMA.fields if f.name != "run_id"]
+    schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("variant", T.StringType()),
+                           T.StructField("exp", T.IntegerType()), *fields,
+                           T.StructField("best_epoch", T.LongType()), T.StructField("best_val_loss", T.DoubleType()),
+                           T.StructField("reloaded_val_loss", T.DoubleType())])
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    rows = []
+    for r in records:
+        r = {**r, "settings": json.dumps(r.get("settings") or {}, sort_keys=True), "recorded_at": now}
+        rows.append(tuple(r.get(f.name) for f in schema.fields))
+    df = spark.createDataFrame(rows, schema)
+    (df.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS).parquet(path))
+    return df
+
+
 def append_run_record(spark: SparkSession, path: str, run_id: str, entry_point: str, commit: str | None = None,
                       data_revision: str | None = None, seed: int | None = None, settings: dict | None = None,
                       output_path: str | None = None, model_path: str | None = None) -> DataFrame:

@@ -71,4 +71,26 @@ def test_cli_on_csv_splits(spark, scratch):
     delta = PL._deltas(reports["rubric_report"], reports["rubric_report"])
     assert delta.where("delta <> 0 or flagged").count() == 0 and delta.where("baseline is not null").count() > 0
     runs = spark.read.parquet(f"{out}/runs").collect()
-    assert len(runs) == 1 and runs[0].entry_point == "train" and "train" in runs[0].data_revision
+    assert {(r.variant, r.exp, r.seed) for r in runs} == {("kobert", 0, 42), ("labeled_kobert", 0, 43)} and len(runs) == 2
+    assert all(r.entry_point == "train" and "train" in r.data_revision and r.best_epoch >= 0 for r in runs)
+    assert all(abs(r.reloaded_val_loss - r.best_val_loss) < 1e-9 for r in runs)
+
+
+def test_jobs_hand_the_tokenizer_to_the_encoder(spark):
+    essays = FX.essays(spark, SF_SMALL)
+
+    def fixed(text_col):
+        return F.transform(F.split(F.lower(text_col), " "), lambda w: F.lit(77))
+
+    def make():
+        import numpy as np
+
+        def predict(ids, mask):
+            n = mask.sum(axis=1)
+            assert ids.shape[1] == 12 and set(np.unique(ids[:, 1:])) <= {77, 13, 11} and (ids[:, 0] == 12).all()
+            return np.stack([n, n * 0 + 1.0], axis=1).astype("float32")
+        return predict
+
+    rep = PL.end_to_end(spark, essays, encoder=make, cfg=CFG, max_len=12, tokenizer=fixed, special=(11, 12, 13))
+    assert rep["predictions"].count() > 0
+    assert "reloaded_val_loss" in rep["summary"].columns

@@ -74,3 +74,16 @@ def test_pad_lengths_are_equal_and_nothing_is_cut(spark):
         S.pad_sequences(seqs, length=4).collect()
     with pytest.raises(ValueError):
         S.pooled_features(vec, "median")
+
+
+def test_merge_carries_essays_over_ranges(spark):
+    lens = [40, 1, 0, 25, 3]
+    off = spark.createDataFrame([(e, "train", s, n) for e, s, n in zip(range(5), [0, 40, 41, 41, 66], lens)],
+                                "essay_id long, split string, start long, n_sentences int")
+    rows = spark.range(75).selectExpr("'train' as split", "id as row", "concat('v', id) as essay_id_text")
+    want = [(r, e, r - s) for e, s, n in zip(range(5), [0, 40, 41, 41, 66], lens) for r in range(s, s + n)]
+    for parts in (1, 7, 30):
+        got = S.assign_by_offset(rows, off, num_partitions=parts)
+        assert sorted((r.row, r.essay_id, r.pos) for r in got.collect()) == want
+        assert {r.essay_id_text for r in got.collect()} == {f"v{r}" for r, _, _ in want}
+    assert S.assign_by_offset(rows.limit(0), off).count() == 0 and S.assign_by_offset(rows, off.limit(0)).count() == 0

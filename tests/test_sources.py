@@ -128,3 +128,34 @@ def test_prediction_sink_and_run_record(spark, scratch):
     got = spark.read.parquet(runs)
     assert sorted(r.run_id for r in got.collect()) == ["r1", "r2"]
     assert got.where(F.col("run_id") == "r1").first().settings == '{"lr": 0.05}'
+
+
+def test_positional_numbers_move_no_vector(spark, scratch):
+    from kappaflow.sources.embeddings import read_embedding_csv
+    path = os.path.join(scratch, "emb")
+    os.makedirs(path)
+    n = 0
+    for k, size in enumerate((300, 5, 120)):
+        with open(os.path.join(path, f"part-{k}.csv"), "w") as f:
+            f.writelines(f"{n + i},{(n + i) * 2}\n" for i in range(size))
+        n += size
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = read_embedding_csv(spark, path, 2, "train")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+        rows = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(r.row for r in rows) == list(range(n)) and all(r.embedding == [r.row, r.row * 2] for r in rows)
+
+
+def test_run_records_are_keyed(spark, scratch):
+    path = os.path.join(scratch, "keyed")
+    record = lambda run, exp, seed, loss: {"run_id": run, "variant": "kobert", "exp": exp, "seed": seed, "best_val_loss": loss}
+    sinks.write_run_records(spark, path, [record("a", 0, 42, 0.5), record("a", 1, 142, 0.4)])
+    sinks.write_run_records(spark, path, [record("b", 0, 42, 0.3)])
+    sinks.write_run_records(spark, path, [record("a", 0, 42, 0.2)])
+    got = {(r.run_id, r.exp): (r.seed, r.best_val_loss) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", 0): (42, 0.2), ("a", 1): (142, 0.4), ("b", 0): (42, 0.3)} and spark.read.parquet(path).count() == 3
