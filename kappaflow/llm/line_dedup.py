@@ -32,15 +32,18 @@ the count replaces; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kappaflow.llm.common import Scratch, literal_array, runtime_filters
 
 THRESHOLD = 0.8
-RARITY_BUCKETS = 1 << 18
+RARITY_BUCKETS = 1 << 20
 NO_ID = (1 << 63) - 1
 SHORT_BUCKET = 256
+HASH_BITS = 57  # of a word's place, below its 6 bits of rarity
 CODE_BITS = 44
 
 
@@ -64,13 +67,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
-    """Binary logarithm of the word count of every hash bucket (a list of
-    ``buckets`` small numbers, whatever the input)."""
+    """Twice the binary logarithm of the word count of every hash bucket (a
+    list of ``buckets`` numbers below 64, whatever the input)."""
     words = (_rows(docs).selectExpr(f"explode(split(replace({_spaced('body')}, '\\n', ' '), ' ')) as w")
              .filter("w <> ''").selectExpr(f"cast(pmod(xxhash64(w), {buckets}) as int) as b"))
     out = [0] * buckets
     for r in words.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
-        out[r["b"]] = min(31, int(r["n"]).bit_length() - 1)
+        out[r["b"]] = min(63, int(2 * math.log2(r["n"])))
     return out
 
 
@@ -78,14 +81,14 @@ def _sets(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """Per line: 128-bit key of the set (k1, k2), size n, its parity bits and
     prefix words as numbers of 6 + ``CODE_BITS`` bits."""
     code = (f"(shiftleft(cast(element_at({literal_array(levels, 'tinyint')}, "
-            f"cast(pmod(h, {len(levels)}) as int) + 1) as bigint), 58) | (h & {(1 << 58) - 1}L))")
+            f"cast(pmod(h, {len(levels)}) as int) + 1) as bigint), {HASH_BITS}) | (h & {(1 << HASH_BITS) - 1}L))")
     words = "array_distinct(transform(array_remove(split(line, ' '), ''), w -> xxhash64(w)))"
     return (lines.filter("trim(line) <> ''")
             .selectExpr("doc", "tk", "line_no", f"sort_array(transform({words}, h -> {code})) as codes")
             .selectExpr("doc", "tk", "line_no", "size(codes) as n", "xxhash64(codes) as k1", "xxhash64(17, codes) as k2",
                         "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int))) as odd",
                         f"if(size(codes) / (size(codes) + 1D) >= {threshold}D - 1e-9D, transform(slice(codes, 1, "
-                        f"{_prefix('size(codes)', threshold)}), c -> shiftright(c, {58 - CODE_BITS})), null) as prefix"))
+                        f"{_prefix('size(codes)', threshold)}), c -> shiftright(c, {HASH_BITS - CODE_BITS})), null) as prefix"))
 
 
 def _least(x: str, threshold: float) -> str:
