@@ -32,15 +32,13 @@ the count replaces; empty tables give empty results.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kappaflow.llm.common import Scratch, literal_array, runtime_filters
 
 THRESHOLD = 0.8
-RARITY_BUCKETS = 1 << 20
+RARITY_BUCKETS = 1 << 19
 NO_ID = (1 << 63) - 1
 SHORT_BUCKET = 256
 HASH_BITS = 57  # of a word's place, below its 6 bits of rarity
@@ -71,9 +69,13 @@ def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
     list of ``buckets`` numbers below 64, whatever the input)."""
     words = (_rows(docs).selectExpr(f"explode(split(replace({_spaced('body')}, '\\n', ' '), ' ')) as w")
              .filter("w <> ''").selectExpr(f"cast(pmod(xxhash64(w), {buckets}) as int) as b"))
+    level = "least(63, cast(2 * log2(n) as int))"
+    packed = (words.groupBy("b").agg(F.count(F.lit(1)).alias("n")).selectExpr("b div 4096 as block", f"b * 64 + {level} as x")
+              .groupBy("block").agg(F.collect_list("x").alias("xs")))  # at most 4096 numbers a row
     out = [0] * buckets
-    for r in words.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect():
-        out[r["b"]] = min(63, int(2 * math.log2(r["n"])))
+    for r in packed.collect():
+        for x in r["xs"]:
+            out[x >> 6] = x & 63
     return out
 
 
