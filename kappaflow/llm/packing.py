@@ -4,9 +4,10 @@ Documents become token pieces of at most ``capacity`` ids.  Only the histogram
 of piece lengths (at most ``capacity`` rows, whatever the input) reaches the
 driver.  There a covering program over configurations (multisets of lengths
 that fit a sequence) is solved by multiplicative weights, each step priced by
-a knapsack dynamic program, and rounded: whole multiples of configurations are
-kept, the remaining pieces go best-fit decreasing.  Pieces are then ranked
-within their length on Spark and each rank looks up its place in the plan.
+a knapsack dynamic program, and rounded to whole copies as they are bought.
+The program ends when it covers all but ``GAP`` of the ids; the pieces of that
+remainder go best-fit decreasing.  Pieces are then ranked within their length
+on Spark and each rank looks up its place in the plan.
 
 Defined results: null text counts as empty; every document has at least one
 piece (the end id alone); repeated rows are packed each for itself; an empty
@@ -30,7 +31,8 @@ END_ID = b"\0\0\0\0"
 PIECE_FIELDS = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
                 T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                 T.StructField("ids", T.BinaryType())]
-RANK_BUCKET_ROWS = 20_000
+RANK_BUCKET_ROWS = 5_000
+GAP = 0.02
 MEMO_CHUNKS = 800_000
 CUT_DOCS = 1000
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -144,9 +146,10 @@ def wide(ids: pa.Array, n: int) -> pa.Array:
 
 # ---- plan (driver, bounded by capacity) -------------------------------------
 
-def price(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of the highest total price: an unbounded knapsack by
-    dynamic programming, cut back to what is there of each length."""
+def price(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: for every room up to
+    ``capacity`` the highest total price and the item to put in first (-1: a
+    place stays empty)."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, dtype=np.int64)
     for c in range(int(lengths[0]), capacity + 1):
@@ -156,46 +159,73 @@ def price(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: i
         if total[j] > best[c - 1]:
             best[c], choice[c] = total[j], j
         else:
-            best[c], choice[c] = best[c - 1], -1
-    out: dict[int, int] = {}
-    c = capacity
+            best[c] = best[c - 1]
+    return best, choice
+
+
+def full_configuration(first: int, lengths: np.ndarray, choice: np.ndarray, capacity: int) -> dict[int, int]:
+    """Item -> pieces of the best configuration that holds item ``first``;
+    empty where that leaves room."""
+    out = {first: 1}
+    c = capacity - int(lengths[first])
     while c > 0:
         j = int(choice[c])
         if j < 0:
-            c -= 1
-            continue
-        if out.get(j, 0) < most[j]:
-            out[j] = out.get(j, 0) + 1
+            return {}
+        out[j] = out.get(j, 0) + 1
         c -= int(lengths[j])
     return out
 
 
-def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = 200,
-                          rate: float = 2.0, share: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """(configuration, amount) pairs of a fractional cover of ``counts``.
+def configuration_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int = 400,
+                          rate: float = 0.1, share: float = 0.5, slack: float = 0.1,
+                          gap: float = GAP) -> list[tuple[dict[int, int], int]]:
+    """(configuration, copies) pairs that cover ``counts`` up to ``gap`` of
+    the ids and never more than is there.
 
     Prices start at each length's share of a sequence, a little more for long
-    pieces, which are harder to place; a step buys the best priced
-    configuration up to ``share`` of its scarcest length and lowers the prices
-    of what it covers by a factor exp(-rate * covered share)."""
+    pieces, which are harder to place.  One knapsack a step prices, for every
+    length, the best configuration that holds it.  Those within ``slack`` of
+    the best price that fill a sequence are bought, whole copies up to
+    ``share`` of what is left of their scarcest length.  Then the price of
+    each length goes down by the factor exp(-rate * share of it covered), and
+    a little where configurations asked for more of it than is left."""
     prices = (lengths / capacity) ** 1.02
-    left = counts.astype(float)
-    bought: dict[tuple, float] = {}
+    left = counts.copy()
+    open_ids = int((lengths * counts).sum())
+    most_open = gap * open_ids
+    bought: dict[tuple, int] = {}
     for _ in range(steps):
-        live = np.flatnonzero(left >= 1)
-        if not len(live):
+        live = np.flatnonzero(left > 0)
+        if open_ids <= most_open:
             break
-        conf = price(lengths[live], prices[live], np.floor(left[live]).astype(np.int64), capacity)
-        if not conf:
+        here = lengths[live]
+        best, choice = price(here, prices[live], capacity)
+        value = prices[live] + best[capacity - here]
+        covered = np.zeros(len(lengths))
+        short = np.zeros(len(lengths), dtype=bool)
+        for j in np.argsort(-value, kind="stable").tolist():
+            if value[j] < (1 - slack) * best[capacity]:
+                break
+            conf = full_configuration(j, here, choice, capacity)
+            if not conf:
+                continue  # best-fit fills what the program would leave open
+            js = live[list(conf)]
+            a = np.array(list(conf.values()), dtype=np.int64)
+            fit = int((left[js] // a).min())
+            if not fit:
+                short[js[left[js] < a]] = True
+                continue
+            n = max(1, int(share * fit))
+            left[js] -= n * a
+            covered[js] += n * a
+            open_ids -= n * capacity
+            key = tuple(sorted(zip(lengths[js].tolist(), a.tolist())))
+            bought[key] = bought.get(key, 0) + n
+        if not covered.any() and not short.any():
             break
-        js = live[list(conf)]
-        a = np.array(list(conf.values()), dtype=float)
-        amount = max(1.0, float(np.floor(share * (left[js] / a).min())))
-        left[js] -= amount * a
-        prices[js] *= np.exp(-rate * amount * a / counts[js])
-        key = tuple(sorted(zip(lengths[js].tolist(), a.astype(int).tolist())))
-        bought[key] = bought.get(key, 0.0) + amount
-    return [(dict(k), v) for k, v in bought.items()]
+        prices *= np.exp(-rate * (covered / counts + 0.2 * short))
+    return [(dict(k), n) for k, n in bought.items()]
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -227,30 +257,25 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [(conf, n) for groups in room.values() for conf, n in groups]
 
 
-def plan(histogram: dict[int, int], capacity: int, steps: int = 200) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int, steps: int = 400) -> list[tuple[dict[int, int], int]]:
     """(configuration, copies) pairs that hold every piece exactly once: the
-    rounded program with best-fit for what rounding leaves, or best-fit alone
-    where that needs fewer sequences."""
+    rounded program, and best-fit for the pieces that it leaves."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
     if not len(lengths):
         return []
-    at = {x: i for i, x in enumerate(lengths.tolist())}
-    left = counts.copy()
-    rounded: list[tuple[dict[int, int], int]] = []
-    small = lengths < capacity
-    if small.any():
-        for conf, amount in configuration_program(lengths[small], counts[small], capacity, steps):
-            if sum(k * v for k, v in conf.items()) < capacity:
-                continue  # best-fit fills what the program leaves open
-            n = min(int(amount), *(int(left[at[k]]) // v for k, v in conf.items()))
-            if n:
-                rounded.append((conf, n))
-                for k, v in conf.items():
-                    left[at[k]] -= n * v
-    rounded += best_fit(lengths[left > 0], left[left > 0], capacity)
-    plain = best_fit(lengths, counts, capacity)
-    return min(rounded, plain, key=lambda p: sum(n for _, n in p))
+    full = lengths == capacity  # a sequence each
+    packed = [({capacity: 1}, int(n)) for n in counts[full]]
+    lengths, counts = lengths[~full], counts[~full]
+    if len(lengths):
+        left = dict(zip(lengths.tolist(), counts.tolist()))
+        for conf, n in configuration_program(lengths, counts, capacity, steps):
+            packed.append((conf, n))
+            for length, k in conf.items():
+                left[length] -= n * k
+        rest = np.array([(x, n) for x, n in left.items() if n], dtype=np.int64).reshape(-1, 2)
+        packed += best_fit(rest[:, 0], rest[:, 1], capacity)
+    return packed
 
 
 def plan_slots(packed: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -312,7 +337,7 @@ def _placer(slots: dict[int, tuple[np.ndarray, ...]]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, steps: int = 200) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, steps: int = 400) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids, sequence_id,
     offset; ids are little-endian unsigned 32-bit binary.  Pieces of a
     sequence lie without gaps from 0."""
