@@ -161,6 +161,26 @@ def test_pipeline_and_query_pack_the_ids(spark, monkeypatch):
     assert digests == {(r["doc_id"], r["piece"]): zlib.crc32(r["ids"]) for r in packed[0].collect()}
 
 
+def test_configuration_program_places_most_pieces():
+    rng = np.random.default_rng(5)
+    for n in (3_000, 60_000):
+        drawn = np.minimum(rng.lognormal(6.2, 0.9, n).astype(int) + 1, 2048)
+        lengths, counts = np.unique(drawn, return_counts=True)
+        packed = packing.plan(dict(zip(lengths.tolist(), counts.tolist())), 2048)
+        held = {}
+        for conf, copies in packed:
+            assert sum(k * v for k, v in conf.items()) <= 2048
+            for k, v in conf.items():
+                held[k] = held.get(k, 0) + v * copies
+        assert held == dict(zip(lengths.tolist(), counts.tolist()))
+        plain = sum(c for _, c in packing.best_fit(lengths, counts, 2048))
+        assert sum(c for _, c in packed) <= plain + 1
+        small = lengths < 2048
+        program = packing.configuration_program(lengths[small], counts[small], 2048)
+        placed = sum(v * copies for conf, copies in program for v in conf.values())
+        assert placed >= 0.9 * counts[small].sum()
+
+
 def test_nearest_vectors(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).normal(size=8)], "c") for i in range(300)]
     rows += [(300, rows[0][1], "copy"), (301, None, ""), (302, [0.0] * 8, ""), (303, [float("nan")] * 8, ""),
@@ -188,3 +208,39 @@ def test_nearest_vectors(spark):
         hits += len(want & {x for _, x, _ in found})
     assert hits >= 0.9 * 5 * len(queries)
     assert dimension_scan.nearest(df.limit(0), "vec_id % 20 = 0", dim=8).count() == 0
+
+
+def test_scan_reads_less_than_half_and_finds_neighbours(spark):
+    from kappaflow.llm import dimension_scan as scan
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    ids = np.arange(len(x))
+    turned = scan._unit(x) @ scan.rotation(64)
+    q = ids[::200]
+    cos = scan._unit(x[q]) @ scan._unit(x).T
+    cos[np.arange(len(q)), q] = -9
+    want = np.argsort(-cos, axis=1)[:, :5]
+    bound = 2 - 2 * np.take_along_axis(cos, want[:, 4:], axis=1)[:, 0]
+    hits = read = visited = 0
+    for lo in range(0, len(x), 4_000):
+        part = slice(lo, lo + 4_000)
+        rows, found, score, n = scan.scan_block(x[q], turned[q], q, bound, ids[part], x[part], turned[part], 5)
+        hits += sum(f in set(want[r].tolist()) for r, f in zip(rows.tolist(), found.tolist()))
+        read += n
+        visited += len(q) * 4_000 * 64
+        np.testing.assert_allclose(score, cos[rows, found], rtol=1e-9)
+    assert hits >= 0.95 * want.size
+    assert read < 0.5 * visited
+
+
+def test_nearest_with_repeated_ids(spark):
+    from kappaflow.llm import dimension_scan
+
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (5, [1.0, 1.0]), (5, [2.0, 2.0]), (7, [-1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in dimension_scan.nearest(df, "vec_id = 0 or vec_id = 20", k=3, dim=2, probe_share=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got[0]) == [(1, 5), (2, 5), (3, 20)]
+    assert [v for _, v in sorted(got[20])] == [5, 5, 5]
