@@ -66,11 +66,9 @@ def rotate(turns: DataFrame, narrators: Sequence[str] = NARRATORS) -> DataFrame:
               .when(F.col("speaker") == F.col("perspective"), F.lit("<|assistant|>\n"))
               .otherwise(F.concat(F.lit("<|user:"), "speaker", F.lit("|>\n"))))
     rows = (said.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-            .withColumn("header", header)
-            .withColumn("segment", F.concat("header", "text", F.lit(END)))
-            .withColumn("chars", F.length("segment").cast("bigint")).withColumn("one", F.lit(1).cast("bigint"))
-            .withColumn("last", F.col("turn").isNull()).withColumn("tie", F.xxhash64("speaker", "text")))
-    order = ["last", "turn", "speaker", "tie", "uid"]
+            .withColumn("chars", (F.length(header) + F.length("text") + len(END)).cast("bigint"))
+            .withColumn("one", F.lit(1).cast("bigint")).withColumn("last", F.col("turn").isNull()))
+    order = ["last", "turn", "speaker", "text", "uid"]
     rows = scratch.write(rows, "segments")
     parts = max(1, -(-rows.count() // PARTITION_ROWS))
     rows = scratch.write(rows.repartitionByRange(parts, "conv_id", "perspective", *order)
@@ -78,7 +76,8 @@ def rotate(turns: DataFrame, narrators: Sequence[str] = NARRATORS) -> DataFrame:
     who = ["conv_id", "perspective"]
     rows = _before(_before(rows, who, order, "one", "seq"), who, order, "chars", "start")
     trained = F.col("speaker") == F.col("perspective")
-    return rows.select("conv_id", "perspective", "seq", "turn", "speaker", "segment", "start",
+    return rows.select("conv_id", "perspective", "seq", "turn", "speaker",
+                       F.concat(header, "text", F.lit(END)).alias("segment"), "start",
                        (F.col("start") + F.col("chars")).alias("end"),
-                       F.when(trained, F.col("start") + F.length("header")).alias("mask_start"),
+                       F.when(trained, F.col("start") + F.length(header)).alias("mask_start"),
                        F.when(trained, F.col("start") + F.col("chars")).alias("mask_end"))
