@@ -141,13 +141,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_url_filters"] = r"""
-with n as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host,
+with n as (select page_id, url, nullif(regexp_replace(lower(
+      regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '') as host,
     regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#]*', ''), '#.*$', '') as rest from pages),
 c as (select page_id, url, host, host || rest as u, nullif(regexp_extract(host, '([^.]+\.[^.]+)$', 1), '') as dom,
-    date '2024-01-01' + cast(('0x' || substr(md5('fetch' || page_id), 1, 7))::bigint % 366 as int) as fetched from n where host <> ''),
-x as (select distinct 'host' as kind, host as entity, unnest([1, 2, 3]) as j from c
+    date '2024-01-01' + cast(('0x' || substr(md5('fetch' || page_id), 1, 7))::bigint % 366 as int) as fetched from n),
+x as (select distinct 'host' as kind, host as entity, unnest([1, 2, 3]) as j from c where host is not null
   union all select distinct 'domain', dom, unnest([1, 2]) from c where dom is not null
-  union all select distinct 'url', u, unnest([1, 2, 3, 4]) from c),
+  union all select distinct 'url', u, unnest([1, 2, 3, 4]) from c where u is not null),
 e as (select kind, entity, date '2024-01-01' + cast(('0x' || substr(md5(kind || entity || j), 1, 7))::bigint % 366 as int) as d,
     ('0x' || substr(md5('act' || kind || entity || j), 1, 7))::bigint % 3 as r from x),
 g as (select kind, entity, d, min(r) as r from e group by all),

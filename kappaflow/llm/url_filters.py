@@ -16,7 +16,8 @@ splits; an entity has at most one interval a day.
 Defined results: a null or unreadable URL or a null time gets decision "none";
 entries without kind, entity, date or known action are ignored; of entries for
 one entity and day, block goes before allow and allow before drop; repeated
-captures each get a row; the input's columns come back under their names.
+captures each get a row; the input's columns come back under their names, and
+a result column whose name the input has gets "_" after it until it is free.
 """
 
 from __future__ import annotations
@@ -82,6 +83,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
                & (F.col(f"i.m_{k}.valid_to").isNull() | (F.col("o.day") < F.col(f"i.m_{k}.valid_to"))))
         out = out.alias("o").join(one.alias("i"), hit, "left").select("o.*", F.col(f"i.m_{k}"))
     m = F.coalesce(*[F.col(f"m_{k}") for k in KINDS])
+    names: dict[str, str] = {}
+    taken = {x.lower() for x in captures.columns}
+    for x in ("decision", "kind", "valid_from", "valid_to"):
+        names[x] = x
+        while names[x].lower() in taken:
+            names[x] += "_"
+        taken.add(names[x].lower())
     return out.select(*[F.col("c")[x].alias(x) for x in captures.columns],
-                      F.coalesce(m["decision"], F.lit("none")).alias("decision"),
-                      *[m[x].alias(x) for x in ("kind", "valid_from", "valid_to")])
+                      F.coalesce(m["decision"], F.lit("none")).alias(names["decision"]),
+                      *[m[x].alias(names[x]) for x in ("kind", "valid_from", "valid_to")])
