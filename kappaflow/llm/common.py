@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 from kappaflow.session import drop_path, shared_dir
 
 
+_OPENED: list[list["Scratch"]] = []
+
+
+@contextmanager
+def released_scratch() -> Iterator[None]:
+    """Scratch tables that operators make inside go when the block ends; what
+    they returned must be written by then."""
+    _OPENED.append([])
+    try:
+        yield
+    finally:
+        for scratch in _OPENED.pop():
+            drop_path(scratch.spark, scratch.root)
+
+
 class Scratch:
     """Parquet tables of one operator run, in a fresh folder of shared storage.
 
@@ -21,6 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        if _OPENED:
+            _OPENED[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

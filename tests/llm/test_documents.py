@@ -396,3 +396,55 @@ def test_queries_without_twin(spark, name):
 
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == n
+
+
+def test_url_filters_with_clashing_names(spark):
+    captures = spark.createDataFrame([("http://a.com/x", "2024-03-05", "mine", 1, "k"), (None, "2024-03-05", "m", 2, None)],
+                                     "url string, fetched string, decision string, Kind int, valid_from_ string")
+    entries = spark.createDataFrame([("host", "a.com", "block", "2024-01-01")],
+                                    "kind string, entity string, action string, listed_on string")
+    out = url_filters.evaluate(captures, entries)
+    assert out.columns == ["url", "fetched", "decision", "Kind", "valid_from_", "decision_", "kind_", "valid_from", "valid_to"]
+    got = {r["url"]: (r["decision"], r["Kind"], r["decision_"], r["kind_"]) for r in out.collect()}
+    assert got == {"http://a.com/x": ("mine", 1, "block", "host"), None: ("m", 2, "none", None)}
+
+
+def test_url_twin_keeps_captures_without_host(spark, tmp_path):
+    import duckdb
+
+    from kappaflow.llm.queries import ORACLE
+
+    pages = spark.createDataFrame([(1, "http://a.b.com/x#y"), (2, "no url"), (3, None), (4, "http://A.b.com./x"), (5, "")],
+                                  "page_id long, url string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(repr, map(tuple, QUERIES["op10_url_filters"](spark, str(tmp_path)).select(
+        "page_id", "decision", "kind", "valid_from", "valid_to").collect())))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute("select page_id, decision, kind, cast(valid_from as date), cast(valid_to as date) from ("
+                       + ORACLE["op10_url_filters"] + ")").fetchall()
+    assert len(got) == 5 and got == sorted(map(repr, want))
+
+
+def test_perspectives_order_ties_by_role_and_text(spark):
+    said = ["delta", "eta", "alpha", "a", "a!", "gamma", "alpha"]
+    df = spark.createDataFrame([(1, 1, "u", t) for t in said] + [(1, 1, "b", "zeta")],
+                               "conv_id long, turn int, role string, text string")
+    for p in ("u", "b"):
+        rows = perspectives.rotate(df).filter(F.col("perspective") == p).orderBy("seq").collect()
+        texts = [r["segment"].split("\n", 1)[1].removesuffix(perspectives.END) for r in rows]
+        assert texts == ["zeta", *sorted(said)]
+        assert [r["start"] for r in rows] == [0, *[r["end"] for r in rows[:-1]]]
+
+
+def test_scratch_made_in_a_block_goes_with_it(spark):
+    import os
+
+    from kappaflow.llm.common import released_scratch
+
+    kept = Scratch(spark, "kept")
+    with released_scratch():
+        inner = Scratch(spark, "inner")
+        rows = kept.write(inner.write(spark.range(5).toDF("doc_id"), "a"), "b")
+    at = lambda s: s.root.removeprefix("file:")
+    assert rows.count() == 5 and os.path.exists(at(kept)) and not os.path.exists(at(inner))
