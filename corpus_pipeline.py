@@ -14,7 +14,8 @@ one before kept:
               with its ids)
 
 ``run`` writes each stage to shared storage and reads it back, so a lost
-executor never repeats more than the stage at work.  SQL cannot express the
+executor never repeats more than the stage at work; then the stage's scratch
+tables and the table it read go.  SQL cannot express the
 stages (trained models, tokenizer), so ``ORACLE_SQL`` is None; the tests hold
 them against brute-force versions.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kappaflow.llm import decontamination, importance, line_dedup, odd_minhash, packing
-from kappaflow.llm.common import Scratch, table
+from kappaflow.llm.common import Scratch, released_scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +65,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with released_scratch():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
