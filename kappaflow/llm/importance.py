@@ -46,6 +46,8 @@ SMOOTHING = 1.0
 BROADCAST_IDS = 500_000
 SEED = 11
 LEAST_LOG_WEIGHT = -10.0
+MEMO_CHUNKS = 100_000
+BATCH_DOCS = 1_000
 _PART = re.compile(r"\w+|[^\w\s]+")
 _SHAPE_BITS = 3
 _MEMO: list[bpe.ChunkMemo] = []
@@ -73,7 +75,7 @@ def _parts(chunk: str) -> bytes:
 def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(feature bucket, text number) of every n-gram of the texts."""
     if not _MEMO:
-        _MEMO.append(bpe.ChunkMemo(lambda chunks: [_parts(c) for c in chunks]))
+        _MEMO.append(bpe.ChunkMemo(lambda chunks: [_parts(c) for c in chunks], MEMO_CHUNKS))
     words = [t.split() for t in texts]
     known = _MEMO[0].values(set().union(*words)).__getitem__
     raw = [b"".join(map(known, w)) for w in words]
@@ -94,10 +96,16 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 FEATURES = BUCKETS + 128
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``BATCH_DOCS`` rows, so that few texts are Python strings
+    at a time."""
+    return (b.slice(i, BATCH_DOCS) for b in batches for i in range(0, b.num_rows, BATCH_DOCS))
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature counts of the texts of a task, for all and for good documents."""
     total = np.zeros((2, FEATURES), dtype=np.int64)
-    for b in batches:
+    for b in _small(batches):
         texts = [t or "" for t in b.column(0).to_pylist()]
         good = np.array(b.column(1).to_pylist(), dtype=bool)
         at = 0
@@ -136,7 +144,7 @@ def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
 
 def _scorer(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _small(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             weights, noise = [], []
             ids = b.column(0).to_pylist()
