@@ -1,9 +1,10 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two generative bag-of-n-grams models over ``BUCKETS`` hashed features are
-counted: the target model over all labelled good documents, the raw model over
-all documents.  The labelled ids are broadcast, so that no text is shuffled,
-only while their count is at most ``BROADCAST_IDS``.  A document's importance weight
+counted: the raw model over all documents where they are read, the target model
+over all labelled good ones, found by a semi-join on their ids (one plan at
+every size; Spark's runtime filter keeps other texts out of its shuffle).  A
+document's importance weight
 is the ratio of its probabilities under the two, log w = sum over its n-grams
 of log target - log raw.  Sampling documents without replacement in proportion
 to w is a Gumbel top-k: the k largest log w + Gumbel noise.  By default k is
@@ -39,11 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kappaflow.llm import bpe
-from kappaflow.llm.common import Scratch
+from kappaflow.llm.common import Scratch, runtime_filters
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-BROADCAST_IDS = 500_000
 SEED = 11
 LEAST_LOG_WEIGHT = -10.0
 MEMO_CHUNKS = 100_000
@@ -103,38 +103,34 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Feature counts of the texts of a task, for all and for good documents."""
-    total = np.zeros((2, FEATURES), dtype=np.int64)
+    """Feature counts of the texts of a task."""
+    total = np.zeros(FEATURES, dtype=np.int64)
     for b in _small(batches):
-        texts = [t or "" for t in b.column(0).to_pylist()]
-        good = np.array(b.column(1).to_pylist(), dtype=bool)
-        at = 0
-        for part in bpe.sub_batches(texts):
-            f, d = _features(part)
-            total[0] += np.bincount(f, minlength=FEATURES)
-            total[1] += np.bincount(f[good[at:at + len(part)][d]], minlength=FEATURES)
-            at += len(part)
-    seen = np.flatnonzero(total[0])
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])],
-                                     names=["feature", "n_raw", "n_target"])
+        for part in bpe.sub_batches([t or "" for t in b.column(0).to_pylist()]):
+            total += np.bincount(_features(part)[0], minlength=FEATURES)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["feature", "n"])
+
+
+def _counts(texts: DataFrame) -> np.ndarray:
+    """Counts of all features, summed on Spark."""
+    out = np.zeros(FEATURES)
+    per_task = texts.select("text").mapInArrow(_counter, "feature bigint, n bigint")
+    for r in per_task.groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        out[r["feature"]] = r["n"]
+    return out
 
 
 def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """Log target - log raw probability of every feature; ``good`` holds the
     doc_ids of good documents, all of which the target model counts.  The raw
-    model reads all documents; ``FEATURES`` counts, summed on Spark, reach the
-    driver."""
-    good = good.select("doc_id").dropna().distinct().withColumn("good", F.lit(True))
-    if good.count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
-    rows = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = (rows.mapInArrow(_counter, "feature bigint, n_raw bigint, n_target bigint")
-              .groupBy("feature").agg(F.sum("n_raw").alias("r"), F.sum("n_target").alias("t")).collect())
-    n = np.zeros((2, FEATURES))
-    for c in counts:
-        n[:, c["feature"]] = c["r"], c["t"]
-    if not n[1].any():
+    model reads all documents; ``FEATURES`` counts of each reach the driver."""
+    ids = good.select("doc_id").dropna().distinct()
+    with runtime_filters(docs.sparkSession):
+        target = _counts(docs.join(ids, "doc_id", "left_semi"))
+    if not target.any():
         return np.zeros(FEATURES)
+    n = np.array([_counts(docs), target])
     out = np.empty((2, FEATURES))
     for kind in (slice(0, BUCKETS), slice(BUCKETS, FEATURES)):
         m = n[:, kind] + SMOOTHING
@@ -201,9 +197,11 @@ def resample(docs: DataFrame, good: DataFrame, k: int | None = None) -> DataFram
 
 
 def keep_good(docs: DataFrame, good: DataFrame, k: int | None = None) -> DataFrame:
-    """The sampled rows of ``docs``."""
-    kept = resample(docs, good, k).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("tk").alias("kept_tk")).distinct()
+    """The sampled rows of ``docs``.  Rows equal in doc_id and text share their
+    key, so those of the written drop list go; while it is small no text moves."""
+    drop = resample(docs, good, k).filter("not kept").select(F.col("doc_id").alias("drop_id"), F.col("tk").alias("drop_tk")).distinct()
+    drop = Scratch(docs.sparkSession, "importance-drop").write(drop, "drop")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    return rows.join(kept, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("kept_id"))
-                     & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("kept_tk")), "left_semi").select(
+    return rows.join(drop, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("drop_id"))
+                     & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("drop_tk")), "left_anti").select(
         *[F.col(f"d.`{c}`") for c in docs.columns])
