@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kappaflow.session import drop_path, shared_dir
 
@@ -78,25 +77,6 @@ def runtime_filters(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-FILTER_BITS = 1 << 21
-
-
 def literal_array(values: list[int], kind: str) -> str:
     """SQL of a constant array; the planner folds it to one value."""
     return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
-
-
-def maybe_in(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` whose ``keys`` may occur in ``wanted``, by a bitmap of
-    ``FILTER_BITS`` hashed keys (256 KB, whatever the input).
-
-    It spares a following join the shuffle of most rows that have no partner
-    and never drops one that has."""
-    h = f"pmod(xxhash64({', '.join(keys)}), {FILTER_BITS})"
-    words = [0] * (FILTER_BITS // 64)
-    marks = (wanted.selectExpr(f"{h} as h")
-             .selectExpr("cast(h div 64 as int) as i", "shiftleft(1L, cast(h % 64 as int)) as m"))
-    for r in marks.groupBy("i").agg(F.bit_or("m").alias("m")).collect():
-        words[r["i"]] = r["m"]
-    word = f"element_at({literal_array(words, 'bigint')}, cast({h} div 64 as int) + 1)"
-    return rows.filter(f"({word} & shiftleft(1L, cast({h} % 64 as int))) <> 0")

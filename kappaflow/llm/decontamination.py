@@ -15,20 +15,25 @@ its containment is ``threshold`` or more.  Only DataFrame operations are used.
   value; broadcast only when its row count is below ``BROADCAST_ROWS``).
   Documents with enough of an item's values are candidates.
 * Candidates are verified on the shingles themselves.
+* An item of fewer than five words has its whole word sequence as its one
+  shingle.  Where such items exist, documents also have the shingles of their
+  lengths (of one to four words), so that they are found inside long texts.
 
 Defined results: null and blank texts contain nothing and are contained in
-nothing; an item or document of fewer than five words has its whole word
-sequence as its one shingle; rows equal in doc_id and text are reported once;
+nothing; a document of fewer than five words has its whole word sequence as a
+shingle, too; rows equal in doc_id and text are reported once;
 null ids are kept; a long document is one row of hashes, never of pairs; other
 columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.llm.common import Scratch, maybe_in
+from kappaflow.llm.common import Scratch, runtime_filters
 
 THRESHOLD = 0.75
 BROADCAST_ROWS = 1_000_000
@@ -43,17 +48,33 @@ def _words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ws", F.expr(f"if(text rlike '[\\\\x09\\\\x0B-\\\\x0D]', {_WORDS}, {plain})")).drop("text")
 
 
-def _hashes() -> str:
-    """Hash of every shingle, with repeats, in text order."""
-    return ("case when size(ws) >= 5 then transform("
-            f"{_FIVE}, (w, i) -> xxhash64(w, ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4])) "
-            "when size(ws) > 0 then array(xxhash64(array_join(ws, ' '), size(ws))) else array() end")
+def _runs(m: int, value: str, kind: str) -> str:
+    """``value`` of every run ``g`` of ``m`` words of a longer text."""
+    run = "concat_ws(' ', w" + "".join(f", ws[i + {j}]" for j in range(1, m)) + ")"
+    return (f"case when size(ws) > {m} then transform(slice(ws, 1, size(ws) - {m - 1}), (w, i) -> {value.format(g=run, m=m)}) "
+            f"else cast(array() as array<{kind}>) end")
+
+
+def _hashes(sizes: Sequence[int] = ()) -> str:
+    """Hash of every shingle, with repeats; ``sizes`` are the lengths below
+    five words that are wanted as well."""
+    whole = ("case when size(ws) >= 5 then transform("
+             f"{_FIVE}, (w, i) -> xxhash64(w, ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4])) "
+             "when size(ws) > 0 then array(xxhash64(array_join(ws, ' '), size(ws))) else cast(array() as array<bigint>) end")
+    return f"concat({', '.join([whole, *[_runs(m, 'xxhash64({g}, {m})', 'bigint') for m in sizes]])})"
+
+
+def _shingles(sizes: Sequence[int] = ()) -> str:
+    whole = ("case when size(ws) >= 5 then transform("
+             f"{_FIVE}, (w, i) -> concat_ws(' ', w, ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4])) "
+             "when size(ws) > 0 then array(array_join(ws, ' ')) else cast(array() as array<string>) end")
+    return f"array_distinct(concat({', '.join([whole, *[_runs(m, '{g}', 'string') for m in sizes]])}))"
 
 
-def _shingles() -> str:
-    return ("array_distinct(case when size(ws) >= 5 then transform("
-            f"{_FIVE}, (w, i) -> concat_ws(' ', w, ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4])) "
-            "when size(ws) > 0 then array(array_join(ws, ' ')) else cast(array() as array<string>) end)")
+def short_sizes(items: DataFrame) -> list[int]:
+    """The item lengths below five words that occur (at most four numbers)."""
+    sizes = _words(items.select("text")).selectExpr("size(ws) as m").filter("m between 1 and 4").distinct()
+    return sorted(r["m"] for r in sizes.collect())
 
 
 def _may_lack(n: str, threshold: float) -> str:
@@ -83,22 +104,25 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     scratch = Scratch(docs.sparkSession, "decontamination")
     items = scratch.write(items.select("item_id", "text").withColumn("item_key", F.monotonically_increasing_id()), "items")
     sig = scratch.write(signatures(items, threshold), "signatures")
+    sizes = short_sizes(items)
     probe = sig.select("item_key", "needed", "h")
     if probe.count() <= BROADCAST_ROWS:
         probe = F.broadcast(probe)
     keyed = _keyed(docs, "doc_id", "text")
-    found = (_words(keyed).selectExpr("doc_id", "tk", f"explode({_hashes()}) as h").join(probe, "h")
+    found = (_words(keyed).selectExpr("doc_id", "tk", f"explode({_hashes(sizes)}) as h").join(probe, "h")
              .groupBy("doc_id", "tk", "item_key", "h").agg(F.max("needed").alias("needed"))
              .groupBy("doc_id", "tk", "item_key").agg(F.count(F.lit(1)).alias("m"), F.max("needed").alias("needed"))
-             .filter("m >= needed").select("doc_id", "tk", "item_key"))
-    found = scratch.write(found, "candidates")
+             .filter("m >= needed"))
+    # the written size lets Spark broadcast the wanted documents while they are
+    # few; else the condition, stated again, makes them a runtime filter's source
+    found = scratch.write(found, "candidates").filter("m >= needed").select("doc_id", "tk", "item_key")
 
     wanted = found.select("doc_id", "tk").distinct()
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tk") == F.col(f"{b}.tk"))
-    bodies = (maybe_in(keyed, wanted, ["doc_id", "tk"]).alias("k").join(wanted.alias("w"), same("k", "w"), "left_semi")
-              .dropDuplicates(["doc_id", "tk"]))
-    bodies = _words(bodies).selectExpr("doc_id", "tk", f"{_shingles()} as ds")
-    bodies = scratch.write(bodies, "bodies")
+    bodies = keyed.alias("k").join(wanted.alias("w"), same("k", "w"), "left_semi").dropDuplicates(["doc_id", "tk"])
+    bodies = _words(bodies).selectExpr("doc_id", "tk", f"{_shingles(sizes)} as ds")
+    with runtime_filters(docs.sparkSession):
+        bodies = scratch.write(bodies, "bodies")
     sets = _words(items).selectExpr("item_key", "item_id", f"{_shingles()} as qs")
     pairs = (found.alias("f").join(bodies.alias("b"), same("f", "b")).select("f.*", "b.ds").join(sets, "item_key")
              .selectExpr("doc_id", "tk", "item_id", "size(array_intersect(ds, qs)) as n_shared", "size(qs) as n_item"))
@@ -107,8 +131,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that contain a test item."""
+    """``docs`` without those that contain a test item.  The list of those is
+    written, so that Spark knows its size: while it is small no text moves."""
     hits = contained(docs, items, threshold).select(F.col("doc_id").alias("hit_id"), F.col("tk").alias("hit_tk")).distinct()
+    hits = Scratch(docs.sparkSession, "decontamination-hits").write(hits, "hits")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
     keep = rows.join(hits, F.col("d.doc_id").eqNullSafe(F.col("hit_id"))
                      & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("hit_tk")), "left_anti")

@@ -179,8 +179,11 @@ b as (select item_id as id, list_filter(string_split_regex(lower(coalesce(text,
   from benchmark),
 q as (select distinct id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3),
     lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from b),
-s as (select distinct id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3),
-    lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from d),
+z as (select distinct len(ws) as z from b where len(ws) between 1 and 4),
+s as (select id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3),
+    lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from d
+  union select id, unnest(list_transform(range(1, len(ws) - z + 2), lambda i: array_to_string(ws[i:i + z - 1], ' '))) as g
+  from d join z on len(ws) > z),
 n as (select id, count(*) as n from q group by id),
 m as (select s.id as doc_id, q.id as item_id, count(*) as k from s join q on s.g = q.g group by all)
 select doc_id, item_id, cast(k as int) as n_shared, cast(n.n as int) as n_item, round(k / n.n, 9) as containment
