@@ -57,18 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_FILTERS = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
-
-
 @contextmanager
-def runtime_filters(spark: SparkSession) -> Iterator[None]:
-    """Jobs inside let Spark filter a join's scanned side by a Bloom filter of
-    the other side's keys (of Spark's bounded size) whatever the table's size;
-    by default it does so above 10 GB only.  The filter never drops a partner."""
-    old = {k: spark.conf.get(k, None) for k in _FILTERS}
-    for k, v in _FILTERS.items():
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for the jobs inside."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -77,6 +70,26 @@ def runtime_filters(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_FILTERS = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g"}
+_MANY_KEYS = {"spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+              "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864"}
+
+
+def runtime_filters(spark: SparkSession, many: bool = False):
+    """Jobs inside let Spark filter a join's scanned side by a Bloom filter of
+    the other side's keys (of Spark's bounded size; 8 MB if ``many``) whatever
+    the table's size; by default it does so above 10 GB only.  The filter never
+    drops a partner."""
+    return settings(spark, {**_FILTERS, **(_MANY_KEYS if many else {})})
+
+
+def small_batches(spark: SparkSession):
+    """Jobs inside hand texts to Python workers in batches of 4 MB or one row."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"})
+
+
 def literal_array(values: list[int], kind: str) -> str:
     """SQL of a constant array; the planner folds it to one value."""
     return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"

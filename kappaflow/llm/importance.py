@@ -48,6 +48,7 @@ SEED = 11
 LEAST_LOG_WEIGHT = -10.0
 MEMO_CHUNKS = 100_000
 BATCH_DOCS = 1_000
+BATCH_CHARS = 500_000
 _PART = re.compile(r"\w+|[^\w\s]+")
 _SHAPE_BITS = 3
 _MEMO: list[bpe.ChunkMemo] = []
@@ -106,7 +107,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature counts of the texts of a task."""
     total = np.zeros(FEATURES, dtype=np.int64)
     for b in _small(batches):
-        for part in bpe.sub_batches([t or "" for t in b.column(0).to_pylist()]):
+        for part in bpe.sub_batches([t or "" for t in b.column(0).to_pylist()], BATCH_CHARS):
             total += np.bincount(_features(part)[0], minlength=FEATURES)
     seen = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["feature", "n"])
@@ -125,8 +126,8 @@ def fit(docs: DataFrame, good: DataFrame) -> np.ndarray:
     """Log target - log raw probability of every feature; ``good`` holds the
     doc_ids of good documents, all of which the target model counts.  The raw
     model reads all documents; ``FEATURES`` counts of each reach the driver."""
-    ids = good.select("doc_id").dropna().distinct()
-    with runtime_filters(docs.sparkSession):
+    ids = good.select("doc_id").dropna()
+    with runtime_filters(docs.sparkSession, many=True):
         target = _counts(docs.join(ids, "doc_id", "left_semi"))
     if not target.any():
         return np.zeros(FEATURES)
@@ -144,7 +145,7 @@ def _scorer(ratio: np.ndarray):
             texts = [t or "" for t in b.column(1).to_pylist()]
             weights, noise = [], []
             ids = b.column(0).to_pylist()
-            for part in bpe.sub_batches(texts):
+            for part in bpe.sub_batches(texts, BATCH_CHARS):
                 f, d = _features(part)
                 weights.append(np.bincount(d, weights=ratio[f], minlength=len(part)))
             for i, t in zip(ids, texts):
