@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kappaflow.llm import decontamination, importance, line_dedup, odd_minhash, packing
-from kappaflow.llm.common import Scratch, released_scratch, table
+from kappaflow.llm.common import Scratch, released_scratch, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before: list[str] = []
     for name, stage in STAGES[:-1]:
-        with released_scratch():
+        with released_scratch(), small_batches(spark):
             docs = scratch.write(stage(spark, docs, sf_dir), name)
         scratch.drop(*before)
         before = [name]
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark):
+        return STAGES[-1][1](spark, docs, sf_dir)
