@@ -2,12 +2,17 @@
 
 Every epoch shuffles the training essays with its own seed into batches
 (``history.train_batch_ids``) and takes one Adam step per batch, in batch
-order, on the mean squared error of the 0..1 labels.  One Spark job sums the
-gradients of ``batches_per_pass`` consecutive batches, grouped by batch: their
-steps follow each other on the driver, where only the model and one gradient
-per batch lie.  With one batch a pass every step uses the weights of the step
-before; with more, gradients are up to a pass old, which large tables need,
-since a job per step would not end.
+order, on the mean squared error of the 0..1 labels.  The gradients of
+``batches_per_pass`` consecutive batches are taken at the weights before the
+first of them: with one batch a pass every step uses the weights of the step
+before; with more, gradients are up to a pass old.
+
+Steps follow each other, so passes cannot run side by side; instead an epoch
+costs one shuffle and one read of the rows, however many passes it has.  Every
+epoch deals the rows into segments of consecutive passes, ``SEGMENT_BYTES`` of
+rows each, and one Spark job per segment takes its steps inside a task that
+streams its rows in batch order.  Model and Adam state go from segment to
+segment over the driver; rows never do.
 
 The loss of an epoch is the mean of its batches' losses, on the validation
 rows too (evaluation batches in essay order); training stops after
@@ -19,21 +24,22 @@ from __future__ import annotations
 
 import uuid
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kappaflow.operators import history as H
-from kappaflow.operators.scorer import ScorerConfig, TraitScorer
+from kappaflow.operators.scorer import ScorerConfig, TraitScorer, byte_matrix, packed_rows, packed_sizes
 from kappaflow.schema import ESSAY_BATCH
 from kappaflow.session import drop_path, shared_dir
 
+SEGMENT_BYTES = 64 << 20
+
 
 @dataclass
 class MinibatchConfig(ScorerConfig):
@@ -58,47 +64,74 @@ class Adam:
             p -= c.lr * (m / (1 - c.beta1 ** self.t)) / (np.sqrt(v / (1 - c.beta2 ** self.t)) + c.eps)
 
 
-def batch_sums(rows: DataFrame, W: np.ndarray, b: np.ndarray, gradients: bool = True) -> list[tuple[int, np.ndarray]]:
-    """(batch, sums) by batch: gradient sums of weights and biases (if asked
-    for), squared error and number of rows.  A task adds up its own rows of
-    each batch; the sums of tasks are added on Spark."""
-    def sums(frames):
-        total: dict[int, np.ndarray] = {}
-        for pdf in frames:
-            if pdf.empty:
-                continue
-            X, Y = np.stack(pdf["_x"].to_numpy()), np.stack(pdf["labels"].to_numpy()).astype(np.float64)
+def _passes(batches: Iterator[pa.RecordBatch], per_pass: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch numbers, features, labels) of every pass; rows come in batch order."""
+    held: list[tuple] = []
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        k, X, Y = rows.column(0).to_numpy(), byte_matrix(rows.column(1)), byte_matrix(rows.column(2))
+        cuts = [0, *(np.flatnonzero(np.diff(k // per_pass)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0][0][0] // per_pass != k[lo] // per_pass:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held = []
+            held.append((k[lo:hi], X[lo:hi], Y[lo:hi]))
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def segment_steps(rows: DataFrame, adam: Adam, per_pass: int) -> tuple[float, int]:
+    """The Adam steps of the batches of ``rows`` (one segment: batch, _x,
+    labels), taken in batch order by one task from the state of ``adam``, which
+    is left as after the last step.  Returns the sum of the batches' mean
+    losses and the number of batches."""
+    def run(batches):
+        W, b = adam.params
+        total, count = 0.0, 0
+        for k, X, Y in _passes(batches, per_pass):
             P = 1.0 / (1.0 + np.exp(-(X @ W.T + b)))
             E = P - Y
             Z = 2.0 * E * P * (1.0 - P)
-            for k, at in pdf.groupby("batch").indices.items():
-                own = [(E[at] ** 2).sum(keepdims=True).ravel(), [float(len(at))]]
-                if gradients:
-                    own = [(Z[at].T @ X[at]).ravel(), Z[at].sum(axis=0), *own]
-                total[k] = total.get(k, 0.0) + np.concatenate(own)
-        if total:
-            yield pd.DataFrame({"batch": list(total), "v": list(total.values())})
-
-    out = rows.mapInPandas(sums, "batch bigint, v array<double>").groupBy("batch").agg(
-        Summarizer.sum(array_to_vector("v")).alias("s"))
-    return sorted((r["batch"], r["s"].toArray()) for r in out.collect())
+            cuts = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                scale = (hi - lo) * len(b)
+                adam.step([Z[lo:hi].T @ X[lo:hi] / scale, Z[lo:hi].sum(axis=0) / scale])
+                total += float((E[lo:hi] ** 2).sum()) / scale
+                count += 1
+        state = np.concatenate([a.ravel() for a in (*adam.params, *adam.m, *adam.v)])
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([count]), pa.array([adam.t]), pa.array([state.tobytes()])],
+                                         names=["total", "n", "t", "state"])
+
+    end = rows.coalesce(1).sortWithinPartitions("batch").select("batch", "_x", "labels").mapInArrow(
+        run, "total double, n bigint, t bigint, state binary").first()
+    if end is None or not end["n"]:
+        return 0.0, 0
+    state, at = np.frombuffer(end["state"]), 0
+    for a in (*adam.params, *adam.m, *adam.v):
+        a[...] = state[at:at + a.size].reshape(a.shape)
+        at += a.size
+    adam.t = end["t"]
+    return end["total"], end["n"]
 
 
 def batch_mean_loss(rows: DataFrame, W: np.ndarray, b: np.ndarray) -> float:
     """Mean over batches of the mean squared error of each."""
     def losses(frames):
         total: dict[int, np.ndarray] = {}
-        for pdf in frames:
-            if pdf.empty:
+        for got in frames:
+            if not got.num_rows:
                 continue
-            X, Y = np.stack(pdf["_x"].to_numpy()), np.stack(pdf["labels"].to_numpy()).astype(np.float64)
+            X, Y = byte_matrix(got.column(1)), byte_matrix(got.column(2))
             e = ((1.0 / (1.0 + np.exp(-(X @ W.T + b))) - Y) ** 2).mean(axis=1)
-            for k, at in pdf.groupby("batch").indices.items():
-                total[k] = total.get(k, 0.0) + np.array([e[at].sum(), len(at)])
+            ks, at = np.unique(got.column(0).to_numpy(), return_inverse=True)
+            for k, x, n in zip(ks.tolist(), np.bincount(at, weights=e), np.bincount(at)):
+                total[k] = total.get(k, 0.0) + np.array([x, n])
         if total:
-            yield pd.DataFrame({"batch": list(total), "e": [t[0] for t in total.values()], "n": [t[1] for t in total.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([t[0] for t in total.values()]),
+                                              pa.array([t[1] for t in total.values()])], names=["batch", "e", "n"])
 
-    per = rows.mapInPandas(losses, "batch bigint, e double, n double").groupBy("batch").agg((F.sum("e") / F.sum("n")).alias("m"))
+    per = rows.select("batch", "_x", "labels").mapInArrow(losses, "batch bigint, e double, n double").groupBy("batch").agg((F.sum("e") / F.sum("n")).alias("m"))
     found = per.agg(F.avg("m")).first()[0]
     return float("nan") if found is None else float(found)
 
@@ -111,41 +144,43 @@ def fit_minibatch(frame: DataFrame, cfg: MinibatchConfig | None = None, run_id:
     cfg = cfg or MinibatchConfig()
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/minibatch-{uuid.uuid4().hex}"
-    rows = frame.select("essay_id", "split", vector_to_array(features_col).alias("_x"), "labels")
-    for name, split in (("train", cfg.train_split), ("valid", cfg.valid_split)):
-        rows.where(F.col("split") == split).write.parquet(f"{path}/{name}")
-    train, valid = (spark.read.schema(rows.schema).parquet(f"{path}/{name}") for name in ("train", "valid"))
+    rows = packed_rows(frame.where(F.col("split").isin(cfg.train_split, cfg.valid_split)), ["essay_id", "split"], features_col)
+    rows.write.partitionBy("split").parquet(f"{path}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/rows").select(*rows.columns)
+    # rows lie by the keys that every epoch joins its batch numbers on, so only these move for it
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    train = rows.where(F.col("split") == cfg.train_split).repartition(parts, "essay_id", "split").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(train, valid, cfg, run_id, path)
+        return _fit(train, rows.where(F.col("split") == cfg.valid_split), cfg, run_id, path)
     finally:
+        train.unpersist()
         drop_path(spark, path)
 
 
 def _fit(train: DataFrame, valid: DataFrame, cfg: MinibatchConfig, run_id: str, path: str) -> tuple[TraitScorer, DataFrame]:
     spark = train.sparkSession
-    first = train.select(F.size("_x").alias("d"), F.size("labels").alias("t")).first()
-    if first is None:
-        raise ValueError("no training rows")
-    dim, n_t, n = int(first["d"]), int(first["t"]), train.count()
+    (dim, n_t), n = packed_sizes(train), train.count()
     valid.join(H.eval_batch_ids(valid, cfg.batch_size), ["essay_id", "split"]).write.parquet(f"{path}/valid-batches")
     valid = spark.read.parquet(f"{path}/valid-batches")
     W = np.random.default_rng(cfg.seed).standard_normal((n_t, dim)) * cfg.init_scale
     b = np.zeros(n_t)
     adam, best, history = Adam([W, b], cfg), None, []
     n_batches = -(-n // cfg.batch_size)
+    pass_bytes = cfg.batches_per_pass * cfg.batch_size * 8 * (dim + n_t)
+    per_segment = cfg.batches_per_pass * max(1, SEGMENT_BYTES // pass_bytes)
     for epoch in range(cfg.epochs):
         ids = H.train_batch_ids(train, cfg.batch_size, epoch, cfg.seed).select("essay_id", "split", "batch")
-        dealt = train.join(ids, ["essay_id", "split"]).persist(StorageLevel.MEMORY_AND_DISK)
-        losses = []
-        for lo in range(0, n_batches, cfg.batches_per_pass):
-            part = dealt.where(F.col("batch").between(lo, lo + cfg.batches_per_pass - 1))
-            for _, s in batch_sums(part, W, b):
-                scale = s[-1] * n_t
-                adam.step([s[:W.size].reshape(W.shape) / scale, s[W.size:W.size + n_t] / scale])
-                losses.append(s[-2] / scale)
-        dealt.unpersist()
+        dealt = (train.join(ids, ["essay_id", "split"])
+                 .select("batch", "_x", "labels", F.floor(F.col("batch") / F.lit(per_segment)).cast("int").alias("segment")))
+        dealt.repartition("segment").sortWithinPartitions("segment", "batch").write.partitionBy("segment").parquet(f"{path}/epoch-{epoch}")
+        dealt = spark.read.schema(dealt.schema).parquet(f"{path}/epoch-{epoch}")
+        done = [segment_steps(dealt.where(F.col("segment") == k), adam, cfg.batches_per_pass)
+                for k in range(-(-n_batches // per_segment))]
+        drop_path(spark, f"{path}/epoch-{epoch}")
+        steps = sum(n for _, n in done)
+        train_loss = sum(x for x, _ in done) / steps if steps else float("nan")
         val_loss = batch_mean_loss(valid, W, b)
-        history.append((run_id, epoch, float(np.mean(losses)), val_loss))
+        history.append((run_id, epoch, train_loss, val_loss))
         if val_loss < (best[0] if best else float("inf")):
             best = (val_loss, W.copy(), b.copy(), epoch)
         if epoch - (best[3] if best else -1) >= cfg.patience:

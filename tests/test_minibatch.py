@@ -86,3 +86,25 @@ def test_train_batches_are_a_global_md5_order(spark, monkeypatch):
     for rows in (4096, 100, 7):
         monkeypatch.setattr(H, "CELL_ROWS", rows)
         assert {r.essay_id: r.batch for r in H.train_batch_ids(df, 128, epoch=4).collect()} == want
+
+
+@pytest.mark.parametrize("segment", [1, 4000])
+def test_segments_hand_the_steps_on(spark, monkeypatch, segment):
+    X, Y, split = data()
+    cfg = MinibatchConfig(lr=0.05, epochs=2, batch_size=30, batches_per_pass=2, traits=["a", "b"])
+    monkeypatch.setattr("kappaflow.operators.minibatch.SEGMENT_BYTES", segment)
+    scorer, hist = fit_minibatch(frame(spark, X, Y, split), cfg)
+    best, want = plain(X, Y, split, cfg)
+    assert np.allclose([(r["epoch"], r["train_loss"], r["val_loss"]) for r in hist.orderBy("epoch").collect()], want)
+    assert np.allclose(scorer.weights, best[1]) and np.allclose(scorer.bias, best[2]) and scorer.best_epoch == best[3]
+
+
+def test_jobs_do_not_grow_with_the_passes(spark):
+    X, Y, split = data()
+    jobs = []
+    for size in (240, 2):  # one pass, then 120
+        spark.sparkContext.setJobGroup(f"passes-{size}", "fit")
+        fit_minibatch(frame(spark, X, Y, split), MinibatchConfig(epochs=1, batch_size=size, batches_per_pass=1, traits=["a", "b"]))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"passes-{size}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 5
