@@ -94,3 +94,19 @@ def test_jobs_hand_the_tokenizer_to_the_encoder(spark):
     rep = PL.end_to_end(spark, essays, encoder=make, cfg=CFG, max_len=12, tokenizer=fixed, special=(11, 12, 13))
     assert rep["predictions"].count() > 0
     assert "reloaded_val_loss" in rep["summary"].columns
+
+
+def test_texts_are_not_encoded_again_for_predictions(spark, scratch):
+    from kappaflow.operators.scorer import ScorerConfig
+    from kappaflow.plans.pipelines import sentence_vectors, train_and_predict
+    from kappaflow.schema import TEXT_COL, TRAITS, rater_col
+
+    essays = spark.range(60).selectExpr("id as essay_id", "if(id % 4 = 0, 'valid', 'train') as split",
+                                        f"concat('word ', id % 7, '#other ', id) as `{TEXT_COL}`")
+    for k, t in enumerate(TRAITS):
+        for r in (1, 2):
+            essays = essays.selectExpr("*", f"cast((essay_id + {k}) % 6 as int) as `{rater_col(r, t)}`")
+    essays.write.parquet(f"{scratch}/essays")
+    essays = spark.read.parquet(f"{scratch}/essays")
+    _, _, preds = train_and_predict(essays, sentence_vectors(essays, "none", 8, as_vector=True), ScorerConfig(epochs=2), "kobert", 0)
+    assert preds.count() == 60 * len(TRAITS) and not [f for f in preds.inputFiles() if f"{scratch}/essays" in f]
