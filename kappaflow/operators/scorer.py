@@ -121,6 +121,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = rows.columns[:-2]
             for c in rows.columns[-2:]:
                 X = np.ascontiguousarray(_list_matrix(c, len(c.flatten()) // len(c)))
+                if np.isnan(X).any():
+                    raise ValueError("a feature or label of a training or validation row is missing")
                 ends = np.arange(len(c) + 1, dtype=np.int32) * np.int32(8 * X.shape[1])
                 out.append(pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(ends), pa.py_buffer(X)]))
             yield pa.RecordBatch.from_arrays(out, names=rows.schema.names)

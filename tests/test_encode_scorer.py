@@ -121,3 +121,12 @@ def test_fit_beats_the_mean(spark):
     scorer, _ = fit_scorer(spark.createDataFrame(rows, ["split", "features", "labels"]),
                            ScorerConfig(epochs=60, lr=0.1, traits=["t"]))
     assert scorer.best_val_loss < 0.2 * np.mean((y[200:] - y[:200].mean()) ** 2)
+
+
+def test_missing_labels_fail_instead_of_spoiling_the_model(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(i, s, Vectors.dense([float(i), 1.0]), [None if i == 3 else 0.4]) for i, s in enumerate(["train", "valid"] * 5)]
+    frame = spark.createDataFrame(rows, ["essay_id", "split", "features", "labels"])
+    with pytest.raises(Exception, match="is missing"):
+        fit_scorer(frame, ScorerConfig(epochs=2, traits=["t"]))
