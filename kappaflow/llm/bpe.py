@@ -54,6 +54,9 @@ class ChunkMemo:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def values(self, chunks: set[str]) -> dict[str, object]:
         """A dict that holds at least those ``chunks`` that ``skip`` allows."""
         if len(self.young) > self.limit:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kappaflow.llm import bpe
-from kappaflow.llm.common import Scratch, runtime_filters
+from kappaflow.llm.common import Scratch, forgetting, runtime_filters
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -97,6 +97,10 @@ def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 FEATURES = BUCKETS + 128
 
 
+def _forget() -> None:
+    _MEMO.clear()
+
+
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut to ``BATCH_DOCS`` rows, so that few texts are Python strings
     at a time."""
@@ -116,7 +120,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(texts: DataFrame) -> np.ndarray:
     """Counts of all features, summed on Spark."""
     out = np.zeros(FEATURES)
-    per_task = texts.select("text").mapInArrow(_counter, "feature bigint, n bigint")
+    per_task = texts.select("text").mapInArrow(forgetting(_counter, _forget), "feature bigint, n bigint")
     for r in per_task.groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r["feature"]] = r["n"]
     return out
@@ -161,7 +165,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """(doc_id, tk, log_weight, gumbel_key) of every row; tk hashes the text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text",
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
-    return rows.mapInArrow(_scorer(ratio), "doc_id bigint, tk bigint, log_weight double, gumbel_key double")
+    return rows.mapInArrow(forgetting(_scorer(ratio), _forget), "doc_id bigint, tk bigint, log_weight double, gumbel_key double")
 
 
 def kth_largest(keys: DataFrame, column: str, k: int) -> float:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kappaflow.llm import bpe
-from kappaflow.llm.common import Scratch
+from kappaflow.llm.common import Scratch, forgetting
 
 END_ID = b"\0\0\0\0"
 PIECE_FIELDS = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()),
@@ -96,6 +96,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _forget() -> None:
+    """The memos of all encoders; tokenizers stay."""
+    for e in _ENCODERS.values():
+        e.first.clear()
+        e.later.clear()
+
+
 def encode_texts(texts: list[str], path: str) -> Iterator[bytes]:
     return encoder(path).texts(texts)
 
@@ -132,7 +139,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) ->
     little-endian unsigned binary, of 16 bits an id where the whole vocabulary
     fits and of 32 bits otherwise."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _cutter(tokenizer_path, capacity), T.StructType(PIECE_FIELDS))
+        forgetting(_cutter(tokenizer_path, capacity), _forget), T.StructType(PIECE_FIELDS))
 
 
 def wide(ids: pa.Array, n: int) -> pa.Array:

@@ -244,3 +244,19 @@ def test_nearest_with_repeated_ids(spark):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
     assert sorted(got[0]) == [(1, 5), (2, 5), (3, 20)]
     assert [v for _, v in sorted(got[20])] == [5, 5, 5]
+
+
+def test_tasks_leave_no_memo_behind():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from kappaflow.llm import importance, packing
+    from kappaflow.llm.common import forgetting
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words here"]})
+    task = forgetting(packing._cutter(path, 2048), packing._forget)
+    assert sum(b.num_rows for b in task([rows])) == 1
+    enc = packing.encoder(path)
+    assert not (enc.first.young or enc.first.old or enc.later.young or enc.later.old)
+    assert list(forgetting(importance._counter, importance._forget)([rows.select(["text"])])) and not importance._MEMO
