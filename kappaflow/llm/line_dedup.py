@@ -14,8 +14,9 @@ lines are never removed.  Only DataFrame operations are used.
 * A class of n words that matches another shares a word within its first
   n - ceil(threshold * n) + 1 words (prefix filter).  Classes meet at such a
   word as narrow rows; length, position of the word and the parity bits of the
-  sets (each word flips one of 64) drop pairs that cannot reach the threshold,
-  and so does the number of words at which a pair meets.
+  sets (each word flips one of 64, in sets of ``WIDE`` words or more one of
+  128) drop pairs that cannot reach the threshold, and so does the number of
+  words at which a pair meets.
 * A word that more than ``SHORT_BUCKET`` classes share first pairs them with
   its earliest class only; those that this does not remove are then paired
   with all earlier ones.  So near copies of one line never become all pairs.
@@ -43,6 +44,7 @@ NO_ID = (1 << 63) - 1
 SHORT_BUCKET = 256
 HASH_BITS = 57  # of a word's place, below its 6 bits of rarity
 CODE_BITS = 44
+WIDE = 48  # words from which a set's parity bits are 128
 
 
 def _spaced(text: str) -> str:
@@ -66,7 +68,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
     """Twice the binary logarithm of the word count of every hash bucket (a
-    list of ``buckets`` numbers below 64, whatever the input)."""
+    list of ``buckets``, a power of two, numbers below 64, whatever the input)."""
     words = (_rows(docs).selectExpr(f"explode(split(replace({_spaced('body')}, '\\n', ' '), ' ')) as w")
              .filter("w <> ''").selectExpr(f"cast(pmod(xxhash64(w), {buckets}) as int) as b"))
     level = "least(63, cast(2 * log2(n) as int))"
@@ -80,15 +82,17 @@ def rarity_levels(docs: DataFrame, buckets: int = RARITY_BUCKETS) -> list[int]:
 
 
 def _sets(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
-    """Per line: 128-bit key of the set (k1, k2), size n, its parity bits and
-    prefix words as numbers of 6 + ``CODE_BITS`` bits."""
-    code = (f"(shiftleft(cast(element_at({literal_array(levels, 'tinyint')}, "
-            f"cast(pmod(h, {len(levels)}) as int) + 1) as bigint), {HASH_BITS}) | (h & {(1 << HASH_BITS) - 1}L))")
+    """Per line: 128-bit key of the set (k1, k2), size n, the parity bits of all
+    its words and, from ``WIDE`` words, of about half of them, and prefix words
+    as numbers of 6 + ``CODE_BITS`` bits."""
+    code = (f"(shiftleft(cast(get({literal_array(levels, 'tinyint')}, cast(h & {len(levels) - 1}L as int)) as bigint), {HASH_BITS})"
+            f" | (h & {(1 << HASH_BITS) - 1}L))")
     words = "array_distinct(transform(array_remove(split(line, ' '), ''), w -> xxhash64(w)))"
     return (lines.filter("trim(line) <> ''")
             .selectExpr("doc", "tk", "line_no", f"sort_array(transform({words}, h -> {code})) as codes")
             .selectExpr("doc", "tk", "line_no", "size(codes) as n", "xxhash64(codes) as k1", "xxhash64(17, codes) as k2",
                         "aggregate(codes, 0L, (a, c) -> a ^ shiftleft(1L, cast(c & 63 as int))) as odd",
+                        f"if(size(codes) < {WIDE}, 0L, aggregate(codes, 0L, (a, c) -> a ^ shiftleft(shiftright(c, 6) & 1L, cast(c & 63 as int)))) as half",
                         f"if(size(codes) / (size(codes) + 1D) >= {threshold}D - 1e-9D, transform(slice(codes, 1, "
                         f"{_prefix('size(codes)', threshold)}), c -> shiftright(c, {HASH_BITS - CODE_BITS})), null) as prefix"))
 
@@ -118,8 +122,10 @@ def _close(a: str, b: str, threshold: float) -> str:
 
 def _spare(a: str, b: str, threshold: float) -> str:
     """How many more words the sets of a match may differ in than their parity
-    bits do."""
-    return f"{a}.n + {b}.n - 2 * {_overlap(f'{a}.n', f'{b}.n', threshold)} - bit_count({a}.odd ^ {b}.odd)"
+    bits do: 128 bits if both sets have them, else 64."""
+    odd, half = f"{a}.odd ^ {b}.odd", f"{a}.half ^ {b}.half"
+    bits = f"if(least({a}.n, {b}.n) < {WIDE}, bit_count({odd}), bit_count({odd} ^ {half}) + bit_count({half}))"
+    return f"{a}.n + {b}.n - 2 * {_overlap(f'{a}.n', f'{b}.n', threshold)} - {bits}"
 
 
 def _place() -> Column:
@@ -132,18 +138,16 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: f
     earlier class y.  Pairs name classes by half of their key; their first
     lines are read from the documents, and the words decide."""
     named = pairs.select(F.col("x").alias("k1")).unionByName(pairs.select(F.col("y").alias("k1"))).distinct()
-    scratch.write(firsts.join(named, "k1").select("k1", "k2", "first.*"), f"needed-{name}")
+    scratch.write(firsts.join(named, "k1").select("k1", "k2", "n", "first.*"), f"needed-{name}")
     needed = docs.sparkSession.read.parquet(scratch.path(f"needed-{name}")).filter("line_no >= 0")
-    words = F.expr("array_distinct(array_remove(split(line, ' '), ''))")
     # repeated documents come out once; a name that two classes share keeps both
     found = (_lines(docs).join(needed, ["doc", "tk", "line_no"])
-             .groupBy("k1").agg(F.collect_set(F.struct("k2", _place().alias("place"), "line")).alias("c")))
+             .groupBy("k1").agg(F.collect_set(F.struct("k2", _place().alias("place"), "n", "line")).alias("c")))
     both = (pairs.select("x", "y").join(found.select(F.col("k1").alias("x"), F.col("c").alias("cx")), "x")
             .join(found.select(F.col("k1").alias("y"), F.col("c").alias("cy")), "y")
             .select("x", F.explode("cx").alias("cx"), "cy").select("x", "cx", F.explode("cy").alias("cy")).filter("cy.place < cx.place")
-            .select(F.col("x").alias("k1"), "cx.k2", F.col("cx.line").alias("line"), F.col("cy.line").alias("other"))
-            .withColumn("wx", words).withColumn("line", F.col("other")).withColumn("wy", words)
-            .filter(f"size(array_intersect(wx, wy)) >= {threshold}D / (1D + {threshold}D) * (size(wx) + size(wy)) - 1e-9D"))
+            .filter("size(array_intersect(array_remove(split(cx.line, ' '), ''), split(cy.line, ' '))) >= "
+                    f"{threshold}D / (1D + {threshold}D) * (cx.n + cy.n) - 1e-9D").select(F.col("x").alias("k1"), "cx.k2"))
     with runtime_filters(docs.sparkSession):
         gone = scratch.write(both.select("k1", "k2").distinct(), f"gone-{name}")
     scratch.drop(f"needed-{name}")
@@ -157,12 +161,12 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
     scratch = Scratch(docs.sparkSession, "line-dedup")
     lines = scratch.write(_sets(_lines(docs), rarity_levels(docs), threshold), "lines")
     classes = scratch.write(lines.groupBy("k1", "k2").agg(
-        F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("prefix").alias("prefix")), "classes")
+        F.min(_place()).alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("half").alias("half"), F.first("prefix").alias("prefix")), "classes")
     keys = scratch.write(lines.select("doc", "tk", "line_no", "k1", "k2"), "keys")
     scratch.drop("lines")
 
     # classes x at the words that they share with earlier ones y; long buckets apart
-    post = classes.filter("prefix is not null").selectExpr("k1", "n", "odd", "first.doc", "posexplode(prefix) as (p, code)")
+    post = classes.filter("prefix is not null").selectExpr("k1", "n", "odd", "half", "first.doc", "posexplode(prefix) as (p, code)")
     long = scratch.write(post.groupBy("code").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > short).select("code"), "long")
     rows = post.join(long, "code", "left_anti")
     earlier = F.expr(f"b.doc <= a.doc and a.k1 <> b.k1 and {_close('a', 'b', threshold)}")
@@ -178,10 +182,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
                 .filter("2 * votes >= least").select("x", "y", "spare"))
 
     shared = scratch.write(post.join(long, "code", "left_semi"), "shared")
-    hubs = shared.groupBy("code").agg(F.min(F.struct("doc", "k1", "n", "p", "odd")).alias("h")).select("code", "h.*")
+    hubs = shared.groupBy("code").agg(F.min(F.struct("doc", "k1", "n", "p", "odd", "half")).alias("h")).select("code", "h.*")
     pairs = meeting(rows, rows).unionByName(meeting(shared, hubs))
     pairs = scratch.write(pairs.groupBy("x", "y").agg(F.max("spare").alias("spare")), "pairs")
-    firsts = scratch.write(classes.select("k1", "k2", "first"), "firsts")
+    firsts = scratch.write(classes.select("k1", "k2", "n", "first"), "firsts")
     scratch.drop("lines", "classes", "long")
 
     # the likeliest partner of each class decides for most, then all others

@@ -91,6 +91,25 @@ def test_line_dedup(spark):
     assert clash.columns == [*DOC.names, "n_removed"] and clash.filter("n_removed > 0").count() > 0
 
 
+def test_long_lines_that_share_words_make_no_pairs(spark, monkeypatch):
+    """64 parity bits cannot tell apart long sets that have a third in common."""
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(600)]
+    rows = [(k, " ".join(rng.sample(vocabulary, 200))) for k in range(40)]
+    rows.append((40, rows[7][1].replace("w1", "w9", 1)))
+    pairs, write = [], Scratch.write
+
+    def spy(self, df, name):
+        out = write(self, df, name)
+        pairs.extend([out.count()] if name == "pairs" else [])
+        return out
+    monkeypatch.setattr(Scratch, "write", spy)
+    got = {r["doc"]: list(r["removed"]) for r in line_dedup.removed_lines(docs(spark, rows)).collect()}
+    assert got == {d: sorted(v) for (d, _), v in brute_lines(rows, line_dedup.THRESHOLD).items() if v} == {40: [0]}
+    assert pairs[0] < 20  # of 820; 64 bits leave 315
+
+
+
 # ---- near duplicates ------------------------------------------------------------
 
 def shingles(text):
