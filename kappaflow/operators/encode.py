@@ -33,13 +33,16 @@ KEYS = ("essay_id", "split", "pos")
 def fit_hashing_encoder(train_rows: DataFrame, dim: int = 256, text_col: str = "sentence") -> PipelineModel:
     """Fit the built-in encoder; only IDF needs a pass (document frequency
     per hash bucket, a ``dim``-sized distributed aggregate)."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=WORD_GAPS, gaps=True, toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-    ])
-    return pipe.fit(train_rows.select(text_col))
+    return Pipeline(stages=[*_hashing(dim, text_col), *_weighting()]).fit(train_rows.select(text_col))
+
+
+def _hashing(dim: int, text_col: str) -> list:
+    return [RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=WORD_GAPS, gaps=True, toLowercase=True),
+            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)]
+
+
+def _weighting() -> list:
+    return [IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="_vec", p=2.0)]
 
 
 def encode_hashing(model: PipelineModel, rows: DataFrame, keys=KEYS, as_vector: bool = False) -> DataFrame:
@@ -53,6 +56,18 @@ def encode_hashing(model: PipelineModel, rows: DataFrame, keys=KEYS, as_vector:
     return out.select(*keys, vector_to_array("_vec", "float32").alias("embedding"))
 
 
+def encode_hashing_once(rows: DataFrame, path: str, train_split: str = "train", dim: int = 256, keys=KEYS) -> DataFrame:
+    """``encode_hashing`` with ``as_vector`` by an encoder fitted on the rows of
+    ``train_split``, cutting and hashing every text once: the sparse word counts
+    are written to ``path``, which fit and weighting read; the caller drops it
+    when the vectors are used."""
+    hashed = PipelineModel(_hashing(dim, "sentence")).transform(rows.select(*keys, "sentence")).select(*keys, "_tf")
+    hashed.write.parquet(path)
+    hashed = rows.sparkSession.read.schema(hashed.schema).parquet(path)
+    model = Pipeline(stages=_weighting()).fit(hashed.where(F.col("split") == train_split).select("_tf"))
+    return model.transform(hashed).select(*keys, F.col("_vec").alias("embedding"))
+
+
 def cls_vectors(hidden: np.ndarray) -> np.ndarray:
     """First-token (CLS) state of every sentence."""
     return hidden[:, 0, :]

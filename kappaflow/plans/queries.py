@@ -742,7 +742,7 @@ def _fit(spark, d):
     from kappaflow.plans.pipelines import sentence_vectors, train_and_predict
     from kappaflow.operators.scorer import ScorerConfig
     e = _essays(spark, d)
-    return train_and_predict(e, sentence_vectors(e, "none", ENCODER_DIM, as_vector=True), ScorerConfig(), "kobert", 0)
+    return train_and_predict(e, lambda at: sentence_vectors(e, "none", ENCODER_DIM, as_vector=True, path=at), ScorerConfig(), "kobert", 0)
 
 
 FIT_EPOCHS = 12
@@ -757,7 +757,7 @@ def fit_scorer(spark, d):
     from kappaflow.operators.minibatch import MinibatchConfig
     from kappaflow.plans.pipelines import sentence_vectors, train_and_predict
     e = FX.text_rated(_essays(spark, d))
-    vec = sentence_vectors(e, "none", ENCODER_DIM, as_vector=True)
+    vec = lambda at: sentence_vectors(e, "none", ENCODER_DIM, as_vector=True, path=at)
     cfg = MinibatchConfig(epochs=FIT_EPOCHS, batch_size=128, batches_per_pass=4, lr=0.03)
     scorer, hist, preds = train_and_predict(e, vec, cfg, "kobert", 0)
     in_range = 0 <= scorer.best_epoch < hist.count()

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from kappaflow.operators.scorer import ScorerConfig, TraitScorer
@@ -110,3 +111,33 @@ def test_texts_are_not_encoded_again_for_predictions(spark, scratch):
     essays = spark.read.parquet(f"{scratch}/essays")
     _, _, preds = train_and_predict(essays, sentence_vectors(essays, "none", 8, as_vector=True), ScorerConfig(epochs=2), "kobert", 0)
     assert preds.count() == 60 * len(TRAITS) and not [f for f in preds.inputFiles() if f"{scratch}/essays" in f]
+
+
+def test_hashed_texts_are_kept_between_fit_and_encoding(spark, scratch):
+    from kappaflow.plans.pipelines import scoring_frame, sentence_vectors, train_and_predict
+    from kappaflow.operators.scorer import ScorerConfig
+    from kappaflow.schema import SENTENCE_SEP, TEXT_COL, TRAITS, rater_col
+
+    essays = spark.range(40).selectExpr("id as essay_id", "if(id % 4 = 0, 'valid', 'train') as split",
+                                        f"concat('Word ', id % 7, '{SENTENCE_SEP}other\t', id, '{SENTENCE_SEP}{SENTENCE_SEP}') as `{TEXT_COL}`")
+    for k, t in enumerate(TRAITS):
+        for r in (1, 2):
+            essays = essays.selectExpr("*", f"cast((essay_id + {k}) % 6 as int) as `{rater_col(r, t)}`")
+    essays.write.parquet(f"{scratch}/kept-essays")
+    essays = spark.read.parquet(f"{scratch}/kept-essays")
+    once = sentence_vectors(essays, "none", 8, as_vector=True, path=f"{scratch}/hashed")
+    assert not [f for f in once.inputFiles() if "kept-essays" in f]  # encoding reads no text again
+    twice = sentence_vectors(essays, "none", 8, as_vector=True)
+
+    def rows(v):
+        return sorted((r["essay_id"], r["split"], r["pos"], r["embedding"].toArray().tolist()) for r in v.collect())
+    assert rows(once) == rows(twice) and len(rows(once)) == 160
+    seen = []
+
+    def made(at):
+        seen.append(at)
+        return sentence_vectors(essays, "none", 8, as_vector=True, path=at)
+    _, hist, preds = train_and_predict(essays, made, ScorerConfig(epochs=2), "kobert", 0)
+    _, want, _ = train_and_predict(essays, twice, ScorerConfig(epochs=2), "kobert", 0)
+    assert preds.count() == 40 * len(TRAITS) and not os.path.exists(seen[0].removeprefix("file:").replace("//", "/"))
+    assert [r["val_loss"] for r in hist.collect()] == pytest.approx([r["val_loss"] for r in want.collect()])
