@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kappaflow.llm import bpe
@@ -49,6 +49,7 @@ LEAST_LOG_WEIGHT = -10.0
 MEMO_CHUNKS = 100_000
 BATCH_DOCS = 1_000
 BATCH_CHARS = 500_000
+MARKS = 1 << 24  # bits (2 MB) that tell rows that may be dropped from all others
 _PART = re.compile(r"\w+|[^\w\s]+")
 _SHAPE_BITS = 3
 _MEMO: list[bpe.ChunkMemo] = []
@@ -201,12 +202,34 @@ def resample(docs: DataFrame, good: DataFrame, k: int | None = None) -> DataFram
     return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(kth_largest(scored, "gumbel_key", k)))
 
 
+def _marks(cells: DataFrame) -> DataFrame:
+    """The distinct numbers ``cell`` (from 0 to ``MARKS``) as bitmaps of 32,768
+    bits: (block, bits), at most ``MARKS`` / 8 bytes, however many there are."""
+    return cells.groupBy(F.expr("cell div 32768").alias("block")).agg(
+        F.bitmap_construct_agg(F.expr("cell % 32768")).alias("bits"))
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` (with ``cell``) and whether their cell is marked."""
+    at = rows.join(F.broadcast(marks), F.expr("cell div 32768") == F.col("block"), "left")  # bounded by MARKS
+    byte = "cast(conv(hex(substring(bits, cast(cell % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    return at.select(*rows.columns, F.expr(f"bits is not null and getbit({byte}, cast(cell % 8 as int)) = 1").alias("marked"))
+
+
 def keep_good(docs: DataFrame, good: DataFrame, k: int | None = None) -> DataFrame:
     """The sampled rows of ``docs``.  Rows equal in doc_id and text share their
-    key, so those of the written drop list go; while it is small no text moves."""
+    key, so those of the written drop list go.  Only rows that share a mark with
+    one of the list are joined with it; the texts of the others do not move."""
     drop = resample(docs, good, k).filter("not kept").select(F.col("doc_id").alias("drop_id"), F.col("tk").alias("drop_tk")).distinct()
     drop = Scratch(docs.sparkSession, "importance-drop").write(drop, "drop")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    return rows.join(drop, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("drop_id"))
-                     & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("drop_tk")), "left_anti").select(
-        *[F.col(f"d.`{c}`") for c in docs.columns])
+
+    def cell(doc_id: str, tk: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(doc_id), F.col(tk)), F.lit(MARKS)).alias("cell")
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d")).select(
+        "d", F.col("d.doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))).alias("tk"))
+    rows = _marked(rows.select("*", cell("id", "tk")), _marks(drop.select(cell("drop_id", "drop_tk"))))
+    # the key needs the mark, or the planner would join all rows with the list first
+    found = rows.filter("marked").withColumn("tk", F.when(F.col("marked"), F.col("tk"))).join(
+        drop, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("tk") == F.col("drop_tk")), "left_anti")
+    return rows.filter("not marked").unionByName(found).select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -261,6 +261,54 @@ def test_short_items_inside_long_documents(spark, broadcast):
 
 # ---- quality ----------------------------------------------------------------------
 
+def shuffled_rows(spark, df, folder):
+    """Rows that the tasks of ``df`` hand to shuffles, by the plan's metrics."""
+    df.write.parquet(str(folder))
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    df.collect()
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+            continue
+        if kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+            continue
+        if kind == "ShuffleExchangeExec":
+            total += p.metrics().apply("shuffleRecordsWritten").value()
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def test_keep_good_moves_only_rows_that_may_go(spark, tmp_path, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, words(rnd, 20)) for i in range(600)] + [(700 + i, "JUNK!! 99") for i in range(20)] + [(None, "x"), (5, None), (5, None)]
+    d = docs(spark, rows)
+    good = spark.createDataFrame([(i,) for i in range(600)], "doc_id long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = importance.keep_good(d, good, 600)
+        assert shuffled_rows(spark, kept, tmp_path / "kept") < 200  # the rows dropped, their keys and marks
+        wanted = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+        monkeypatch.setattr(importance, "MARKS", 64)  # nearly every row shares a mark with a dropped one
+        again = importance.keep_good(d, good, 600)
+        assert sorted(((r["doc_id"], r["text"]) for r in again.collect()), key=str) == wanted
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    drop = {(r["doc_id"], r["tk"]) for r in importance.resample(d, good, 600).filter("not kept").collect()}
+    tk = {(r["doc_id"], r["text"]): r["tk"] for r in d.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as tk").collect()}
+    assert drop and wanted == sorted(((i, t) for i, t in rows if (i, tk[i, t]) not in drop), key=str)
+
+
+def test_marks_hold_exactly_the_cells_given(spark):
+    cells = [0, 7, 8, 255, 32767, 32768, 40001, (1 << 26) - 1]
+    rows = spark.createDataFrame([(c,) for c in sorted({max(0, c + k) for c in cells for k in (-1, 0, 1)})], "cell long")
+    marks = importance._marks(spark.createDataFrame([(c,) for c in cells + cells], "cell long"))
+    assert [r["cell"] for r in importance._marked(rows, marks).filter("marked").orderBy("cell").collect()] == cells
+
+
 def test_importance(spark):
     rnd = random.Random(6)
     rows = [(i, words(rnd, rnd.randint(3, 80), 20) if i % 5 else " ".join(f"JUNK{rnd.randint(0, 99)}!!" for _ in range(30))) for i in range(400)]
