@@ -85,7 +85,8 @@ def _sets(lines: DataFrame, levels: list[int], threshold: float) -> DataFrame:
     """Per line: 128-bit key of the set (k1, k2), size n, the parity bits of all
     its words and, from ``WIDE`` words, of about half of them, and prefix words
     as numbers of 6 + ``CODE_BITS`` bits."""
-    code = (f"(shiftleft(cast(get({literal_array(levels, 'tinyint')}, cast(h & {len(levels) - 1}L as int)) as bigint), {HASH_BITS})"
+    # never null, so that Spark sorts plain longs
+    code = (f"(shiftleft(cast(coalesce(get({literal_array(levels, 'tinyint')}, cast(h & {len(levels) - 1}L as int)), 0Y) as bigint), {HASH_BITS})"
             f" | (h & {(1 << HASH_BITS) - 1}L))")
     words = "array_distinct(transform(array_remove(split(line, ' '), ''), w -> xxhash64(w)))"
     return (lines.filter("trim(line) <> ''")

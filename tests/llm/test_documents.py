@@ -261,6 +261,11 @@ def test_short_items_inside_long_documents(spark, broadcast):
 
 # ---- quality ----------------------------------------------------------------------
 
+def test_codes_of_a_line_are_plain_longs(spark):
+    rows = spark.createDataFrame([(1, 2, 0, "a b c d e")], "doc long, tk long, line_no int, line string")
+    assert not line_dedup._sets(rows, [0] * 8, 0.8).schema["prefix"].dataType.containsNull  # nulls are sorted as objects
+
+
 def shuffled_rows(spark, df, folder):
     """Rows that the tasks of ``df`` hand to shuffles, by the plan's metrics."""
     df.write.parquet(str(folder))
