@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.llm.common import Scratch, runtime_filters
+from kappaflow.llm.common import Scratch, runtime_filters, unsized
 
 THRESHOLD = 0.75
 BROADCAST_ROWS = 1_000_000
@@ -106,8 +106,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     sig = scratch.write(signatures(items, threshold), "signatures")
     sizes = short_sizes(items)
     probe = sig.select("item_key", "needed", "h")
-    if probe.count() <= BROADCAST_ROWS:
-        probe = F.broadcast(probe)
+    probe = F.broadcast(probe) if probe.count() <= BROADCAST_ROWS else unsized(probe)
     keyed = _keyed(docs, "doc_id", "text")
     found = (_words(keyed).selectExpr("doc_id", "tk", f"explode({_hashes(sizes)}) as h").join(probe, "h")
              .groupBy("doc_id", "tk", "item_key", "h").agg(F.max("needed").alias("needed"))
@@ -123,7 +122,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     bodies = _words(bodies).selectExpr("doc_id", "tk", f"{_shingles(sizes)} as ds")
     with runtime_filters(docs.sparkSession):
         bodies = scratch.write(bodies, "bodies")
-    sets = _words(items).selectExpr("item_key", "item_id", f"{_shingles()} as qs")
+    sets = scratch.write(_words(items).selectExpr("item_key", "item_id", f"{_shingles()} as qs"), "sets")
     pairs = (found.alias("f").join(bodies.alias("b"), same("f", "b")).select("f.*", "b.ds").join(sets, "item_key")
              .selectExpr("doc_id", "tk", "item_id", "size(array_intersect(ds, qs)) as n_shared", "size(qs) as n_item"))
     return (pairs.withColumn("containment", F.col("n_shared") / F.col("n_item"))

@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kappaflow.llm.common import Scratch, literal_array, runtime_filters
+from kappaflow.llm.common import Scratch, literal_array, runtime_filters, sized, unsized
 
 THRESHOLD = 0.8
 RARITY_BUCKETS = 1 << 19
@@ -142,7 +142,7 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, threshold: f
     scratch.write(firsts.join(named, "k1").select("k1", "k2", "n", "first.*"), f"needed-{name}")
     needed = docs.sparkSession.read.parquet(scratch.path(f"needed-{name}")).filter("line_no >= 0")
     # repeated documents come out once; a name that two classes share keeps both
-    found = (_lines(docs).join(needed, ["doc", "tk", "line_no"])
+    found = (_lines(docs).join(sized(needed), ["doc", "tk", "line_no"])
              .groupBy("k1").agg(F.collect_set(F.struct("k2", _place().alias("place"), "n", "line")).alias("c")))
     both = (pairs.select("x", "y").join(found.select(F.col("k1").alias("x"), F.col("c").alias("cx")), "x")
             .join(found.select(F.col("k1").alias("y"), F.col("c").alias("cy")), "y")
@@ -184,7 +184,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, short: int = SH
 
     shared = scratch.write(post.join(long, "code", "left_semi"), "shared")
     hubs = shared.groupBy("code").agg(F.min(F.struct("doc", "k1", "n", "p", "odd", "half")).alias("h")).select("code", "h.*")
-    pairs = meeting(rows, rows).unionByName(meeting(shared, hubs))
+    pairs = meeting(rows, unsized(rows)).unionByName(meeting(shared, hubs))
     pairs = scratch.write(pairs.groupBy("x", "y").agg(F.max("spare").alias("spare")), "pairs")
     firsts = scratch.write(classes.select("k1", "k2", "n", "first"), "firsts")
     scratch.drop("lines", "classes", "long")

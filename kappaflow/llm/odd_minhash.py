@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kappaflow.llm.common import Scratch
+from kappaflow.llm.common import Scratch, unsized
 from kappaflow.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -212,7 +212,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
                        F.lit(0).alias("is_hub"), F.col("a").alias("node")))
     hubs = sizes.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
                         F.lit(1).alias("is_hub"), F.col("b").alias("node"))
-    rows = members.unionByName(hubs).join(bodies, "node")
+    rows = members.unionByName(hubs).join(unsized(bodies), "node")
     return (rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("is_hub").desc())
             .mapInArrow(_confirm, "a bigint, b bigint"))
 
@@ -291,7 +291,7 @@ def linked_within(family: DataFrame, bodies: DataFrame) -> DataFrame:
             F.struct(F.col("al").alias("l"), F.col("ai").alias("i")),
             F.struct(F.col("bl").alias("l"), F.col("bi").alias("i"))))).alias("s")).select("family", "al", "ai", "bl", "bi", "s.l", "s.i")
     key = ["family", "al", "ai", "bl", "bi"]
-    return (rows.join(sides, ["family", "l", "i"]).select(*key, "node", "label").join(bodies, "node")
+    return (rows.join(sides, ["family", "l", "i"]).select(*key, "node", "label").join(unsized(bodies), "node")
             .repartition(*key).sortWithinPartitions(*key).mapInArrow(_link_block, "a bigint, b bigint"))
 
 
@@ -316,12 +316,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                     F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first_row"),
                                     F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
 
-    # members of band keys that more than one class has
+    # members of band keys that more than one class has; Spark sizes the 32 rows of
+    # a class as one
     banded = classes.select("node", F.explode("bands").alias("band"))
     centres = (banded.groupBy("band")
                .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "band").alias("o"), "node")).alias("c"))
                .filter("n > 1").select("band", F.col("c.node").alias("centre")))
-    shared = scratch.write(banded.join(centres, "band"), "shared")
+    shared = scratch.write(banded.join(unsized(centres), "band"), "shared")
 
     bodies = scratch.write(
         shared.select("node").distinct().join(classes.select("node", "rep"), "node")

@@ -2,6 +2,7 @@
 edge cases and brute force on small tables."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -155,6 +156,43 @@ def test_near_duplicates(spark):
     assert odd_minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def broadcast_explodes(plan):
+    """Explodes inside the broadcasts of a plan's text."""
+    depth, out = None, []
+    for line in plan.split("\n"):
+        at = re.search(r"[A-Za-z(*]", line)
+        at = at.start() if at else 0
+        depth = None if depth is not None and at <= depth else depth
+        if depth is not None and "Generate" in line:
+            out.append(line.strip())
+        if depth is None and "BroadcastExchange" in line:
+            depth = at
+    return out
+
+
+@pytest.mark.parametrize("run, names", [
+    (odd_minhash.near_duplicates, ["shared"]), (line_dedup.removed_lines, ["pairs", "gone-1"])], ids=["near_dups", "lines"])
+def test_exploded_rows_are_never_broadcast(spark, tmp_path, monkeypatch, run, names):
+    """Spark sizes an exploded table like the one before, so it would send large
+    ones through the driver."""
+    docs(spark, corpus()[:60]).write.parquet(str(tmp_path / "documents"))
+    plans, write = {}, Scratch.write
+
+    class Seen(Exception):
+        pass
+
+    def spy(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        if name == names[-1]:
+            raise Seen
+        return write(self, df, name)
+    monkeypatch.setattr(Scratch, "write", spy)
+    with pytest.raises(Seen):
+        run(spark.read.parquet(str(tmp_path / "documents")))
+    for name in names:
+        assert "Generate" in plans[name] and "Join" in plans[name] and not broadcast_explodes(plans[name]), name
+
+
 def test_sketch_estimate():
     rnd = np.random.default_rng(0)
     for j in (0.75, 0.9, 1.0):
